@@ -56,6 +56,13 @@ def indicator_candidates(text: Column | str) -> Column:
     return F.filter(F.array(*found), lambda s: s.isNotNull())
 
 
+def first_per_indicator(candidates: Column | str) -> Column:
+    """Keep the first candidate of every indicator, inside the row."""
+    candidates = as_col(candidates)
+    names = F.transform(candidates, lambda s: s["indicator"])
+    return F.filter(candidates, lambda s, i: F.array_position(names, s["indicator"]) == i + 1)
+
+
 def values_with_unit(text: Column | str) -> Column:
     """First value with its unit per indicator: array of ``indicator, value, unit``."""
     text = as_col(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom import constants as C
 from paperloom.functions.questions import company_in_query, file_suffix_in_query
-from paperloom.operators.ranking import keep_first, ranked
+from paperloom.operators.ranking import ranked
 
 
 def _paired(vector_run: DataFrame, lexical_run: DataFrame) -> DataFrame:
@@ -46,13 +46,15 @@ def rrf(
 
 def concat_dedupe(vector_run: DataFrame, lexical_run: DataFrame) -> DataFrame:
     """Vector hits, then lexical hits not among them: ``query_id, id, side, score, rank``."""
-    parts = [
-        run.select("query_id", "id", F.lit(side).alias("side"), "score", F.col("rank").alias("side_rank"))
-        for side, run in enumerate((vector_run, lexical_run))
-    ]
-    order = [F.col("side"), F.col("side_rank")]
-    kept = keep_first(parts[0].unionByName(parts[1]), ["query_id", "id"], order)
-    return ranked(kept, ["query_id"], order).drop("side_rank")
+    pairs = _paired(vector_run, lexical_run)
+    merged = pairs.select(
+        "query_id",
+        "id",
+        F.when(F.col("v_rank").isNotNull(), 0).otherwise(1).alias("side"),
+        F.coalesce("v_score", "b_score").alias("score"),
+        F.coalesce("v_rank", "b_rank").alias("side_rank"),
+    )
+    return ranked(merged, ["query_id"], [F.col("side"), F.col("side_rank")]).drop("side_rank")
 
 
 def hybrid(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paperloom import constants as C
 from paperloom.functions.tokens import tokenize
 from paperloom.operators.ranking import top_k
+from paperloom.operators.rows import each
 from paperloom.session import fits_broadcast
 
 SCORE_DIGITS = 6
@@ -45,13 +46,14 @@ class LexicalIndex:
         Postings are range-partitioned and sorted by term, then id: a search reads only the
         row groups of its terms, and a frequent term spreads over several files.
         """
-        self.lengths.write.parquet(os.path.join(path, "lengths"))
+        self.lengths.write.mode("overwrite").parquet(os.path.join(path, "lengths"))
         (
             self.postings.repartitionByRange("term", "id")
             .sortWithinPartitions("term", "id")
-            .write.parquet(os.path.join(path, "postings"))
+            .write.mode("overwrite")
+            .parquet(os.path.join(path, "postings"))
         )
-        self.terms.write.parquet(os.path.join(path, "terms"))
+        self.terms.write.mode("overwrite").parquet(os.path.join(path, "terms"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
@@ -74,7 +76,7 @@ def _documents(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    words = docs.select("id", "dl", F.explode("tokens").alias("term"))
+    words = each(docs, ["id", "dl"], "tokens", "term")
     if vocabulary is not None:
         words = words.join(F.broadcast(vocabulary), "term", "left_semi")
     return words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
@@ -88,7 +90,7 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     """
     docs = _documents(chunks, id_col, text_col)
     terms = (
-        docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        each(docs, [], F.array_distinct("tokens"), "term")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -98,7 +100,7 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
 def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query") -> DataFrame:
     """``query_id, term, qtf``; repeated query terms count repeatedly."""
     return (
-        queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(text_col)).alias("term"))
+        each(queries, [F.col(query_id).alias("query_id")], tokenize(text_col), "term")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )

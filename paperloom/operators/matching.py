@@ -60,16 +60,19 @@ def remap_truth(samples: DataFrame, chunks: DataFrame, salts: int = 16) -> DataF
         "text",
     )
 
-    def located(left: DataFrame, key: str, how: str) -> DataFrame:
+    def located(left: DataFrame, key: str, name: str) -> DataFrame:
         other = "company" if key == "source_file" else "source_file"
         pairs = _salted_join(left.drop(other), placed.drop(other), [key, "page"], salts)
         holds = comma_free_contains(F.col("text"), F.col("value"))
-        first = pairs.where(holds).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
-        return first.withColumn("matched_by", F.lit(how))
-
-    exact = located(wanted, "source_file", "file")
-    fallback = located(wanted.join(exact, "query_id", "left_anti"), "company", "company")
-    return samples.select("query_id").join(exact.unionByName(fallback), "query_id", "left")
+        return pairs.where(holds).groupBy("query_id").agg(F.min("chunk_id").alias(name))
+
+    exact = located(wanted, "source_file", "by_file")
+    fallback = located(wanted.join(exact, "query_id", "left_anti"), "company", "by_company")
+    found = samples.select("query_id").join(exact, "query_id", "left").join(fallback, "query_id", "left")
+    how = F.when(F.col("by_file").isNotNull(), "file").when(F.col("by_company").isNotNull(), "company")
+    return found.select(
+        "query_id", F.coalesce("by_file", "by_company").alias("chunk_id"), how.alias("matched_by")
+    )
 
 
 def verify_samples(samples: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from paperloom import constants as C
 from paperloom.functions.strings import strip
 from paperloom.operators import evaluation as E
 from paperloom.operators.chunking import chunk_statistics, sentence_windows
+from paperloom.operators.rows import each, each_struct
 
 
 def chunk_grid(
@@ -38,12 +39,9 @@ def chunk_grid(
                 ).alias("lengths"),
             )
         )
-    settings = texts.select(F.explode(F.array(*columns)).alias("x")).select("x.*")
-    kept = settings.select(
-        "chunk_size",
-        "overlap",
-        F.explode(F.filter("lengths", lambda n, i: (n >= minimum) | (i == 0))).alias("n"),
-    )
+    settings = each_struct(texts, [], F.array(*columns), "chunk_size")
+    lengths = F.filter("lengths", lambda n, i: (n >= minimum) | (i == 0))
+    kept = each(settings, ["chunk_size", "overlap"], lengths, "n")
     return kept.groupBy("chunk_size", "overlap").agg(
         F.count("*").alias("total_chunks"),
         F.round(F.avg("n"), 6).alias("avg_chunk_length"),

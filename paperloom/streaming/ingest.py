@@ -9,8 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from paperloom import constants as C
 from paperloom import schemas as S
 from paperloom.models import Encoder, HashEncoder, encode_table
-from paperloom.operators.chunking import chunk_pages, sentence_windows
 from paperloom.functions.strings import strip
+from paperloom.operators.chunking import chunk_pages, sentence_windows
+from paperloom.operators.rows import each_struct
 
 
 def stream_parsed(spark: SparkSession, path: str) -> DataFrame:
@@ -62,4 +63,4 @@ def chunk_texts(
         ),
     )
     kept = F.filter(pieces, lambda p: (F.length(p["text"]) >= minimum) | (p["ord"] == 0))
-    return cut.select(id_col, F.inline(kept))
+    return each_struct(cut, [id_col], kept, "ord")
