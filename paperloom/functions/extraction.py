@@ -100,8 +100,8 @@ def all_values(text: Column | str) -> Column:
         groups.append(
             F.transform(
                 values,
-                lambda v, i, name=indicator: F.struct(
-                    F.lit(name).alias("indicator"), i.alias("ord"), v.alias("value")
+                lambda v, i: F.struct(
+                    F.lit(indicator).alias("indicator"), i.alias("ord"), v.alias("value")
                 ),
             )
         )

@@ -24,24 +24,24 @@ def chunk_grid(
 ) -> DataFrame:
     """Chunk statistics for every size and overlap: one scan, all settings in each row.
 
-    Settings whose overlap exceeds the minimum run with forced progress.
+    The minimum is raised to the overlap where it is smaller, since such windows might not move on.
     """
     columns = []
     for size, overlap in product(sizes or C.CHUNK_SIZES, overlaps or C.CHUNK_OVERLAPS):
-        spans = sentence_windows(text_col, size, overlap, minimum, forced=overlap > minimum)
+        floor = max(minimum, overlap)
+        spans = sentence_windows(text_col, size, overlap, floor)
+        lengths = F.transform(
+            spans, lambda s: F.length(strip(F.substring(F.col(text_col), s["s"] + 1, s["e"] - s["s"])))
+        )
         columns.append(
             F.struct(
                 F.lit(size).cast("bigint").alias("chunk_size"),
                 F.lit(overlap).cast("bigint").alias("overlap"),
-                F.transform(
-                    spans,
-                    lambda s: F.length(strip(F.substring(F.col(text_col), s["s"] + 1, s["e"] - s["s"]))),
-                ).alias("lengths"),
+                F.filter(lengths, lambda n, i: (n >= floor) | (i == 0)).alias("lengths"),
             )
         )
     settings = each_struct(texts, [], F.array(*columns), "chunk_size")
-    lengths = F.filter("lengths", lambda n, i: (n >= minimum) | (i == 0))
-    kept = each(settings, ["chunk_size", "overlap"], lengths, "n")
+    kept = each(settings, ["chunk_size", "overlap"], "lengths", "n")
     return kept.groupBy("chunk_size", "overlap").agg(
         F.count("*").alias("total_chunks"),
         F.round(F.avg("n"), 6).alias("avg_chunk_length"),
