@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
-from paperloom.functions.strings import any_contains, as_col, format_text
+from paperloom.functions.strings import any_contains, as_col, format_text, let
 
 
 def numbers(text: Column | str, pattern: str) -> Column:
@@ -20,9 +20,16 @@ def _missing(found: Column, context: Column) -> Column:
 def hallucination(answer: Column | str, context: Column | str) -> Column:
     """``score, unverified_numbers, unverified_dates, has_citation, is_hallucination``."""
     answer = as_col(answer)
-    context = F.coalesce(as_col(context), F.lit(""))
-    bad_numbers = _missing(numbers(answer, C.NUMBER_IN_ANSWER), context)
-    bad_dates = _missing(numbers(answer, C.DATE_IN_ANSWER), context)
+    return let(F.coalesce(as_col(context), F.lit("")), lambda text: let(
+        F.struct(
+            _missing(numbers(answer, C.NUMBER_IN_ANSWER), text).alias("numbers"),
+            _missing(numbers(answer, C.DATE_IN_ANSWER), text).alias("dates"),
+        ),
+        lambda bad: _judged(answer, bad["numbers"], bad["dates"]),
+    ))
+
+
+def _judged(answer: Column, bad_numbers: Column, bad_dates: Column) -> Column:
     cited = any_contains(answer, C.CITATION_MARKS)
     # tenths as integers: the limit is strict and must not depend on float rounding
     tenths = (
@@ -139,19 +146,21 @@ def overlap_metrics(question: Column, answer: Column, contexts: Column, truth: C
 
     All arguments are word sets; ``contexts`` is an array of them. Recall is NULL without truth.
     """
-    joined = F.array_distinct(F.flatten(contexts))
 
     def share(a: Column, b: Column) -> Column:
         return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
 
-    shares = F.transform(contexts, lambda c: share(question, c))
-    precision = F.when(
-        F.size(contexts) > 0,
-        F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x) / F.size(contexts),
-    ).otherwise(F.lit(0.0))
-    return F.struct(
-        share(answer, joined).alias("faithfulness"),
-        share(question, answer).alias("relevancy"),
-        precision.alias("context_precision"),
-        F.when(truth.isNotNull(), share(truth, joined)).alias("context_recall"),
-    )
+    def metrics(sets: Column) -> Column:
+        asked, found = sets["question"], sets["contexts"]
+        total = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + share(asked, c))
+        precision = F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
+        return F.struct(
+            share(sets["answer"], sets["joined"]).alias("faithfulness"),
+            share(asked, sets["answer"]).alias("relevancy"),
+            precision.alias("context_precision"),
+            F.when(sets["truth"].isNotNull(), share(sets["truth"], sets["joined"])).alias("context_recall"),
+        )
+
+    joined = F.array_distinct(F.flatten(contexts))
+    names = {"question": question, "answer": answer, "contexts": contexts, "truth": truth, "joined": joined}
+    return let(F.struct(*[c.alias(n) for n, c in names.items()]), metrics)

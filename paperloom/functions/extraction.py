@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
-from paperloom.functions.strings import as_col, format_text, strip, text_array
+from paperloom.functions.strings import as_col, format_text, let, strip, text_array
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -58,9 +58,14 @@ def indicator_candidates(text: Column | str) -> Column:
 
 def first_per_indicator(candidates: Column | str) -> Column:
     """Keep the first candidate of every indicator, inside the row."""
-    candidates = as_col(candidates)
-    names = F.transform(candidates, lambda s: s["indicator"])
-    return F.filter(candidates, lambda s, i: F.array_position(names, s["indicator"]) == i + 1)
+
+    def firsts(found: Column) -> Column:
+        names = F.transform(found, lambda s: s["indicator"])
+        return let(
+            names, lambda n: F.filter(found, lambda s, i: F.array_position(n, s["indicator"]) == i + 1)
+        )
+
+    return let(candidates, firsts)
 
 
 def values_with_unit(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.strings import as_col, without_space
+from paperloom.functions.strings import as_col, let, without_space
 
 _CID = r"\(cid\s*:\s*\d+\s*\)"
 _PRIVATE_BMP = r"\x{E000}-\x{F8FF}"
@@ -50,18 +50,20 @@ def font_encoding_issue(chars: Column | str, min_chars: int = 20) -> Column:
     """
     chars = as_col(chars)
     solid = F.filter(chars, lambda c: F.length(without_space(c["text"])) > 0)
-    total = F.size(solid)
-    subset = F.size(F.filter(solid, lambda c: c["fontname"].rlike(_SUBSET_FONT)))
-    cjk = F.size(F.filter(solid, lambda c: c["text"].rlike(_CJK_CHAR)))
-    punct = F.size(F.filter(solid, lambda c: c["text"].rlike(_PUNCT_CHAR)))
-    return F.coalesce(
-        (F.size(chars) >= min_chars)
-        & (total >= min_chars)
-        & (subset / total >= 0.3)
-        & (cjk / total < 0.05)
-        & (punct / total > 0.4),
-        F.lit(False),
-    )
+
+    def broken(marks: Column) -> Column:
+        total = F.size(marks)
+        subset = F.size(F.filter(marks, lambda c: c["fontname"].rlike(_SUBSET_FONT)))
+        cjk = F.size(F.filter(marks, lambda c: c["text"].rlike(_CJK_CHAR)))
+        punct = F.size(F.filter(marks, lambda c: c["text"].rlike(_PUNCT_CHAR)))
+        return (
+            (total >= min_chars)
+            & (subset / total >= 0.3)
+            & (cjk / total < 0.05)
+            & (punct / total > 0.4)
+        )
+
+    return F.coalesce(let(solid, broken), F.lit(False))
 
 
 def visible_char(char: Column) -> Column:

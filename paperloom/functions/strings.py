@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """Evaluate an expression once per row and use it several times, also inside lambdas."""
+    return F.get(F.transform(F.array(as_col(value)), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Trim all Unicode white space, not only blanks."""
     return F.regexp_replace(as_col(text), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
+from paperloom.functions.strings import let
 from paperloom.functions.tables import jaccard
 
 
@@ -139,9 +140,12 @@ def text_overlap(extracted: Column, truth: Column) -> Column:
 
 def table_recall(extracted: Column, truth: Column) -> Column:
     """Share of truth tables matched by an extracted one; both are arrays of cell sets."""
-    matched = F.size(
-        F.filter(truth, lambda t: F.exists(extracted, lambda e: jaccard(e, t) > C.TABLE_MATCH_LIMIT))
-    )
-    return F.when(F.size(truth) > 0, matched / F.size(truth)).otherwise(
-        F.when(F.size(extracted) > 0, 0.0).otherwise(1.0)
-    )
+
+    def share(sets: Column) -> Column:
+        seen, wanted = sets["seen"], sets["wanted"]
+        matched = F.filter(wanted, lambda t: F.exists(seen, lambda e: jaccard(e, t) > C.TABLE_MATCH_LIMIT))
+        return F.when(F.size(wanted) > 0, F.size(matched) / F.size(wanted)).otherwise(
+            F.when(F.size(seen) > 0, 0.0).otherwise(1.0)
+        )
+
+    return let(F.struct(extracted.alias("seen"), truth.alias("wanted")), share)

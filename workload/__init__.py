@@ -1,6 +1,6 @@
 """Registered queries over the test tables and the SQL that checks them."""
 
-from workload import chunks, retrieval  # noqa: F401
+from workload import chunks, pages, retrieval  # noqa: F401
 from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
