@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,13 +36,20 @@ def segment_cjk(text: Column | str) -> Column:
     return F.regexp_extract_all(as_col(text), F.lit(SEGMENT_PATTERN), F.lit(0))
 
 
-def tokenize(text: Column | str) -> Column:
+def tokenize(text: Column | str, segmenter: Callable[[Column], Column] | None = None) -> Column:
     """Bag of index tokens: contained terms, words, numbers and CJK segments, less stopwords.
 
     One regular expression pass collects words, numbers and segments; a term that is also a
-    segment is counted twice, as the ranking expects.
+    segment is counted twice, as the ranking expects. A ``segmenter`` (array of CJK runs to
+    array of words) replaces the built-in matching; its one-character words are dropped.
     """
     text = as_col(text)
+    if segmenter is not None:
+        plain = F.regexp_extract_all(text, F.lit(r"(?U)[a-zA-Z]{2,}|\d+\.?\d*"), F.lit(0))
+        runs = F.regexp_extract_all(text, F.lit(r"[一-鿿]+"), F.lit(0))
+        words = F.filter(segmenter(runs), lambda w: F.length(w) > 1)
+        found = F.concat(F.transform(plain, F.lower), words)
+        return F.concat(finance_terms(text), F.filter(found, lambda t: ~t.isin(C.STOPWORDS)))
     scanned = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), F.lower)
     kept = F.filter(scanned, lambda t: ~t.isin(C.STOPWORDS))
     return F.concat(finance_terms(text), kept)

@@ -11,10 +11,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.constants import GENERATION_ERROR
+from paperloom.constants import FINANCE_TERMS, GENERATION_ERROR
 from paperloom.functions.answers import mock_answer
 from paperloom.functions.strings import as_col
 from paperloom.functions.tokens import hash_slots, tokenize
@@ -48,19 +50,35 @@ class HashEncoder:
     def encode(self, text: Column | str) -> Column:
         dim = self.dim
 
-        @F.pandas_udf("array<float>")
-        def gather(slots: pd.Series) -> pd.Series:
-            out = []
-            for row in slots:
-                slot = np.asarray(row if row is not None else [], dtype=np.int64)
-                vector = np.bincount(np.abs(slot) - 1, weights=np.sign(slot), minlength=dim)
-                norm = np.linalg.norm(vector)
-                out.append((vector / norm if norm else vector).astype(np.float32))
-            return pd.Series(out)
+        @F.arrow_udf("array<float>")
+        def gather(slots: pa.Array) -> pa.Array:
+            rows = len(slots)
+            lengths = pc.fill_null(pc.list_value_length(slots), 0).to_numpy(zero_copy_only=False)
+            slot = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            cell = np.repeat(np.arange(rows), lengths) * dim + np.abs(slot) - 1
+            sums = np.bincount(cell, weights=np.sign(slot), minlength=rows * dim).reshape(rows, dim)
+            norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            units = (sums / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+            offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
+            return pa.ListArray.from_arrays(offsets, units.ravel())
 
         return gather(hash_slots(tokenize(text), dim))
 
 
+def jieba_segmenter() -> Callable[[Column], Column]:
+    """Word segmenter for :func:`tokenize`; needs the optional ``jieba`` package on the workers."""
+
+    @F.pandas_udf("array<string>")
+    def segment(runs: pd.Series) -> pd.Series:
+        import jieba
+
+        for term in FINANCE_TERMS:
+            jieba.add_word(term)
+        return runs.map(lambda texts: [w for text in texts for w in jieba.lcut(text)])
+
+    return segment
+
+
 class FunctionEncoder:
     """Wrap ``factory() -> encode(list[str]) -> matrix``; the factory runs once per worker."""
 

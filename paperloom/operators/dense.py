@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from paperloom.operators.ranking import ranked
 
 SCORE_DIGITS = 6
+QUERY_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,28 @@ def _merge(best: _Best | None, scores: np.ndarray, ids: np.ndarray, k: int, high
     return _Best(scores[picked], ids[picked])
 
 
+def _scan(
+    best: dict[int, _Best],
+    asked: np.ndarray,
+    stored: np.ndarray,
+    ids: np.ndarray,
+    k: int,
+    high: bool,
+    lists: np.ndarray | None = None,
+    probes: list | None = None,
+) -> None:
+    """Score stored vectors against all questions, a bounded block of questions at a time."""
+    for start in range(0, len(asked), QUERY_BLOCK):
+        scores = np.round(asked[start : start + QUERY_BLOCK] @ stored.T, SCORE_DIGITS)
+        for offset, row in enumerate(scores):
+            number, row_ids = start + offset, ids
+            if lists is not None:
+                mask = np.isin(lists, list(probes[number]))
+                row, row_ids = row[mask], ids[mask]
+            if len(row):
+                best[number] = _merge(best.get(number), row, row_ids, k, high)
+
+
 def _rows(query_ids: list, best: dict[int, _Best], types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
     q, i, s = [], [], []
     for number, rows in best.items():
@@ -151,18 +174,10 @@ def _by_broadcast(
         query_ids, matrix, probes = payload.value
         best: dict[int, _Best] = {}
         for batch in batches:
-            if batch.num_rows == 0 or matrix is None:
-                continue
-            ids = _ids(batch.column("id"))
-            scores = np.round(matrix @ _normalised(_matrix(batch.column("vector")), eps).T, SCORE_DIGITS)
-            lists = batch.column("list_no").to_numpy() if probes else None
-            for number in range(len(query_ids)):
-                row, row_ids = scores[number], ids
-                if lists is not None:
-                    mask = np.isin(lists, list(probes[number]))
-                    row, row_ids = row[mask], ids[mask]
-                if len(row):
-                    best[number] = _merge(best.get(number), row, row_ids, k, high)
+            if batch.num_rows and matrix is not None:
+                vectors = _normalised(_matrix(batch.column("vector")), eps)
+                lists = batch.column("list_no").to_numpy() if probes else None
+                _scan(best, matrix, vectors, _ids(batch.column("id")), k, high, lists, probes)
         if best:
             yield _rows(query_ids, best, types)
 
@@ -195,17 +210,16 @@ def _by_grid(
         best: dict[int, _Best] = {}
         query_ids = queries.column("query_id").to_pylist()
         if queries.num_rows and vectors.num_rows:
-            asked_matrix = _normalised(_matrix(queries.column("vector")), eps)
-            ids = _ids(vectors.column("id"))
-            stored_matrix = _normalised(_matrix(vectors.column("vector")), eps)
-            lists = vectors.column("list_no").to_numpy() if probing else None
-            for number in range(len(query_ids)):
-                row, row_ids = np.round(stored_matrix @ asked_matrix[number], SCORE_DIGITS), ids
-                if probing:
-                    mask = np.isin(lists, queries.column("probes")[number].as_py())
-                    row, row_ids = row[mask], ids[mask]
-                if len(row):
-                    best[number] = _merge(None, row, row_ids, k, high)
+            _scan(
+                best,
+                _normalised(_matrix(queries.column("vector")), eps),
+                _normalised(_matrix(vectors.column("vector")), eps),
+                _ids(vectors.column("id")),
+                k,
+                high,
+                vectors.column("list_no").to_numpy() if probing else None,
+                queries.column("probes").to_pylist() if probing else None,
+            )
         return pa.Table.from_batches([_rows(query_ids, best, types)])
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(cell, schema)
@@ -240,6 +254,15 @@ def assign_lists(
     return vectors.mapInArrow(assign, schema)
 
 
+def search_by_kind(kind: str, vectors: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+    """``flat`` is exact; ``ivf`` needs ``centroids`` and assigned vectors. No other kind exists."""
+    if kind == "flat":
+        return dense_topk(vectors, queries, k, **options)
+    if kind == "ivf":
+        return probed_topk(vectors, queries, options.pop("centroids"), k, **options)
+    raise ValueError(f"unsupported index kind {kind!r}: use flat or ivf")
+
+
 def train_lists(vectors: DataFrame, n_lists: int, vector_col: str = "embedding", seed: int = 42) -> DataFrame:
     """Centroids of a distributed k-means: ``list_no, embedding``."""
     from pyspark.ml.clustering import KMeans
