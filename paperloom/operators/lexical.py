@@ -115,7 +115,8 @@ def _score(
     else:
         # too many query terms to send around: spread each term's postings over ``salts`` keys
         salted = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+        copies = wanted.withColumn("salt", F.explode(every))
         hits = salted.join(copies, ["term", "salt"])
     part = F.col("qtf") * F.col("idf") * _weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
     return (

@@ -330,7 +330,7 @@ sq AS (SELECT doc_id, text, regexp_replace(text, '\\s', '', 'g') AS solid FROM b
 
 def _broken(t):
     text = (
-        F.when(F.col("lang") == "de", F.translate("text", "enr", "�"))
+        F.when(F.col("lang") == "de", F.translate("text", "enr", "\ue000\ue001\ufffd"))
         .when(F.col("lang") == "fr", F.replace("text", F.lit("euxe"), F.lit("(cid:12)")))
         .when(F.col("lang") == "es", F.replace("text", F.lit("a"), F.lit("\x07")))
         .otherwise(F.col("text"))
