@@ -10,8 +10,9 @@ from paperloom.functions.strings import as_col, format_text, let, strip, text_ar
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
+    # the captured value is never empty, so an empty result means no match
     found = F.regexp_extract(text, "(?U)" + pattern, group)
-    return F.when(text.rlike("(?U)" + pattern), found)
+    return F.when(found != "", found)
 
 
 def _kind(indicator: str) -> str:

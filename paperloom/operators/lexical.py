@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
@@ -75,13 +75,23 @@ def _documents(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def _postings(docs: DataFrame) -> DataFrame:
     words = each(docs, ["id", "dl"], "tokens", "term")
-    if vocabulary is not None:
-        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
     return words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
 
+def _asked_postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Postings of the asked terms; all other tokens of a document count under the empty term.
+
+    The token counts therefore still add up to the size of the collection. The empty term is
+    no token and, unlike NULL, invites no filter that would set apart the plans sharing this.
+    """
+    known = F.broadcast(vocabulary.withColumn("known", F.lit(True)))
+    words = docs.select("id", "dl", F.explode_outer("tokens").alias("term")).join(known, "term", "left")
+    asked = F.coalesce(F.when(F.col("known"), F.col("term")), F.lit("")).alias("term")
+    return words.groupBy("id", asked, "dl").agg(F.count(words["term"]).alias("tf"))
+
+
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> LexicalIndex:
     """Index a chunk collection.
 
@@ -159,21 +169,30 @@ def search_chunks(
 ) -> DataFrame:
     """Top ``k`` per query straight from texts, for collections that are asked once.
 
-    Only tokens of the query vocabulary leave their document; lengths and the document count
-    come from a narrow pass. The postings shuffle serves both the document frequencies and
-    the scoring.
+    Only tokens of the query vocabulary leave their document one by one; the rest are counted
+    in place. The texts are read and tokenised once: one shuffle of postings serves the mean
+    length, the document frequencies and the scoring.
     """
     asked = query_terms(queries, query_id, query_col)
     if not fits_broadcast(asked, broadcast_bytes):
         index = build_index(chunks, id_col, text_col)
         return search(index, queries, k, query_id, query_col, k1, b, broadcast_bytes)
     docs = _documents(chunks, id_col, text_col)
-    postings = _postings(docs, asked.select("term").distinct())
-    n_docs = docs.select(F.count("*")).scalar()
-    avgdl = docs.select(F.avg("dl")).scalar()
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = asked.join(terms, "term").select(
-        "query_id", "term", "qtf", idf(n_docs, F.col("df")).alias("idf")
+    postings = _asked_postings(docs, asked.select("term").distinct())
+    n_docs = chunks.select(F.count("*")).scalar()
+    # asked terms always have a positive count; naming it keeps this branch equal to the scored
+    # one, so that both read the same shuffle
+    terms = postings.groupBy("term").agg(
+        F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf")
+    )
+    # the window spans the asked vocabulary, whose size was checked above
+    sized = terms.withColumn("n_tokens", F.sum("cf").over(Window.partitionBy()))
+    wanted = asked.join(sized, "term").select(
+        "query_id",
+        "term",
+        "qtf",
+        idf(n_docs, F.col("df")).alias("idf"),
+        (F.col("n_tokens") / n_docs).alias("avgdl"),
     )
-    return top_k(_score(wanted, postings, avgdl, k1, b, True, 1), k)
+    return top_k(_score(wanted, postings, F.col("avgdl"), k1, b, True, 1), k)
 

@@ -1,11 +1,14 @@
 """Corpus administration: duplicates, pending work, counts and samples."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
 from paperloom.operators import matching as M
 from paperloom.operators.ranking import keep_first
 from paperloom.session import shared_dir
+from paperloom.streaming.ingest import ingest_available, stream_parsed
 from workload.base import FILINGS_SQL, filings, register
 
 
@@ -94,10 +97,6 @@ def sample_split(t):
 )
 def incremental_ingest(t):
     """Two arrivals and a run without news through the checkpointed stream; pages per run."""
-    import os
-
-    from paperloom.streaming.ingest import ingest_available, stream_parsed
-
     root = os.path.join(shared_dir(t.spark), f"ingest-{os.urandom(6).hex()}")
     pages = t.documents.select(
         F.col("doc_id").cast("string").alias("source"),
@@ -115,7 +114,7 @@ def incremental_ingest(t):
         F.lit(None).cast("double").alias("height"),
         (F.col("doc_id") % 2).alias("round"),
     )
-    seen = []
+    progress = []
     for number in range(3):
         if number < 2:
             pages.where(F.col("round") == number).drop("round").write.mode("append").parquet(f"{root}/pages")
@@ -123,10 +122,8 @@ def incremental_ingest(t):
             stream_parsed(t.spark, f"{root}/pages"), f"{root}/chunks", f"{root}/vectors", f"{root}/checkpoint", overlap=100
         )
         query.awaitTermination()
-        batch = F.col("batch") if seen else F.lit(0)
-        stored = t.spark.read.parquet(f"{root}/chunks")
-        counted = stored.groupBy("batch").agg(F.count_distinct("source").alias("n"))
-        seen.append(counted)
-    runs = seen[-1]
-    empty = t.spark.range(2, 3).select(F.col("id").alias("round"), F.lit(0).cast("bigint").alias("n_pages"))
-    return runs.select(F.col("batch").cast("bigint").alias("round"), F.col("n").alias("n_pages")).unionByName(empty)
+        progress.append((number, sum(p["numInputRows"] for p in query.recentProgress)))
+    stored = t.spark.read.parquet(f"{root}/chunks").groupBy("batch").agg(F.count_distinct("source").alias("n_pages"))
+    runs = t.spark.createDataFrame(progress, "round bigint, n_read bigint")
+    joined = runs.join(stored, runs["round"] == stored["batch"], "left")
+    return joined.select("round", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
