@@ -20,11 +20,12 @@ from paperloom.operators.rows import each
 from paperloom.session import fits_broadcast
 
 SCORE_DIGITS = 6
+TERM_BUCKETS = 256
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``lengths(id, dl)``, ``postings(term, id, tf, dl)`` and ``terms(term, df)``."""
+    """``lengths(id, dl)``, ``postings(bucket, term, id, tf, dl)`` and ``terms(term, df)``."""
 
     lengths: DataFrame
     postings: DataFrame
@@ -43,14 +44,15 @@ class LexicalIndex:
     def save(self, path: str) -> None:
         """Write the three tables.
 
-        Postings are range-partitioned and sorted by term, then id: a search reads only the
-        row groups of its terms, and a frequent term spreads over several files.
+        Postings lie in one folder per term bucket, so that a search reads only the buckets of
+        its terms. They are ranged by bucket, term and id: a frequent term spreads over files.
         """
         self.lengths.write.mode("overwrite").parquet(os.path.join(path, "lengths"))
         (
-            self.postings.repartitionByRange("term", "id")
-            .sortWithinPartitions("term", "id")
+            self.postings.repartitionByRange("bucket", "term", "id")
+            .sortWithinPartitions("bucket", "term", "id")
             .write.mode("overwrite")
+            .partitionBy("bucket")
             .parquet(os.path.join(path, "postings"))
         )
         self.terms.write.mode("overwrite").parquet(os.path.join(path, "terms"))
@@ -60,6 +62,10 @@ class LexicalIndex:
         return cls(*[spark.read.parquet(os.path.join(path, n)) for n in ("lengths", "postings", "terms")])
 
 
+def term_bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
@@ -77,7 +83,8 @@ def _documents(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _postings(docs: DataFrame) -> DataFrame:
     words = each(docs, ["id", "dl"], "tokens", "term")
-    return words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    counted = words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    return counted.select(term_bucket("term").alias("bucket"), "term", "id", "tf", "dl")
 
 
 def _asked_postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -119,15 +126,23 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str =
 def _score(
     wanted: DataFrame, postings: DataFrame, avgdl: Column, k1: float, b: float, small: bool, salts: int
 ) -> DataFrame:
-    """Sum of term contributions per (query, document)."""
+    """Sum of term contributions per (query, document).
+
+    Stored postings also join on their bucket; the test on ``qtf``, true of every row, lets the
+    scan be pruned to the buckets asked for.
+    """
+    keys = ["term"]
+    if "bucket" in postings.columns:
+        keys = ["bucket", "term"]
+        wanted = wanted.where("qtf > 0").withColumn("bucket", term_bucket("term"))
     if small:
-        hits = postings.join(F.broadcast(wanted), "term")
+        hits = postings.join(F.broadcast(wanted), keys)
     else:
         # too many query terms to send around: spread each term's postings over ``salts`` keys
         salted = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
         every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
         copies = wanted.withColumn("salt", F.explode(every))
-        hits = salted.join(copies, ["term", "salt"])
+        hits = salted.join(copies, [*keys, "salt"])
     part = F.col("qtf") * F.col("idf") * _weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
     return (
         hits.groupBy("query_id", "id")

@@ -62,9 +62,12 @@ def remap_truth(samples: DataFrame, chunks: DataFrame, salts: int = 16) -> DataF
 
     def located(left: DataFrame, key: str, name: str) -> DataFrame:
         other = "company" if key == "source_file" else "source_file"
-        pairs = _salted_join(left.drop(other), placed.drop(other), [key, "page"], salts)
+        # each place and value is looked up once, however many samples share it
+        keys = [key, "page", "value"]
+        pairs = _salted_join(left.select(*keys).distinct(), placed.drop(other), [key, "page"], salts)
         holds = comma_free_contains(F.col("text"), F.col("value"))
-        return pairs.where(holds).groupBy("query_id").agg(F.min("chunk_id").alias(name))
+        first = pairs.where(holds).groupBy(*keys).agg(F.min("chunk_id").alias(name))
+        return left.select("query_id", *keys).join(first, keys).groupBy("query_id").agg(F.min(name).alias(name))
 
     exact = located(wanted, "source_file", "by_file")
     fallback = located(wanted.join(exact, "query_id", "left_anti"), "company", "by_company")

@@ -98,7 +98,9 @@ def test_lexical_paths_agree_under_a_hot_term(spark, corpus, asked, tmp_path):
     assert rows(lexical.search(index, asked, 12, broadcast_bytes=0, salts=7)) == direct
     assert rows(lexical.search_chunks(corpus, asked, 12, broadcast_bytes=0)) == direct
     index.save(str(tmp_path / "index"))
-    assert rows(lexical.search(lexical.LexicalIndex.load(spark, str(tmp_path / "index")), asked, 12)) == direct
+    stored = lexical.search(lexical.LexicalIndex.load(spark, str(tmp_path / "index")), asked, 12)
+    assert rows(stored) == direct
+    assert "dynamicpruning" in stored._jdf.queryExecution().executedPlan().toString()
     assert len([r for r in direct if r[0] == 0]) == 12
 
 
