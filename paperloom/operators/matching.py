@@ -10,6 +10,8 @@ from paperloom.functions.answers import answer_in_text, comma_free_contains, num
 from paperloom.functions.extraction import source_company
 from paperloom.functions.strings import as_col, format_text
 from paperloom.operators.ranking import keep_first
+from paperloom.operators.rows import each
+from paperloom.session import write_through
 
 
 def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -37,21 +39,18 @@ def answer_values(answer: Column | str) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.coalesce(clause, F.left(answer, F.lit(8)))))
 
 
-def remap_truth(samples: DataFrame, chunks: DataFrame, salts: int = 16) -> DataFrame:
+def remap_truth(samples: DataFrame, chunks: DataFrame, salts: int = 8) -> DataFrame:
     """Find the chunk that holds the answer of every sample.
 
     ``samples``: ``query_id, source_file, page_num, company, answer``. A chunk matches if its
     source and page agree and its text contains any value of the answer, commas aside; without
     such a chunk one from the same company and page is taken. The smallest chunk id wins.
-    Unmatched samples stay, with a NULL ``chunk_id``, so that nobody divides by too few.
+    Unmatched samples stay, with a NULL ``chunk_id``, so that nobody divides by too few. The
+    values and the first matches are written to the shared folder, since later steps read them
+    again.
     """
-    wanted = samples.select(
-        "query_id",
-        "source_file",
-        "company",
-        F.col("page_num").cast("string").alias("page"),
-        F.explode(answer_values("answer")).alias("value"),
-    )
+    place = ["query_id", "source_file", "company", F.col("page_num").cast("string").alias("page")]
+    wanted = write_through(each(samples, place, answer_values("answer"), "value"), "answer-values")
     placed = chunks.select(
         "chunk_id",
         F.col("source").alias("source_file"),
@@ -69,7 +68,7 @@ def remap_truth(samples: DataFrame, chunks: DataFrame, salts: int = 16) -> DataF
         first = pairs.where(holds).groupBy(*keys).agg(F.min("chunk_id").alias(name))
         return left.select("query_id", *keys).join(first, keys).groupBy("query_id").agg(F.min(name).alias(name))
 
-    exact = located(wanted, "source_file", "by_file")
+    exact = write_through(located(wanted, "source_file", "by_file"), "matched-by-file")
     fallback = located(wanted.join(exact, "query_id", "left_anti"), "company", "by_company")
     found = samples.select("query_id").join(exact, "query_id", "left").join(fallback, "query_id", "left")
     how = F.when(F.col("by_file").isNotNull(), "file").when(F.col("by_company").isNotNull(), "company")
@@ -148,7 +147,7 @@ def company_summary(documents: DataFrame) -> DataFrame:
         F.sum("n_pages").alias("total_pages"),
         F.sum("n_tables").alias("total_tables"),
     )
-    flags = documents.select("company", F.explode("indicators").alias("indicator")).distinct()
+    flags = each(documents, ["company"], "indicators", "indicator").distinct()
     named = flags.groupBy("company").agg(F.array_sort(F.collect_list("indicator")).alias("indicators"))
     joined = totals.join(named, "company", "left").withColumn(
         "indicators", F.coalesce("indicators", F.array().cast("array<string>"))
