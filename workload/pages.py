@@ -49,12 +49,15 @@ def layout_columns(t):
     return blocks(t).select("doc_id", L.layout_type(boxes, 600.0).alias("layout_type"))
 
 
-_TYPED = """typed AS (SELECT *, CASE WHEN y1 < height * 0.15::DOUBLE THEN 'header' WHEN y0 > height * 0.9::DOUBLE THEN 'footer' ELSE 'text' END AS block_type FROM blocks)"""
+_TYPED = """typed AS (SELECT *, CASE WHEN y1 < height * 0.15::DOUBLE THEN 'header' WHEN y0 > height * 0.9::DOUBLE THEN 'footer' ELSE 'text' END AS block_type FROM blocks)"""  # zones only; titles count as content
 
 
 @register(
     "header_footer",
-    f"""WITH {BLOCKS_SQL}, {_TYPED} SELECT doc_id, CAST(i AS BIGINT) AS block_no, block_type FROM typed""",
+    f"""WITH {BLOCKS_SQL}, {_TYPED}, b AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS body FROM typed)
+    SELECT doc_id, CAST(i AS BIGINT) AS block_no, CASE WHEN block_type = 'text' AND length(body) <= 100 AND regexp_matches(body,
+      '^(第[一二三四五六七八九十]+[章节]|第\\d+[章节]|\\d+[、.．]\\s*\\S+|[一二三四五六七八九十]+[、]\\s*\\S+|[\\(（]\\d+[）\\)]\\s*\\S+|[1-9]\\d*\\.\\d+\\s+\\S+)') THEN 'title' ELSE block_type END AS block_type
+    FROM b""",
 )
 def header_footer(t):
     typed = F.transform(
