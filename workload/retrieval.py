@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from paperloom import constants as C
 from paperloom.functions.tokens import finance_terms, segment_cjk, tokenize
-from paperloom.models import HashEncoder
 from paperloom.operators import fusion, lexical
 from paperloom.operators.dense import assign_lists, dense_topk, probed_topk
 from paperloom.operators.matching import lookup
@@ -15,7 +14,6 @@ from paperloom.plans.experiments import ann_recall
 from workload.base import (
     ASKED_SQL,
     ASKED_VECTOR_SQL,
-    DIM,
     DOCS_SQL,
     FILINGS_SQL,
     JUDGED_SQL,
