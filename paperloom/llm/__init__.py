@@ -1,6 +1,6 @@
 """Operators for training-data pipelines and their registered queries."""
 
-from paperloom.llm import fingerprint, html_text, language, pieces, simhash, url_filter  # noqa: F401
+from paperloom.llm import fingerprint, html_text, language, pieces, pii, simhash, url_filter  # noqa: F401
 from paperloom.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
