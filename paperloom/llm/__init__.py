@@ -1,6 +1,4 @@
-"""Operators for training-data pipelines and their registered queries."""
+"""Operators for training-data pipelines; their queries are in ``queries``.
 
-from paperloom.llm import fingerprint, html_text, language, pieces, pii, simhash, url_filter  # noqa: F401
-from paperloom.llm.base import ORACLES, QUERIES
-
-__all__ = ["ORACLES", "QUERIES"]
+Nothing is imported here, so that a Python worker loads only the operator it runs.
+"""

@@ -20,7 +20,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +52,8 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
+    import pandas as pd
+
     for batch in batches:
         sums: dict[str, np.ndarray] = {}
         for lang, text in zip(batch["lang"], batch["text"]):

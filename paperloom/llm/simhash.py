@@ -22,7 +22,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -142,7 +141,9 @@ def wide_fingerprints(width: int, words: int):
 def _cell_links(limit: int):
     """Links inside one cell of a hot key: a spanning forest of the pairs within ``limit`` bits."""
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
+    def run(cell):
+        import pandas as pd
+
         cell = cell.drop_duplicates("id")
         signs = np.unpackbits(np.array(cell["fp"].tolist(), np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
         ids = cell["id"].tolist()
