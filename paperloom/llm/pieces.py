@@ -6,8 +6,8 @@ ending within one piece length of the front) run through a common boundary, the
 are committed and forgotten. So memory is bounded by how far paths stay apart, not by the text.
 
 Where a vocabulary has no piece with the space mark behind another character, every first mark of
-a run is such a boundary for all paths; segments between them then repeat and are kept in a
-table per worker (bounded, emptied when full). Vocabularies without that property are streamed whole.
+a run is such a boundary for all paths. The segments between repeat, so they are kept in a bounded
+table per worker, and new short ones are searched many at a time by the same recurrence. Vocabularies without that property are streamed whole.
 
 A unigram model's scores are log probabilities. A merge vocabulary stores minus the rank of
 each piece; Zipf's law makes that a probability: 1 / ((rank + 2.7) ln V). The ids are the
@@ -38,7 +38,8 @@ from paperloom.llm.base import register, table
 MARK = "▁"
 SWAP = str.maketrans({" ": MARK, MARK: " "})
 MODEL = "piece_bpe_32k.model"
-KEPT, LONGEST = 300_000, 64
+KEPT, LONGEST, TOGETHER = 150_000, 64, 24
+BASE, MIX, TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,6 +50,11 @@ def vocabulary_path(name: str) -> str:
     return f"/opt/tokenizers/{name}"
 
 
+def marked(text: str) -> str:
+    """The text with space and space mark exchanged, behind the leading mark."""
+    return MARK + (text.translate(SWAP) if MARK in text else text.replace(" ", MARK))
+
+
 class Pieces:
     """A vocabulary with its scores, byte pieces and the segment table."""
 
@@ -77,7 +83,19 @@ class Pieces:
             self.out[i] = p.translate(SWAP).encode()
         for b, i in self.bytes.items():
             self.out[i] = bytes([b])
-        self.segments: dict[str, bytes] = {}
+        hashed = {}
+        for p, i in self.ids.items():
+            value = 0
+            for c in p:
+                value = (value * int(BASE) + ord(c) + 1) & TOP
+            hashed[value] = (self.scores[p], i)
+        self.keys = np.array(sorted(hashed), np.uint64)
+        self.values = np.array([hashed[int(k)][0] for k in self.keys])
+        self.key_ids = np.array([hashed[int(k)][1] for k in self.keys], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys * MIX) >> np.uint64(44)] = True
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def stand_in(self, char: str) -> list[int]:
         """Ids of a character outside the vocabulary."""
@@ -150,23 +168,100 @@ class Pieces:
             end = back[end]
         return b"".join(parts[::-1])
 
+    def _same_length(self, texts: list[str]) -> list[bytes]:
+        """The search of :meth:`_short` for many segments of one length at once."""
+        count, size, none = len(texts), len(texts[0]), float("-inf")
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(count, size).astype(np.uint64)
+        hashes, power = [np.zeros(count, np.uint64)], [np.uint64(1)]
+        for i in range(size):
+            hashes.append(hashes[-1] * BASE + codes[:, i] + np.uint64(1))
+            power.append(np.uint64(int(power[-1]) * int(BASE) & TOP))
+        best, back, which = [np.zeros(count)], [None], [None]
+        for end in range(1, size + 1):
+            top, link, piece = np.full(count, none), np.zeros(count, np.int64), np.full(count, -1, np.int64)
+            for start in range(max(0, end - self.longest), end):
+                value = hashes[end] - hashes[start] * power[end - start]
+                rows = np.flatnonzero(self.maybe[(value * MIX) >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.keys, value[rows]), len(self.keys) - 1)
+                known = self.keys[at] == value[rows]
+                rows, at = rows[known], at[known]
+                total = best[start][rows] + self.values[at]
+                better = total > top[rows]
+                rows, at = rows[better], at[better]
+                top[rows], link[rows], piece[rows] = total[better], start, self.key_ids[at]
+            lost = top == none  # only a stand-in reaches this boundary
+            top[lost], link[lost] = best[end - 1][lost] + self.fallback, end - 1
+            best.append(top)
+            back.append(link)
+            which.append(piece)
+        back[0] = which[0] = np.zeros(count, np.int64)
+        links, names = np.stack(back), np.stack(which)
+        ends, line = np.full(count, size), np.arange(count)
+        ids, used, whole = np.zeros((count, size), "<i4"), np.zeros(count, np.int64), np.ones(count, bool)
+        while (ends > 0).any():
+            going = line[ends > 0]
+            found = names[ends[going], going]
+            used[going] += 1
+            ids[going, size - used[going]] = found
+            whole[going] &= found >= 0
+            ends[going] = links[ends[going], going]
+        return [ids[i, size - used[i] :].tobytes() if whole[i] else self._short(t) for i, t in enumerate(texts)]
+
+    def learn(self, segments) -> None:
+        """Puts segments that are not in the table into it, searched together."""
+        known, older, lengths = self.recent, self.older, {}
+        for segment in segments:
+            if segment not in known and segment not in older and len(segment) <= TOGETHER:
+                lengths.setdefault(len(segment), []).append(segment)
+        for texts in lengths.values():
+            for text, ids in zip(texts, self._same_length(texts)):
+                self._keep(text, ids)
+
     def _segment(self, segment: str) -> bytes:
-        if len(segment) > LONGEST:
-            return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(segment))
-        if len(self.segments) >= KEPT:
-            self.segments.clear()
-        found = self.segments[segment] = self._short(segment)
-        return found
+        found = self.older.get(segment)
+        if found is None:
+            if len(segment) > LONGEST:
+                return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(segment))
+            found = self._short(segment)
+        return self._keep(segment, found)
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        """Two generations: what is used again moves to the younger, the elder is dropped when that is full."""
+        if len(self.recent) >= KEPT:
+            self.older, self.recent = self.recent, {}
+        self.recent[text] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        marked = MARK + text.translate(SWAP)
         if not self.cuts:
-            return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(marked))
-        known, build = self.segments.get, self._segment
-        return b"".join([known(s) or build(s) for s in SEGMENT.findall(marked)])
+            return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(marked(text)))
+        return self._joined(SEGMENT.findall(marked(text)))
+
+    def _joined(self, segments: list[str]) -> bytes:
+        known, build = self.recent.get, self._segment
+        return b"".join([known(s) or build(s) for s in segments])
+
+    def encode_all(self, texts):
+        """The ids of many texts; new segments of about a megabyte of text are searched together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text or "")
+            if size >= 1 << 20:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts):
+        if not self.cuts:
+            yield from map(self.encode, texts)
+            return
+        split = [SEGMENT.findall(marked(t)) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        yield from map(self._joined, split)
 
     def decode(self, ids) -> str:
         out = self.out
@@ -186,7 +281,7 @@ def encoder(path: str):
 
     def run(texts: pa.Array) -> pa.Array:
         pieces = load(path)
-        parts = [pieces.encode(t.as_py()) for t in texts]
+        parts = list(pieces.encode_all(t.as_py() for t in texts))
         sizes = np.fromiter((len(p) // 4 for p in parts), np.int32, len(parts))
         ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), ids)
