@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +43,32 @@ def fresh(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application.
+
+    Functions travel with the job, but what a worker keeps from task to task (vocabularies, tables of
+    segments) is held by modules, which it must be able to import.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.TemporaryDirectory()  # the driver serves the archive from here as long as it lives
+    archive = Path(folder.name, package.name)
+    for source in package.rglob("*.py"):
+        target = archive / package.name / source.relative_to(package)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(source, target)
+    context.addPyFile(shutil.make_archive(str(archive), "zip", archive))
+    _SHIPPED[context.applicationId] = folder
+
+
+def arrow(run: Callable, kind: str):
+    """A column function over Arrow arrays; workers get the package."""
+    ship(SparkSession.getActiveSession())
+    return F.arrow_udf(run, kind)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import fresh, register, table
+from paperloom.llm.base import arrow, fresh, register, table
 
 SHARE, BLOCK = 0.2, 5000
 WALKS, NEAR, FAR, LEAST = 3, 10, 18, 5
@@ -260,7 +260,7 @@ def matcher(index: Index, spark):
         rows = [[dict(zip(("item", "edits", "start", "end"), m)) for m in found] for found in scan((t.as_py() for t in texts), shared.value)]
         return pa.array(rows, kind)
 
-    return F.arrow_udf(run, MATCHES)
+    return arrow(run, MATCHES)
 
 
 def blocks(items: DataFrame, item: str, text: str, block: int):

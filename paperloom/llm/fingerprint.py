@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import register, table
+from paperloom.llm.base import arrow, register, table
 from paperloom.llm.simhash import shingle_hashes
 
 WIDTH, SHARE, LEAST = 5, 8, 16
@@ -86,12 +86,12 @@ def with_next(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     cuts = rows.select("id").where("id IS NOT NULL").approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)
     bounds = np.unique(np.array(cuts, np.float64).astype(np.int64))
 
-    @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
+    def place(ids: pa.Array) -> pa.Array:
         values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = len(bounds) - np.searchsorted(bounds, values, "right")
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, found).astype(np.int32))
 
+    range_of = arrow(place, "int")
     tie = F.xxhash64("text")
     placed = rows.select("id", "text", range_of("id").alias("part"))
     first = rows.select("id", range_of("id").alias("part")).groupBy("part").agg(F.max("id").alias("id"))
@@ -111,7 +111,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("following"), F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    compared = F.arrow_udf(_compared, "struct<fingerprint string, edited_fingerprint string, near_edited double, near_next double>")
+    compared = arrow(_compared, "struct<fingerprint string, edited_fingerprint string, near_edited double, near_next double>")
     rows = rows.select(F.col("id").alias(key), size.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), compared("text", "edited", "following").alias("c"))
     return rows.select(key, "n_chars", "edited_sha256", "c.*")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import register, table
+from paperloom.llm.base import arrow, register, table
 
 # Element names of HTML and common names of page furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -176,7 +176,7 @@ def _extract(pages: pa.Array) -> pa.Array:
 
 def page_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every page."""
-    found = pages.select(F.col(key), F.col(url), F.arrow_udf(_extract, "string")(F.col(html)).alias("text"))
+    found = pages.select(F.col(key), F.col(url), arrow(_extract, "string")(F.col(html)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import fresh, register, table
+from paperloom.llm.base import arrow, fresh, register, ship, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -79,6 +79,7 @@ def learn(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     steps = 1 << 20
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(steps, -(-steps * per_language // sizes[k])))])
     picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(steps)) < share[F.col("lang")]).select("lang", "text")
+    ship(documents.sparkSession)
     counts = picked.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((BUCKETS, len(langs)), 0.5)
     np.add.at(matrix, (counts["bucket"].to_numpy(int), np.searchsorted(langs, counts["lang"].to_numpy(str)) if len(counts) else np.zeros(0, int)), counts["n"].to_numpy(float))
@@ -119,7 +120,6 @@ def predictor(langs: list[str], model: np.ndarray, spark):
     """Column function: struct of ``lang``, ``score`` and ``langs`` (the chosen set, largest first)."""
     shared = spark.sparkContext.broadcast((langs, model))
 
-    @F.arrow_udf("struct<lang string, score double, langs array<string>>")
     def predict(texts: pa.Array) -> pa.Array:
         names, chances = shared.value
         rows = []
@@ -132,7 +132,7 @@ def predictor(langs: list[str], model: np.ndarray, spark):
                 rows.append({"lang": chosen[0], "score": min(1.0, float(found[1][0])), "langs": chosen})
         return pa.array(rows, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string()))]))
 
-    return predict
+    return arrow(predict, "struct<lang string, score double, langs array<string>>")
 
 
 def identify(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

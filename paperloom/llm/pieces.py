@@ -6,7 +6,7 @@ ending within one piece length of the front) run through a common boundary, the
 are committed and forgotten. So memory is bounded by how far paths stay apart, not by the text.
 
 Where a vocabulary has no piece with the space mark behind another character, every first mark of
-a run is such a boundary for all paths. The segments between repeat, so they are kept in a bounded
+a run is such a boundary for all paths, and so are places between neighbours that no piece has. The segments between repeat, so they are kept in a bounded
 table per worker, and new short ones are searched many at a time by the same recurrence. Vocabularies without that property are streamed whole.
 
 A unigram model's scores are log probabilities. A merge vocabulary stores minus the rank of
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import register, table
+from paperloom.llm.base import arrow, register, table
 
 MARK = "▁"
 SWAP = str.maketrans({" ": MARK, MARK: " "})
@@ -94,9 +94,22 @@ class Pieces:
         self.key_ids = np.array([hashed[int(k)][1] for k in self.keys], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys * MIX) >> np.uint64(44)] = True
+        self.segment = self._segments()
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _segments(self) -> re.Pattern:
+        """What lies between places that no piece spans: before a run of marks, around a line break, and
+        before those of the signs ``.,;:!?`` that no piece has behind a letter."""
+        inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        stops = "".join(c for c in ".,;:!?" if not any(pair[1] == c and re.match(r"[^\W\d_]", pair[0]) for pair in inside))
+        line = "" if any("\n" in pair for pair in inside) else "\n"
+        other = f"[^{MARK}{line}{stops}]+"
+        if not stops:
+            return re.compile(f"{MARK}+(?:{other})?|{line or '(?!)'}|{other}")
+        rest = rf"(?:{other}(?:(?<![^\W\d_])[{stops}]+)?)"
+        return re.compile(f"{MARK}+[{stops}]*{rest}*|{line or '(?!)'}|[{stops}]+{rest}*|{rest}+")
+
     def stand_in(self, char: str) -> list[int]:
         """Ids of a character outside the vocabulary."""
         raw = char.translate(SWAP).encode("utf-8", "replace")
@@ -238,7 +251,7 @@ class Pieces:
             return b""
         if not self.cuts:
             return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(marked(text)))
-        return self._joined(SEGMENT.findall(marked(text)))
+        return self._joined(self.segment.findall(marked(text)))
 
     def _joined(self, segments: list[str]) -> bytes:
         known, build = self.recent.get, self._segment
@@ -259,7 +272,7 @@ class Pieces:
         if not self.cuts:
             yield from map(self.encode, texts)
             return
-        split = [SEGMENT.findall(marked(t)) if t else [] for t in texts]
+        split = [self.segment.findall(marked(t)) if t else [] for t in texts]
         self.learn(set().union(*split))
         yield from map(self._joined, split)
 
@@ -268,9 +281,6 @@ class Pieces:
         return b"".join([out[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -288,7 +298,7 @@ def encoder(path: str):
         sums = pa.array([zlib.crc32(p) for p in parts], pa.int64())
         return pa.StructArray.from_arrays([lists, pa.array(sizes.astype(np.int64)), sums], ["ids", "n", "crc32"])
 
-    return F.arrow_udf(run, "struct<ids array<int>, n long, crc32 long>")
+    return arrow(run, "struct<ids array<int>, n long, crc32 long>")
 
 
 def decoder(path: str):
@@ -298,7 +308,7 @@ def decoder(path: str):
         pieces = load(path)
         return pa.array([pieces.decode(ids.as_py() or ()) for ids in lists], pa.string())
 
-    return F.arrow_udf(run, "string")
+    return arrow(run, "string")
 
 
 def with_ids(documents: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

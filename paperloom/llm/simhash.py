@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import fresh, register, table
+from paperloom.llm.base import arrow, fresh, register, table
 from paperloom.llm.graph import connected_components
 from paperloom.session import write_through
 
@@ -68,11 +68,10 @@ def fingerprint(text: str | None, width: int) -> int:
 def fingerprints(width: int):
     """Column function: the signed 64-bit fingerprint of a text column."""
 
-    @F.arrow_udf("bigint")
     def simhash(texts: pa.Array) -> pa.Array:
         return pa.array([_signed(fingerprint(t.as_py(), width)) for t in texts], pa.int64())
 
-    return simhash
+    return arrow(simhash, "bigint")
 
 
 def links(prints: DataFrame, hot: int = 64) -> DataFrame:
@@ -131,11 +130,10 @@ def wide_fingerprints(width: int, words: int):
             total += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
         return np.packbits(total * 2 > len(hashes)).view(np.int64)
 
-    @F.arrow_udf("array<bigint>")
     def wide(texts: pa.Array) -> pa.Array:
         return pa.array([bits_of(t.as_py()) for t in texts], pa.list_(pa.int64()))
 
-    return wide
+    return arrow(wide, "array<bigint>")
 
 
 def _cell_links(limit: int):
