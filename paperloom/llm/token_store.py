@@ -10,10 +10,9 @@ Tasks write files under names of their own attempt and return a manifest row for
 in the manifest count, so a lost or repeated task leaves no trace. Ids before a file are summed
 over the manifest in two levels (tasks, then files).
 
-A text is encoded by units: at a single space between two characters that are no white space every
-path of the pre-tokenizer ends, and so it does around a single line break and before a last full stop
-or comma behind a letter. Units repeat and are kept in a bounded table per worker; new ones are
-encoded together. The ids are those of the whole text (tests compare).
+A text is encoded by units: words that the pre-tokenizer takes as one in any surroundings, and what lies
+between. Units repeat and are kept in a bounded table per worker; new words are encoded
+together. The ids are those of the whole text (tests compare).
 
 Cases: a NULL or empty text has only the end id. Documents are ordered by id, NULL ids first, equal
 ids by the text's hash and text; repeated rows are each stored. An empty table gives no files and no rows. Other
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 
@@ -173,79 +173,54 @@ class TokenFile:
 # --- encoding ---------------------------------------------------------------------------------
 
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of Latin letters with its space that the pre-tokenizer's pattern takes as one whatever stands
+#: around: behind it an ASCII sign or white space, before it a space or another ASCII sign (no apostrophe,
+#: which may begin a contraction; nor two characters of white space, which it would part).
+WORDS = re.compile(rf"((?: |(?<![^\t-&(-@\[-`{{-~])(?<!\s\s))[{LETTERS}]+(?=[\s!-@\[-`{{-~]|\Z))")
+
+
 class Encoder:
-    """A tokenizer with a table of units; ids as little-endian 32-bit integers."""
+    """A byte-level tokenizer with a table of units; ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t for t in (self.tokenizer.token_to_id(x.content) and x.content for x in self.tokenizer.get_added_tokens_decoder().values()) if t]
-        self.line = self.whole("\n")
-        self.separator = int(np.frombuffer(self.line, "<u4")[0]) if len(self.line) == 4 else None
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.stops = {c: self.whole(c) for c in ".,"}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _units(self, texts: list[str]) -> list[bytes]:
-        """Units without line breaks, encoded as lines of one text."""
-        if self.separator is None:
-            return [self.whole(t) for t in texts]
-        [found] = self.tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words encoded as the lines of one text."""
+        if self.line is None:
+            return [self.whole(w) for w in words]
+        [found] = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
-        ends = np.flatnonzero(ids == self.separator)
-        if len(ends) != len(texts) - 1:  # a unit holds that id itself
-            return [self.whole(t) for t in texts]
-        ends = np.append(ends, len(ids)).tolist()
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0] + [e + 1 for e in ends[:-1]], ends)]
 
-    @staticmethod
-    def _plain(part: str) -> bool:
-        return bool(part) and not part[0].isspace() and not part[-1].isspace()
-
-    def _base(self, part: str) -> tuple[str, str]:
-        """A part without a last full stop or comma behind a letter, and that sign."""
-        if len(part) > 1 and part[-1] in self.stops and part[-2].isalpha():
-            return part[:-1], part[-1]
-        return part, ""
-
-    def learn(self, units: set[str]) -> set[str]:
-        """Puts new units into the table; gives those at which a text cannot be cut."""
-        if len(self.spaced) > KEPT:
-            self.spaced = {}
-        if len(self.bare) > KEPT:
-            self.bare = {}
-        bad, split, spaced, bare = set(), [], set(), set()
-        for unit in units - self.spaced.keys():
-            if not self._plain(unit):
-                bad.add(unit)
-                continue
-            parts = [self._base(p) for p in unit.split("\n")] if "\n" in unit else [self._base(unit)]
-            if len(parts) > 1 and not all(self._plain(p) for p in unit.split("\n")):
-                self.spaced[unit] = self.whole(" " + unit)
-                continue
-            split.append((unit, parts))
-            spaced.add(parts[0][0])
-            bare.update(p for p, _ in parts[1:])
-        new = list(spaced - self.spaced.keys())
-        if new:
-            self.spaced.update(zip(new, self._units([" " + p for p in new])))
-        new = list(bare - self.bare.keys())
-        if new:
-            self.bare.update(zip(new, self._units(new)))
-        for unit, parts in split:
-            if len(parts) > 1 or parts[0][1]:
-                first, *rest = parts
-                out = [self.spaced[first[0]], self.stops.get(first[1], b"")]
-                for base, stop in rest:
-                    out += [self.line, self.bare[base], self.stops.get(stop, b"")]
-                self.spaced[unit] = b"".join(out)
-        return bad
+    def _keep(self, unit: str, ids: bytes) -> bytes:
+        """Two generations: what is used again moves to the younger, the elder is dropped when that is full."""
+        if len(self.recent) >= KEPT:
+            self.older, self.recent = self.recent, {}
+        self.recent[unit] = ids
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            found = self._long(unit)
+            if len(unit) > 64:
+                return found
+        return self._keep(unit, found)
 
     def encode_all(self, texts):
         """The ids of many texts, taken together in groups of about a megabyte."""
@@ -258,29 +233,23 @@ class Encoder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts):
-        split = [[] if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        bad = self.learn(set().union(*(s[1:] for s in split)))
-        spaced = self.spaced
+    def _group(self, texts: list[str]):
+        split = [None if any(s in t for s in self.special) else WORDS.split(t) for t in texts]
+        words = set().union(*(s[1::2] for s in split if s)).difference(self.recent, self.older)
+        if words:
+            new = list(words)
+            for word, ids in zip(new, self._words(new)):
+                self._keep(word, ids)
+        known, build = self.recent.get, self._unit
         for text, units in zip(texts, split):
-            if not text:
-                yield b""
-            elif not units or (bad and not bad.isdisjoint(units[1:])) or units[0] == "" or units[0][-1].isspace():
-                yield from map(self._long, [text])
-            else:
-                first = self.bare.get(units[0])
-                if first is None:
-                    first = self.bare[units[0]] = self.whole(units[0])
-                yield first + b"".join([spaced[u] for u in units[1:]])
+            yield self.whole(text) if units is None else b"".join([known(u) or build(u) for u in units if u])
 
     def _long(self, text: str) -> bytes:
-        """A text that cannot be cut at all its spaces: runs between safe spaces are encoded whole."""
-        if any(s in text for s in self.special):
-            return self.whole(text)
+        """Any text; a long one in parts that end at single spaces between other characters."""
         parts, start = [], 0
         while start < len(text):
             end = start + (1 << 16)
-            while end < len(text) and not (text[end] == " " and not text[end - 1].isspace() and not text[end + 1 : end + 2].isspace() and text[end + 1 : end + 2]):
+            while end < len(text) and not (text[end] == " " and not text[end - 1].isspace() and text[end + 1 : end + 2].strip()):
                 end += 1
             parts.append(self.whole(text[start:end]))
             start = end
