@@ -45,6 +45,8 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Arrow batches of a few megabytes: a worker holds several copies of one at a time.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -54,6 +56,8 @@ def ship(spark: SparkSession) -> None:
     Functions travel with the job, but what a worker keeps from task to task (vocabularies, tables of
     segments) is held by modules, which it must be able to import.
     """
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
