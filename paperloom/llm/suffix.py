@@ -199,10 +199,11 @@ def equal_windows(runs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
 # --- anchors ----------------------------------------------------------------------------------
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, BASE, np.uint64)
-    down = np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
+@functools.lru_cache(maxsize=2)
+def _powers(size: int, base: int = int(BASE)) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    up = np.full(size, base, np.uint64)
+    down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -391,14 +392,12 @@ def _shard(h, ids, ats, runs, split_first: bool):
     gone = place > best[cls]
     out = []
     if gone.any():
-        edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
         edge_run = run[gone]
         # A range ends where windows stay, or with its run.
         at = np.flatnonzero(gone)
         new = np.concatenate(([True], (np.diff(at) > 1) | (edge_run[1:] != edge_run[:-1])))
         begin = at[new]
         length = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
-        del edge
         out.append((np.zeros(len(begin), np.int32), ids[run[begin]], ats[run[begin]] + offset[begin], length.astype(np.int32), np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)))
     split = h == h[-1]
     if split_first:
@@ -406,14 +405,13 @@ def _shard(h, ids, ats, runs, split_first: bool):
     if split.any():
         text = np.frombuffer(b"".join(runs), np.uint8)
         begins = np.cumsum([len(r) for r in runs]) - np.array([len(r) for r in runs])
-        up, down = _powers(1 << int(len(text)).bit_length())
-        sums = _sums(text, up)
-        sums2 = _sums(text ^ np.uint8(0x55), np.cumprod(np.concatenate(([1], np.full(len(text), OTHER, np.uint64))).astype(np.uint64)))
-        back = np.cumprod(np.concatenate(([1], np.full(len(text), np.uint64(pow(int(OTHER), -1, 1 << 64)), np.uint64))).astype(np.uint64))
+        size = 1 << int(len(text)).bit_length()
+        (up, down), (up2, down2) = _powers(size), _powers(size, int(OTHER))
+        sums, sums2 = _sums(text, up), _sums(text ^ np.uint8(0x55), up2)
         stay = np.flatnonzero(~gone & split[run])
         low = begins[run[stay]] + offset[stay]
         w1 = ((sums[low + LENGTH] - sums[low]) * down[low]).view(np.int64)
-        w2 = ((sums2[low + LENGTH] - sums2[low]) * back[low]).view(np.int64)
+        w2 = ((sums2[low + LENGTH] - sums2[low]) * down2[low]).view(np.int64)
         out.append((np.full(len(stay), 2, np.int32), ids[run[stay]], ats[run[stay]] + offset[stay], np.ones(len(stay), np.int32), w1, w2))
     for columns in out:
         for at in range(0, len(columns[0]), 1 << 16):
