@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return links.unionAll(own)
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each task links the nodes of a bounded batch to their smallest."""
+
+    def run(batches):
+        for batch in batches:
+            above: dict = {}
+
+            def root(node):
+                path = []
+                while (up := above.get(node, node)) != node:
+                    path.append(node)
+                    node = up
+                for p in path:
+                    above[p] = node
+                return node
+
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                a, b = root(u), root(v)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+            nodes = list(above)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, batch.schema.field("u").type), pa.array([root(n) for n in nodes], batch.schema.field("v").type)], ["u", "v"])
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
@@ -44,6 +71,7 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
     """
     own = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u <> v")
     current = write_through(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    current = write_through(_forest(current), "edges")
     mark = _mark(current)
     while mark[0]:
         step = _small_star(_large_star(current).distinct())

@@ -9,12 +9,12 @@ key, or in the same one further left. Strings never cross documents.
    whole. Tasks sort that out for what they read before the shuffle, so copies move once a task.
 2. Rows are ranged by (anchor, digest). Anchors with a single digest are done. The first runs of anchors
    with several digests are open: some of their windows may be equal.
-3. Open runs are cut from the texts and ranged by anchor into shards of about ``SHARD`` bytes. Each shard
+3. Open runs are cut from the texts and dealt by anchor into shards of about ``SHARD`` bytes. Each shard
    gets a suffix array: suffixes are classified, the leftmost-smaller substrings sorted and named, pairs
    of names named again until they differ or cover a window, and the other suffixes induced bucket by
    bucket. Common prefixes of neighbours, permuted to text order and counted up to ``LENGTH``, give the
    classes of equal windows.
-4. Anchors with more runs than a shard holds are spread over several; the first windows of each shard then
+4. Anchors with more than ``GROUP`` open runs are spread over several shards; the first windows of each then
    meet by a 128-bit digest, so no task holds a whole group.
 5. Ranges are collected per document and cut out.
 
@@ -38,7 +38,7 @@ from paperloom.llm.base import register, ship, table
 from paperloom.session import write_through
 
 LENGTH, GRAM, PLACE_BITS = 100, 24, 21
-PART, ROWS, SHARD = 1 << 19, 1 << 20, 2 << 20
+PART, ROWS, SHARD, GROUP = 1 << 19, 1 << 20, 2 << 20, 8192
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 OTHER = np.uint64(0xBF58476D1CE4E5B9)
 LAST = (1 << 63) - 1
@@ -364,25 +364,26 @@ def _sorted_out(batches):
 def _cut_runs(batches):
     """The bytes of open runs of (id, tie, text, runs) batches."""
     for batch in batches:
-        h, ids, ats, parts = [], [], [], []
+        h, spread, ids, ats, parts = [], [], [], [], []
         for id_, text, runs in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("runs")):
             raw = text.as_py().encode("utf-8", "replace")
             for run in runs.as_py():
                 low = run["at"] & 0xFFFFFFFF
                 h.append(run["h"])
+                spread.append(run["part"])
                 ids.append(id_)
                 ats.append(run["at"])
                 parts.append(raw[low : low + run["n"] - 1 + LENGTH])
         for at in range(0, len(h), 1 << 14):
             stop = at + (1 << 14)
-            yield _batch(["h", "id", "at", "run"], [np.array(h[at:stop], np.int64), np.array(ids[at:stop], np.int64), np.array(ats[at:stop], np.int64), pa.array(parts[at:stop], pa.binary())])
+            yield _batch(["h", "part", "id", "at", "run"], [np.array(h[at:stop], np.int64), np.array(spread[at:stop], np.int32), np.array(ids[at:stop], np.int64), np.array(ats[at:stop], np.int64), pa.array(parts[at:stop], pa.binary())])
 
 
 FOUND = "kind int, id long, at long, n int, w1 long, w2 long"
 
 
-def _shard(h, ids, ats, runs, split_first: bool):
-    """Repeated windows of one shard as ranges (kind 0); first windows of anchors that may go on elsewhere (kind 2)."""
+def _shard(split, ids, ats, runs):
+    """Repeated windows of one shard as ranges (kind 0); first windows of anchors that are spread (kind 2)."""
     run, offset, cls = equal_windows(runs)
     documents, doc = np.unique(np.stack((ids, ats >> 32), axis=1), axis=0, return_inverse=True)
     start = (ats & 0xFFFFFFFF)[run] + offset
@@ -399,9 +400,6 @@ def _shard(h, ids, ats, runs, split_first: bool):
         begin = at[new]
         length = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
         out.append((np.zeros(len(begin), np.int32), ids[run[begin]], ats[run[begin]] + offset[begin], length.astype(np.int32), np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)))
-    split = h == h[-1]
-    if split_first:
-        split |= h == h[0]
     if split.any():
         text = np.frombuffer(b"".join(runs), np.uint8)
         begins = np.cumsum([len(r) for r in runs]) - np.array([len(r) for r in runs])
@@ -419,29 +417,26 @@ def _shard(h, ids, ats, runs, split_first: bool):
 
 
 def _shards(batches):
-    """Rows in order of h, taken in shards of about SHARD bytes."""
-    held, size, before = [], 0, None
+    """Rows in order of (h, part), taken in shards of whole groups of about SHARD bytes."""
+    held, size = [], 0
 
     def flush():
-        nonlocal held, size, before
-        h, ids, ats = (np.concatenate([x[i] for x in held]) for i in range(3))
-        runs = [r for x in held for r in x[3]]
-        yield from _shard(h, ids, ats, runs, before is None or before == h[0])
-        held, size, before = [], 0, h[-1]
+        nonlocal held, size
+        split, ids, ats = (np.concatenate([x[i] for x in held]) for i in range(1, 4))
+        yield from _shard(split >= 0, ids, ats, [r for x in held for r in x[4]])
+        held, size = [], 0
 
     for batch in batches:
-        h, ids, ats = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "id", "at"))
+        h, part, ids, ats = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "part", "id", "at"))
         runs = batch.column("run").to_pylist()
-        at = 0
-        while at < len(runs):
-            stop = at
-            while stop < len(runs) and size < SHARD:
-                size += len(runs[stop]) + 1
-                stop += 1
-            held.append((h[at:stop], ids[at:stop], ats[at:stop], runs[at:stop]))
-            at = stop
-            if size >= SHARD:
+        new = np.concatenate(([not held or (held[-1][0], held[-1][1][-1]) != (h[0], part[0])], (h[1:] != h[:-1]) | (part[1:] != part[:-1])))
+        begin = np.flatnonzero(new).tolist()
+        for at, stop in zip([0, *begin] if not begin or begin[0] else begin, [*(begin if not begin or begin[0] else begin[1:]), len(runs)]):
+            if size >= SHARD and new[at]:
                 yield from flush()
+            if stop > at:
+                held.append((h[at], part[at:stop], ids[at:stop], ats[at:stop], runs[at:stop]))
+                size += sum(map(len, runs[at:stop])) + stop - at
     if held:
         yield from flush()
 
@@ -477,10 +472,13 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     ordered = anchors.repartitionByRange("h", "c").sortWithinPartitions("h", "c", "id", "at")
     runs = write_through(ordered.mapInArrow(_sorted_out, "kind int, h long, id long, at long, n int"), "runs")
 
-    wanted = runs.where("kind = 1").select("id", F.shiftright("at", 32).alias("tie"), F.struct("h", "at", "n").alias("run"))
+    open_ = runs.where("kind = 1").select("h", "id", "at", "n")
+    large = open_.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
+    part = F.when(F.col("size").isNull(), -1).otherwise(F.pmod(F.xxhash64("id", "at"), F.ceil(F.col("size") / GROUP))).cast("int")
+    wanted = open_.join(large, "h", "left").select("id", F.shiftright("at", 32).alias("tie"), F.struct("h", part.alias("part"), "at", "n").alias("run"))
     wanted = wanted.groupBy("id", "tie").agg(F.collect_list("run").alias("runs"))
-    cut = texts.join(wanted, ["id", "tie"]).select("id", "text", "runs").mapInArrow(_cut_runs, "h long, id long, at long, run binary")
-    shards = cut.repartitionByRange("h", F.xxhash64("id", "at")).sortWithinPartitions("h", "id", "at")
+    cut = texts.join(wanted, ["id", "tie"]).select("id", "text", "runs").mapInArrow(_cut_runs, "h long, part int, id long, at long, run binary")
+    shards = cut.repartition("h", "part").sortWithinPartitions("h", "part", "id", "at")
     found = write_through(shards.mapInArrow(_shards, FOUND), "windows")
 
     place = F.struct("id", "at")
