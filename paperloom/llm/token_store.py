@@ -42,7 +42,7 @@ MAGIC, BLOCK, END = b"PFOR", 512, 0
 PERCENTILES = (0.90, 0.95, 0.98, 1.0)
 EXCEPTION = 6  # bytes: place and high bits
 FILE_IDS = 4 << 20
-GROUP, KEPT = 1 << 20, 200_000
+GROUP, KEPT = 1 << 21, 400_000
 HEAD = "<4sIQQQ"  # magic, block size, documents, ids, blocks
 BLOCK_HEAD = "<IBxH"  # minimum, width, exceptions
 
@@ -189,8 +189,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -198,14 +199,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Words encoded as the lines of one text."""
-        if self.line is None:
-            return [self.whole(w) for w in words]
-        [found] = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
+        """Words with their space in front, encoded as one text: a token that begins with a space begins a word."""
+        [found] = self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
+        begins = np.flatnonzero(self.spaced[ids]).tolist()
+        if len(begins) != len(words):
+            return [self.whole(w) for w in words]
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0] + [e + 1 for e in ends[:-1]], ends)]
+        return [raw[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)])]
 
     def _keep(self, unit: str, ids: bytes) -> bytes:
         """Two generations: what is used again moves to the younger, the elder is dropped when that is full."""
@@ -235,9 +236,9 @@ class Encoder:
 
     def _group(self, texts: list[str]):
         split = [None if any(s in t for s in self.special) else WORDS.split(t) for t in texts]
-        words = set().union(*(s[1::2] for s in split if s)).difference(self.recent, self.older)
-        if words:
-            new = list(words)
+        recent, older = self.recent, self.older
+        new = [w for w in set().union(*(s[1::2] for s in split if s)) if w not in recent and w not in older and w[0] == " "]
+        if new:
             for word, ids in zip(new, self._words(new)):
                 self._keep(word, ids)
         known, build = self.recent.get, self._unit
