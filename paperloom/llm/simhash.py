@@ -257,7 +257,7 @@ def near_dedup(
     words: int = 24,
     bits: int = 24,
     rounds: int = 2,
-    hot: int = 16,
+    hot: int = 8,
     cell: int = 1024,
     key: str = "doc_id",
     text: str = "text",
