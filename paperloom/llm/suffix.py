@@ -38,7 +38,7 @@ from paperloom.llm.base import register, ship, table
 from paperloom.session import write_through
 
 LENGTH, GRAM, PLACE_BITS = 100, 24, 21
-PART, ROWS, SHARD, GROUP = 1 << 19, 1 << 20, 2 << 20, 8192
+PART, ROWS, SHARD, GROUP = 1 << 19, 1 << 19, 2 << 20, 8192
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 OTHER = np.uint64(0xBF58476D1CE4E5B9)
 LAST = (1 << 63) - 1
