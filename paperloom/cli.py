@@ -6,7 +6,7 @@ import argparse
 import importlib
 
 from paperloom.plans import ingest, qa
-from paperloom.session import get_session
+from paperloom.session import get_session, write_through
 from paperloom.sources import readers, writers
 
 
@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("--output", required=True)
     load.add_argument("--extractor")
     load.add_argument("--skip-parsing", action="store_true", help="input holds parsed JSON")
+    load.add_argument("--skip-chunking", action="store_true", help="go on from the stored chunks")
     ask = commands.add_parser("query", help="answer questions")
     ask.add_argument("--collection", required=True)
     ask.add_argument("--question", action="append", required=True)
@@ -45,11 +46,15 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_session()
     if args.command == "parse":
         documents = readers.read_documents(spark, args.input)
-        pages = readers.extract_pages(documents, _extractor(args.extractor), args.page_from, args.page_to)
-        writers.write_pages(pages, args.output)
+        found = readers.try_extract_pages(documents, _extractor(args.extractor), args.page_from, args.page_to)
+        found = write_through(found, "parsed")
+        writers.write_pages(found.where("error IS NULL").drop("path", "error"), args.output)
+        for row in found.where("error IS NOT NULL").select("path", "error").toLocalIterator():
+            print(f"not parsed: {row['path']}: {row['error']}")
     elif args.command == "ingest":
         ingest.run_ingestion(
-            spark, args.input, args.output, _extractor(args.extractor), config, args.skip_parsing
+            spark, args.input, args.output, _extractor(args.extractor), config, args.skip_parsing,
+            skip_chunking=args.skip_chunking,
         )
     else:
         collection = ingest.load_collection(spark, args.collection)

@@ -98,11 +98,6 @@ RECOVERY_SYNONYMS = {
     "市值": ["市场价值", "总市值"],
     "增长率": ["同比增速", "增长速度", "增幅"],
 }
-INDUSTRY_TERMS = {
-    "新能源": ["光伏", "风电", "储能", "锂电池", "新能源汽车"],
-    "半导体": ["芯片", "集成电路", "晶圆", "封装测试"],
-    "消费": ["零售", "品牌", "渠道", "消费品"],
-}
 
 # --- fixed values: question patterns -------------------------------------------------------
 COMPANY_BEFORE_INDICATOR = r"[一-鿿]{2,10}(?=的[营净毛利总研资每资加资])"
@@ -246,7 +241,6 @@ NARRATIVE_KEYWORDS = ["报告期内", "行业发展", "行业格局", "政策",
 NARRATIVE_MIN_KEYWORDS = 3
 NARRATIVE_MIN_CHARS = 300
 EXCLUDED_SOURCE_PREFIX = "H3_"
-EXCLUDED_SOURCE_COMPANY = "证券研究报告"
 COMPANY_BLOCKLIST = ["证券研究报告", "传媒", "半导体", "消费", "白酒"]
 COMPANY_MIN_FILES = 3
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.constants import FINANCE_TERMS, GENERATION_ERROR
+from paperloom.constants import GENERATION_ERROR
 from paperloom.functions.answers import mock_answer
 from paperloom.functions.strings import as_col
 from paperloom.functions.tokens import hash_slots, tokenize
@@ -65,20 +65,6 @@ class HashEncoder:
         return gather(hash_slots(tokenize(text), dim))
 
 
-def jieba_segmenter() -> Callable[[Column], Column]:
-    """Word segmenter for :func:`tokenize`; needs the optional ``jieba`` package on the workers."""
-
-    @F.pandas_udf("array<string>")
-    def segment(runs: pd.Series) -> pd.Series:
-        import jieba
-
-        for term in FINANCE_TERMS:
-            jieba.add_word(term)
-        return runs.map(lambda texts: [w for text in texts for w in jieba.lcut(text)])
-
-    return segment
-
-
 class FunctionEncoder:
     """Wrap ``factory() -> encode(list[str]) -> matrix``; the factory runs once per worker."""
 
@@ -139,7 +125,7 @@ class CitingGenerator:
 
 
 class FunctionGenerator:
-    """Wrap ``factory() -> generate(prompts) -> answers``; a failing call becomes its answer."""
+    """Wrap ``factory() -> generate(prompts) -> answers``; a prompt that fails gets the failure as its answer."""
 
     def __init__(self, factory: Callable[[], Callable[[list[str]], list[str]]]):
         self.factory = factory
@@ -147,14 +133,21 @@ class FunctionGenerator:
     def generate(self, prompt: Column, question: Column) -> Column:
         factory = self.factory
 
+        def answer_one(generate, prompt: str) -> str:
+            try:
+                return generate([prompt])[0]
+            except Exception as error:  # noqa: BLE001 - the text of the failure is the answer
+                return GENERATION_ERROR.format(error=error)
+
         @F.pandas_udf("string")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             generate = factory()
             for prompts in batches:
+                asked = prompts.tolist()
                 try:
-                    answers = generate(prompts.tolist())
-                except Exception as error:  # noqa: BLE001 - the text of the failure is the answer
-                    answers = [GENERATION_ERROR.format(error=error)] * len(prompts)
+                    answers = generate(asked)
+                except Exception:  # noqa: BLE001 - some prompt fails: each is tried by itself
+                    answers = [answer_one(generate, p) for p in asked]
                 yield pd.Series(answers)
 
         return run(prompt)

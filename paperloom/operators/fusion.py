@@ -57,6 +57,12 @@ def concat_dedupe(vector_run: DataFrame, lexical_run: DataFrame) -> DataFrame:
     return ranked(merged, ["query_id"], [F.col("side"), F.col("side_rank")]).drop("side_rank")
 
 
+def merge_by_score(vector_run: DataFrame, lexical_run: DataFrame) -> DataFrame:
+    """Both lists without repeats in order of score; equal scores keep the order of concatenation."""
+    merged = concat_dedupe(vector_run, lexical_run).withColumnRenamed("rank", "place")
+    return ranked(merged, ["query_id"], [F.desc("score"), F.col("place")]).drop("place")
+
+
 def hybrid(
     vector_run: DataFrame, lexical_run: DataFrame, k: int = C.RRF_K, limit: int | None = None
 ) -> DataFrame:

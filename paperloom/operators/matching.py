@@ -11,7 +11,7 @@ from paperloom.functions.extraction import source_company
 from paperloom.functions.strings import as_col, format_text
 from paperloom.operators.ranking import keep_first
 from paperloom.operators.rows import each
-from paperloom.session import write_through
+from paperloom.session import fits_broadcast, write_through
 
 
 def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -19,9 +19,18 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key), key, "left_anti")
 
 
-def lookup(ids: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunk data for ids, NULL for unknown ones."""
-    return ids.join(chunks, key, "left")
+def lookup(ids: DataFrame, chunks: DataFrame, key: str = "chunk_id", how: str = "left") -> DataFrame:
+    """Chunk data for ids, NULL for unknown ones (or without them, ``how="inner"``).
+
+    Ids are few against chunks, so they are written once, and where their measured size allows it sent to
+    the tasks that scan the chunks: texts are filtered in place and only the wanted ones move. More ids
+    than that meet the chunks in a shuffled join; the rows are the same.
+    """
+    ids = write_through(ids, "ids")
+    wanted = ids.select(key).distinct()
+    if fits_broadcast(wanted):
+        chunks = chunks.join(F.broadcast(wanted), key, "left_semi")
+    return ids.join(chunks, key, how)
 
 
 def _salted_join(samples: DataFrame, chunks: DataFrame, keys: list[str], salts: int) -> DataFrame:

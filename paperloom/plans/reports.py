@@ -41,9 +41,9 @@ def flag_badcases(answers: DataFrame) -> DataFrame:
     ).withColumn("case_id", F.concat_ws("-", F.col("query_id").cast("string"), "case_type"))
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """Small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame) -> str:
+    """A result as a Markdown table, all its rows in order."""
+    rows = df.toLocalIterator()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in rows]
     return "\n".join(lines)

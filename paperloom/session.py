@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +30,16 @@ def get_session(app: str = "paperloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    Only a session without that setting whose tasks run in the driver's own process (a test on one
+    machine) gets a temporary folder, which goes with that process.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 

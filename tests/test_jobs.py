@@ -97,6 +97,7 @@ def test_parse_skips_done_files(spark, tmp_path):
     out = str(tmp_path / "out")
     ingest.run_ingestion(spark, str(folder), out, LineExtractor())
     assert spark.read.parquet(f"{out}/pages").count() == 60
+    assert rows(ingest.read_rejects(spark, out).select("source", "error")) == [("fake.pdf", "no pages"), ("small.pdf", "no pages")]
     (folder / "a_b_c_2.pdf").write_text(body)
     ingest.run_ingestion(spark, str(folder), out, LineExtractor())
     counted = spark.read.parquet(f"{out}/pages").groupBy("source").count()
@@ -129,6 +130,46 @@ def test_writers_round_trip(spark, parsed, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
 
+def test_json_files_lose_no_rows(spark, tmp_path):
+    """Several rows in several files, next to whole documents."""
+    block = F.array(F.struct(F.lit("t").alias("text"), F.lit(None).cast("array<double>").alias("bbox"), F.lit("text").alias("block_type")))
+    pages = spark.range(20).repartition(3).select(F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.col("id").cast("int").alias("page_num"), block.alias("text_blocks"))
+    writers.write_pages(pages, str(tmp_path / "pages"))
+    (tmp_path / "pages" / "one.json").write_text(json.dumps({"source": "one.pdf", "pages": [{"page_num": n, "text_blocks": []} for n in (1, 2)]}))
+    (tmp_path / "pages" / "broken.json").write_text("{")
+    back = readers.read_parsed(spark, str(tmp_path / "pages"))
+    assert rows(back.select("source", "page_num")) == sorted([(f"s{i % 4}", i) for i in range(20)] + [("one.pdf", 1), ("one.pdf", 2)], key=lambda r: tuple(map(repr, r)))
+    assert rows(readers.unreadable_parsed(spark, str(tmp_path / "pages"))) == [("broken.json",)]
+    chunks = spark.range(20).repartition(3).select(F.col("id").cast("string").alias("chunk_id"), F.lit("x").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("page_num"), F.lit("text").alias("chunk_type"), (F.col("id") % 2 == 0).alias("has_table"))
+    writers.write_chunks(chunks, str(tmp_path / "chunks"))
+    back = readers.read_chunks(spark, str(tmp_path / "chunks"))
+    assert {(r["chunk_id"], r["has_table"]) for r in back.collect()} == {(str(i), i % 2 == 0) for i in range(20)} and back.count() == 20
+    samples = spark.range(20).repartition(3).select(F.col("id").cast("string").alias("query_id"), F.lit("q").alias("query"), F.lit("fact").alias("query_type"), F.array(F.lit("c")).alias("ground_truth_doc_ids"))
+    writers.write_eval_set(samples, str(tmp_path / "eval"))
+    back, judged = readers.read_eval_set(spark, str(tmp_path / "eval"))
+    assert back.count() == judged.count() == 20
+
+
+class FailingExtractor:
+    def pages(self, name, content):
+        if name.startswith("bad"):
+            raise ValueError("no text layer")
+        yield {"page_num": 1, "text_blocks": [], "tables": []}
+
+
+def test_one_bad_file_is_reported(spark, tmp_path):
+    for folder, names in (("x", ["same.pdf", "bad.pdf"]), ("y", ["same.pdf"])):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        for name in names:
+            (tmp_path / "in" / folder / name).write_text("%PDF")
+    source, out = f"{tmp_path}/in/*", str(tmp_path / "out")
+    ingest.parse_pending(spark, source, out, FailingExtractor())
+    ingest.parse_pending(spark, source, out, FailingExtractor())
+    stored = spark.read.parquet(f"{out}/pages")
+    assert rows(stored.select("source")) == [("same.pdf",), ("same.pdf",)] and stored.select("path").distinct().count() == 2
+    assert rows(ingest.read_rejects(spark, out).select("source", "error")) == [("bad.pdf", "ValueError: no text layer")]
+
+
 def test_eval_set(spark, tmp_path):
     data = {
         "metadata": {"total_samples": 2},

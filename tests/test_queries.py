@@ -62,7 +62,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_but_listed_ones_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"chunk_title_packing"}
+    without = {q for q in set(QUERIES) - set(ORACLES) if not re.match(r"op\d+_|pipeline$", q)}
+    assert not without  # those of the training-data operators have tests of their own
 
 
 def test_ranked_search_limits_before_the_shuffle(spark):

@@ -7,7 +7,7 @@ from paperloom.functions import answers as A
 from paperloom.functions.tokens import word_set
 from paperloom.models import CitingGenerator, HashEncoder, OverlapReranker
 from paperloom.operators import lexical
-from paperloom.operators.matching import latest_entries
+from paperloom.operators.matching import latest_entries, lookup
 from paperloom.plans import qa, reports
 from workload.base import (
     ASKED_SQL,
@@ -27,8 +27,8 @@ from workload.base import (
 
 def _hits(t, k=3):
     """Short hit lists with their documents as chunks."""
-    chunks = t.documents.select(F.col("doc_id").alias("id"), "text", "source", (F.col("doc_id") % 7).alias("page_num"))
-    return lexical_run(t, k).join(chunks, "id").join(asked(t), "query_id")
+    chunks = t.raw("documents").select(F.col("doc_id").alias("id"), "text", "source", (F.col("doc_id") % 7).alias("page_num"))
+    return lookup(lexical_run(t, k), chunks, "id", "inner").join(asked(t), "query_id")
 
 
 _HITS_SQL = f"""{bm25_sql(3, DOCS_SQL, ASKED_SQL)},
@@ -63,7 +63,7 @@ def generate_mock(t):
 def _cited_answer(t):
     """An answer that cites source 1 or 2, or an id that must not be taken for one of them."""
     mark = F.when(F.col("query_id") % 3 == 0, "[Source 1]").when(F.col("query_id") % 3 == 1, "[Source 2] [Source 3]").otherwise("[Source 12]")
-    return asked(t).select("query_id", F.concat(F.left("query", F.lit(20)), F.lit(" "), mark).alias("answer"))
+    return asked(t).select("query_id", F.concat("query", F.lit(" "), mark).alias("answer"))
 
 
 @register(

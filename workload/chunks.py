@@ -59,7 +59,7 @@ def chunk_stats(t):
 
 
 def _pages(t: Tables):
-    """Documents as pages: one block per line, one table from the first two words of each line."""
+    """Documents as pages: one block per line, one table from the words of each line."""
     lines = F.split("text", "\n")
     none = F.lit(None).cast("array<double>")
     return t.documents.select(
@@ -73,7 +73,7 @@ def _pages(t: Tables):
         ).alias("text_blocks"),
         F.array(
             F.struct(
-                F.transform(lines, lambda x: F.slice(F.split(x, " "), 1, 2)).alias("data"),
+                F.transform(lines, lambda x: F.split(x, " ")).alias("data"),
                 F.lit(None).cast("string").alias("markdown"),
                 none.alias("bbox"),
             )
@@ -81,8 +81,8 @@ def _pages(t: Tables):
     )
 
 
-_TABLE_MD = """md AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: '| ' || array_to_string(string_split(x, ' ')[1:2], ' | ') || ' |') AS rows,
-  '| ' || array_to_string(list_transform(string_split(string_split(text, chr(10))[1], ' ')[1:2], lambda x: '---'), ' | ') || ' |' AS rule FROM documents),
+_TABLE_MD = """md AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: '| ' || array_to_string(string_split(x, ' '), ' | ') || ' |') AS rows,
+  '| ' || array_to_string(list_transform(string_split(string_split(text, chr(10))[1], ' '), lambda x: '---'), ' | ') || ' |' AS rule FROM documents),
 marks AS (SELECT doc_id, source, array_to_string(list_concat([rows[1], rule], rows[2:]), chr(10)) AS mark FROM md)"""
 
 
@@ -164,13 +164,42 @@ def chunk_table_protect(t):
     return chunks.select(F.col("page_num").alias("doc_id"), F.col("ord").cast("bigint").alias("ord"), "text")
 
 
-@register("chunk_title_packing")
+_TITLE_REGEX = (
+    "^(第[一二三四五六七八九十]+章|第[一二三四五六七八九十]+节|第\\d+章|第\\d+节|\\d+[、.．]|[一二三四五六七八九十]+[、]|[\\(（]\\d+[）\\)]|[1-9]\\d*\\.\\d+)"
+)
+
+
+@register(
+    "chunk_title_packing",
+    f"""WITH RECURSIVE blocks AS (
+      SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: regexp_replace(CASE WHEN i % 5 = 3 THEN i || '、' ELSE '' END || x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ts FROM documents),
+    fold AS (
+      SELECT doc_id, 0 AS n, '' AS held, CAST([] AS VARCHAR[]) AS done FROM blocks
+      UNION ALL
+      SELECT doc_id, n + 1,
+        CASE WHEN title OR held = '' THEN t
+          WHEN length(held) + length(t) > 512 AND length(held) >= 100 THEN
+            CASE WHEN length(held) <= 50 THEN held
+              WHEN regexp_matches(right(held, 50), '(?s)^.+[。！？.!?][^。！？.!?]*$') THEN regexp_extract(right(held, 50), '(?s)^.+[。！？.!?]([^。！？.!?]*)$', 1)
+              ELSE right(held, 50) END || t
+          ELSE held || chr(10) || t END,
+        CASE WHEN (title OR (held <> '' AND length(held) + length(t) > 512)) AND length(held) >= 100 THEN list_append(done, held) ELSE done END
+      FROM (SELECT doc_id, n, held, done, ts[n + 1] AS t, length(ts[n + 1]) <= 100 AND regexp_matches(ts[n + 1], '{_TITLE_REGEX}') AS title
+            FROM fold JOIN blocks USING (doc_id) WHERE n < len(ts))),
+    whole AS (
+      SELECT doc_id, CASE WHEN length(held) >= 100 THEN list_append(done, held) ELSE done END AS texts FROM fold JOIN blocks USING (doc_id) WHERE n = len(ts))
+    SELECT doc_id, CAST(i - 1 AS BIGINT) AS ord, regexp_replace(texts[i], '^\\s+|\\s+$', '', 'g') AS text
+    FROM (SELECT doc_id, texts, unnest(range(1, len(texts) + 1)) AS i FROM whole)""",
+)
 def chunk_title_packing(t):
-    pages = _pages(t)
-    packed = pages.select("page_num", chunking.pack_by_titles("text_blocks").alias("texts"))
-    return packed.select(
-        F.col("page_num").alias("doc_id"), F.posexplode_outer("texts").alias("ord", "text")
-    ).where("text IS NOT NULL")
+    """Lines as blocks, every fifth with a number in front, which makes the short ones headings."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.struct(F.concat(F.when((i + 1) % 5 == 3, F.concat((i + 1).cast("string"), F.lit("、"))).otherwise(""), x).alias("text")),
+    )
+    packed = t.documents.select("doc_id", chunking.pack_by_titles(lines).alias("texts"))
+    pieces = packed.select("doc_id", F.posexplode_outer("texts").alias("ord", "text")).where("text IS NOT NULL")
+    return pieces.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "text")
 
 
 _GRID_CTES = ",".join(

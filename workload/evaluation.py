@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paperloom.constants import HIT_CUTOFFS
 from paperloom.operators import evaluation as E
 from paperloom.operators.dense import dense_topk
-from paperloom.operators.fusion import hybrid
+from paperloom.operators.fusion import hybrid, merge_by_score
 from paperloom.plans.experiments import compare_runs
 from paperloom.session import write_through
 from workload.base import JUDGED_SQL, LABEL_SQL, asked, judged, label_queries, lexical_run, register, runs_sql, vector_run
@@ -61,25 +61,35 @@ def ndcg(t):
     return _per_label(t).select("query_id", "n_retrieved", F.round("ndcg", 6).alias("ndcg"))
 
 
-_RUNS = f"""{runs_sql(50)}, {JUDGED_SQL},
+def _runs_sql(k: int) -> str:
+    return f"""{runs_sql(k)}, {JUDGED_SQL},
 fj AS (SELECT query_id, id, v.rank AS v_rank, b.rank AS b_rank, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS s FROM vrun v FULL OUTER JOIN brun b USING (query_id, id)),
-hrun AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, v_rank ASC NULLS LAST, b_rank ASC NULLS LAST) AS rank FROM fj) WHERE rank <= 50),
+hrun AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, v_rank ASC NULLS LAST, b_rank ASC NULLS LAST) AS rank FROM fj) WHERE rank <= {k}),
 asked AS (SELECT item_id AS query_id, CASE length(text) % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'comparison' ELSE 'summary' END AS query_type FROM benchmark)"""
 
+
+#: Candidates of each side in comparisons and in the diagnosis of ranks.
+COMPARED, DIAGNOSED = 200, 500
+_RUNS = _runs_sql(50)
+_MERGED = f"""{_runs_sql(DIAGNOSED)},
+both_sides AS (SELECT query_id, id, 0 AS side, score, rank AS side_rank FROM vrun UNION ALL SELECT query_id, id, 1, score, rank FROM brun),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY side) AS r FROM both_sides) WHERE r = 1),
+merged AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, side, side_rank) AS rank FROM once)"""
+
 _AVG = """SELECT '{name}' AS method, count(*) AS n_queries, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10,
   round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM {table}"""
 
 
 @register(
     "compare_methods",
-    f"""WITH {_RUNS}, {metrics_sql('vrun', 'judged', 'asked', 'mv')}, {metrics_sql('brun', 'judged', 'asked', 'mb')}, {metrics_sql('hrun', 'judged', 'asked', 'mh')}
+    f"""WITH {_runs_sql(COMPARED)}, {metrics_sql('vrun', 'judged', 'asked', 'mv')}, {metrics_sql('brun', 'judged', 'asked', 'mb')}, {metrics_sql('hrun', 'judged', 'asked', 'mh')}
     {_AVG.format(name='vector', table='mv')} UNION ALL {_AVG.format(name='bm25', table='mb')} UNION ALL {_AVG.format(name='hybrid', table='mh')}""",
 )
 def compare_methods(t):
     # short lists that several methods read: searched once
-    vector = write_through(vector_run(t, 50), "vector-run")
-    lexical = write_through(lexical_run(t, 50), "lexical-run")
-    runs = {"vector": vector, "bm25": lexical, "hybrid": hybrid(vector, lexical, limit=50)}
+    vector = write_through(vector_run(t, COMPARED), "vector-run")
+    lexical = write_through(lexical_run(t, COMPARED), "lexical-run")
+    runs = {"vector": vector, "bm25": lexical, "hybrid": hybrid(vector, lexical, limit=COMPARED)}
     return compare_runs(runs, judged(t), asked(t))
 
 
@@ -93,8 +103,16 @@ def _ranks(t):
     return E.hit_ranks(lexical_run(t, 50), judged(t), _typed(t))
 
 
+def _deep_ranks(t):
+    """Ranks in the merged lists of both searches, as deep as the deepest cutoff."""
+    merged = merge_by_score(vector_run(t, DIAGNOSED), lexical_run(t, DIAGNOSED))
+    return E.hit_ranks(merged, judged(t), _typed(t))
+
+
 _RANKS = f"""{_RUNS}, first AS (SELECT query_id, min(rank) AS rank FROM brun JOIN judged USING (query_id, id) GROUP BY 1),
 ranks AS (SELECT query_id, query_type, rank FROM asked LEFT JOIN first USING (query_id))"""
+_DEEP = f"""{_MERGED}, first AS (SELECT query_id, min(rank) AS rank FROM merged JOIN judged USING (query_id, id) GROUP BY 1),
+ranks AS (SELECT query_id, query_type, rank FROM asked LEFT JOIN first USING (query_id))"""
 
 
 @register(
@@ -108,29 +126,30 @@ def hit_by_type(t):
 
 @register(
     "hit_cutoffs",
-    f"""WITH {_RANKS} SELECT query_type, count(*) AS total, {', '.join(f'count(*) FILTER (rank <= {k}) AS hit_{k}' for k in (1, 3, 5, 10, 20, 50, 100, 200, 500))}
+    f"""WITH {_DEEP} SELECT query_type, count(*) AS total, {', '.join(f'count(*) FILTER (rank <= {k}) AS hit_{k}' for k in (1, 3, 5, 10, 20, 50, 100, 200, 500))}
     FROM ranks GROUP BY GROUPING SETS ((query_type), ())""",
 )
 def hit_cutoffs(t):
-    return E.hits_by_type(_ranks(t), "query_type", HIT_CUTOFFS)
+    return E.hits_by_type(_deep_ranks(t), "query_type", HIT_CUTOFFS)
 
 
 @register(
     "rank_stats",
-    f"""WITH {_RANKS}, o AS (SELECT query_type, rank, row_number() OVER (PARTITION BY query_type ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY query_type) AS n FROM ranks WHERE rank IS NOT NULL)
+    f"""WITH {_DEEP}, o AS (SELECT query_type, rank, row_number() OVER (PARTITION BY query_type ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY query_type) AS n FROM ranks WHERE rank IS NOT NULL)
     SELECT query_type, max(n) AS n_found, max(rank) FILTER (i = n // 2) AS median_rank, round(avg(rank), 6) AS mean_rank, min(rank) AS min_rank, max(rank) AS max_rank FROM o GROUP BY 1""",
 )
 def rank_stats(t):
-    return E.rank_statistics(_ranks(t), "query_type")
+    return E.rank_statistics(_deep_ranks(t), "query_type")
 
 
 @register(
     "rank_buckets",
-    f"""WITH {_RANKS} SELECT CASE WHEN rank = 1 THEN '1-1' WHEN rank <= 5 THEN '2-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' ELSE '21-50' END AS bucket, count(*) AS n_queries
+    f"""WITH {_DEEP} SELECT CASE WHEN rank = 1 THEN '1-1' WHEN rank <= 5 THEN '2-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 50 THEN '21-50'
+      WHEN rank <= 100 THEN '51-100' WHEN rank <= 200 THEN '101-200' WHEN rank <= 500 THEN '201-500' END AS bucket, count(*) AS n_queries
     FROM ranks WHERE rank IS NOT NULL GROUP BY 1""",
 )
 def rank_buckets(t):
-    return E.rank_buckets(_ranks(t))
+    return E.rank_buckets(_deep_ranks(t))
 
 
 @register(

@@ -290,11 +290,8 @@ def _wordset(text):
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old) AS rank FROM s) WHERE rank <= 5""",
 )
 def wordset_overlap_rerank(t):
-    hits = (
-        lexical_run(t, 30)
-        .join(asked(t), "query_id")
-        .join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
-    )
+    texts = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    hits = lookup(lexical_run(t, 30), texts, "id").join(asked(t), "query_id")
     return overlap_rerank(hits).select("query_id", "id", "rerank_score", "rank")
 
 
@@ -311,8 +308,8 @@ def rerank_cut(t):
     SELECT query_id, id, rank, source, lang, length(text) AS n_chars FROM brun LEFT JOIN documents ON id = doc_id""",
 )
 def document_lookup(t):
-    found = lookup(lexical_run(t, 5), t.documents.withColumnRenamed("doc_id", "id"), "id")
-    return found.select("query_id", "id", "rank", "source", "lang", F.length("text").cast("bigint").alias("n_chars"))
+    documents = t.raw("documents").select(F.col("doc_id").alias("id"), "source", "lang", F.length("text").cast("bigint").alias("n_chars"))
+    return lookup(lexical_run(t, 5), documents, "id").select("query_id", "id", "rank", "source", "lang", "n_chars")
 
 
 # --- recall recovery --------------------------------------------------------------------------
