@@ -134,7 +134,8 @@ def dense_topk(
 ) -> DataFrame:
     """Top ``k`` vectors per query by cosine: ``query_id, id, score, rank``.
 
-    With ``probes_col`` (an array of list numbers on the query side) and ``list_col`` (the list
+    Missing, empty or odd-sized vectors cannot be compared and are left out; see
+    :func:`unusable_vectors`. With ``probes_col`` (an array of list numbers on the query side) and ``list_col`` (the list
     number of a vector) each query sees only the lists it probes.
     """
     columns = [F.col(id_col).alias("id"), F.col(vector_col).alias("vector")]
@@ -142,8 +143,10 @@ def dense_topk(
     if list_col:
         columns.append(F.col(list_col).cast("int").alias("list_no"))
         asked_cols.append(F.col(probes_col).cast("array<int>").alias("probes"))
-    stored, asked = vectors.select(*columns), queries.select(*asked_cols)
+    stored, asked = vectors.select(*columns).where("size(vector) > 0"), queries.select(*asked_cols).where("size(vector) > 0")
     rows = asked.limit(max_queries + 1).collect()
+    if rows:
+        stored = stored.where(F.size("vector") == len(rows[0]["vector"]))
     if len(rows) <= max_queries:
         best = _by_broadcast(stored, asked, rows, k, eps, high_id_first)
     else:
@@ -152,6 +155,12 @@ def dense_topk(
     return ranked(best, ["query_id"], order).where(F.col("rank") <= k)
 
 
+def unusable_vectors(vectors: DataFrame, dim: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """Ids and sizes of vectors that a search over ``dim`` components leaves out (size NULL: none stored)."""
+    size = F.size(vector_col)
+    return vectors.where(F.coalesce(size != dim, F.lit(True))).select(F.col(id_col).alias("id"), F.when(F.col(vector_col).isNotNull(), size).alias("size"))
+
+
 def _by_broadcast(
     stored: DataFrame, asked: DataFrame, rows: list, k: int, eps: float, high: bool
 ) -> DataFrame:

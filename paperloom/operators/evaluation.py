@@ -149,3 +149,22 @@ def table_recall(extracted: Column, truth: Column) -> Column:
         )
 
     return let(F.struct(extracted.alias("seen"), truth.alias("wanted")), share)
+
+
+def compare_extractions(methods: dict[str, DataFrame], truth: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Mean text precision, recall, F1 and table recall of several extractions of the same documents.
+
+    All tables have ``key, words, tables`` (a set of words, an array of cell sets). A document that an
+    extraction lacks counts with empty sets.
+    """
+    named = [truth.select(key).join(df, key, "left").select(F.lit(name).alias("method"), key, "words", "tables") for name, df in methods.items()]
+    found = named[0]
+    for other in named[1:]:
+        found = found.unionByName(other)
+    none = F.array().cast("array<string>")
+    seen = found.select("method", key, F.coalesce("words", none).alias("seen"), F.coalesce("tables", F.array().cast("array<array<string>>")).alias("seen_tables"))
+    scored = seen.join(truth, key).select(
+        "method", text_overlap(F.col("seen"), F.col("words")).alias("s"), table_recall(F.col("seen_tables"), F.col("tables")).alias("table_recall")
+    )
+    means = [F.round(F.avg(f"s.{c}"), 6).alias(c) for c in ("precision", "recall", "f1")]
+    return scored.groupBy("method").agg(F.count("*").alias("n_documents"), *means, F.round(F.avg("table_recall"), 6).alias("table_recall"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
@@ -28,6 +28,19 @@ def rerank(
     return ranked(scored, [query_id], order).where(F.col("rank") <= k).drop("_old")
 
 
+def rerank_longer(
+    candidates: DataFrame, score: Column, k: int = C.CHAIN_RERANK_TOP_K, query_id: str = "query_id"
+) -> DataFrame:
+    """Best ``k`` candidates per query; only lists of more than ``k`` are reordered.
+
+    The lists are bounded by what retrieval returned, so their lengths may be windowed.
+    """
+    long = F.count("*").over(Window.partitionBy(query_id)) > k
+    scored = candidates.withColumn("_long", long).withColumn("rerank_score", F.when(F.col("_long"), score)).withColumnRenamed("rank", "_old")
+    order = [F.desc("rerank_score"), F.asc("_old")]
+    return ranked(scored, [query_id], order).where(F.col("rank") <= k).drop("_old", "_long")
+
+
 def overlap_rerank(
     candidates: DataFrame, k: int = C.CHAIN_RERANK_TOP_K, query: str = "query", text: str = "text"
 ) -> DataFrame:

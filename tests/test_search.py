@@ -1,5 +1,7 @@
 """Search paths that must agree with each other and with brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.models import FunctionEncoder, FunctionGenerator, FunctionReranker, HashEncoder, encode_missing, encode_table
 from paperloom.operators import lexical
 from paperloom.operators import matching as M
-from paperloom.operators.dense import assign_lists, dense_topk, mean_vectors, probed_topk, search_by_kind, train_lists
+from paperloom.operators.dense import assign_lists, dense_topk, unusable_vectors, mean_vectors, probed_topk, search_by_kind, train_lists
 from paperloom.operators.ranking import keep_first
 from paperloom.session import fits_broadcast
 
@@ -169,3 +171,26 @@ def test_remap_counts_unmatched_and_uses_clauses(spark):
     )
     found = rows(M.remap_truth(samples, chunks), "query_id")
     assert found == [(1, "c1", "file"), (2, "c2", "file"), (3, "c3", "company"), (4, None, None)]
+
+
+def test_unusable_vectors_are_left_out(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", []), ("d", [1.0]), ("e", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "query_id bigint, embedding array<double>")
+    found = dense_topk(vectors, asked, 5)
+    assert [(r["query_id"], r["id"]) for r in found.orderBy("rank").collect()] == [(1, "a"), (1, "e")]
+    assert {(r["id"], r["size"]) for r in unusable_vectors(vectors, 2).collect()} == {("b", None), ("c", 0), ("d", 1)}
+
+
+def test_lookup_filters_texts_in_place(spark, tmp_path):
+    """Beyond the automatic broadcast limit texts are not shuffled for the few ids asked for."""
+    texts = spark.range(2000).select(F.col("id"), F.repeat(F.lit("word "), 400).alias("text"))
+    texts.write.parquet(str(tmp_path / "texts"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        found = M.lookup(spark.createDataFrame([(5,), (7,), (9999,)], "id bigint"), spark.read.parquet(str(tmp_path / "texts")), "id")
+        assert sorted((r["id"], r["text"] is None) for r in found.collect()) == [(5, False), (7, False), (9999, True)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"BroadcastHashJoin \[id#\d+L\], \[id#\d+L\], LeftSemi", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -8,7 +8,7 @@ from paperloom.functions import tables as T
 from paperloom.functions.documents import full_text
 from paperloom.functions.strings import has_cjk
 from paperloom.functions.tokens import word_set
-from paperloom.operators.evaluation import table_recall, text_overlap
+from paperloom.operators.evaluation import compare_extractions, table_recall, text_overlap
 from paperloom.operators.rows import each, each_struct
 from paperloom.sources.readers import is_valid_pdf
 from paperloom.sources.writers import page_lines
@@ -458,3 +458,35 @@ def text_prf(t):
     sets = t.documents.select("doc_id", word_set(read).alias("a"), word_set("text").alias("b"))
     scored = sets.select("doc_id", text_overlap(F.col("a"), F.col("b")).alias("s")).select("doc_id", "s.*")
     return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_MISREAD, _UNSPACED = "replace({0}, ' the ', ' teh ')", "replace({0}, ', ', ',')"
+
+
+def _tables_sql(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10)), lambda x: list_distinct(list_transform(string_split(x, ' '), lambda y: lower(trim(y)))))"
+
+
+@register(
+    "extraction_compare",
+    f"""WITH m AS (SELECT 'misread' AS method, doc_id, {_words(_MISREAD.format('text'))} AS a, {_tables_sql(_MISREAD.format('text'))} AS ta FROM documents
+      UNION ALL SELECT 'unspaced', doc_id, {_words(_UNSPACED.format('text'))}, {_tables_sql(_UNSPACED.format('text'))} FROM documents WHERE doc_id % 10 <> 0
+      UNION ALL SELECT 'unspaced', doc_id, [], [] FROM documents WHERE doc_id % 10 = 0),
+    t AS (SELECT doc_id, {_words('text')} AS b, {_tables_sql('text')} AS tb FROM documents),
+    s AS (SELECT method, CASE WHEN len(b) > 0 AND len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END AS p,
+      CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) / len(b) ELSE 0 END AS r,
+      len(list_filter(tb, lambda w: len(list_filter(ta, lambda e: len(list_intersect(e, w)) / len(list_distinct(list_concat(e, w))) > 0.8)) > 0)) / len(tb) AS tr
+      FROM m JOIN t USING (doc_id))
+    SELECT method, count(*) AS n_documents, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+      round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1, round(avg(tr), 6) AS table_recall FROM s GROUP BY method""",
+)
+def extraction_compare(t):
+    """Two readings of all documents, one of which lacks some; each line stands for a table of its words."""
+
+    def read(text):
+        cells = F.transform(F.split(text, "\n"), lambda x: F.array_distinct(F.transform(F.split(x, " "), lambda y: F.lower(F.trim(y)))))
+        return t.documents.select("doc_id", word_set(text).alias("words"), cells.alias("tables"))
+
+    misread = read(F.replace("text", F.lit(" the "), F.lit(" teh ")))
+    unspaced = read(F.replace("text", F.lit(", "), F.lit(","))).where("doc_id % 10 <> 0")
+    return compare_extractions({"misread": misread, "unspaced": unspaced}, read(F.col("text")))

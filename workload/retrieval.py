@@ -7,7 +7,7 @@ from paperloom.functions.tokens import finance_terms, segment_cjk, tokenize
 from paperloom.operators import fusion, lexical
 from paperloom.operators.dense import assign_lists, dense_topk, probed_topk
 from paperloom.operators.matching import lookup
-from paperloom.operators.rerank import cut, overlap_rerank
+from paperloom.operators.rerank import cut, overlap_rerank, overlap_score, rerank_longer
 from paperloom.operators.rows import each
 from paperloom.plans import qa
 from paperloom.plans.experiments import ann_recall
@@ -295,6 +295,25 @@ def wordset_overlap_rerank(t):
     return overlap_rerank(hits).select("query_id", "id", "rerank_score", "rank")
 
 
+@register(
+    "hybrid_rerank",
+    _rrf_sql(60, 1.0, 1.0)
+    + f""", listed AS (SELECT query_id, id, rank FROM fused WHERE rank <= query_id % 8 + 2),
+    n AS (SELECT query_id, count(*) > 5 AS long FROM listed GROUP BY 1),
+    s AS (SELECT query_id, id, listed.rank AS old, CASE WHEN long THEN round(len(list_intersect({_wordset('b.text')}, {_wordset('d.text')}))
+      / (len({_wordset('b.text')}) + 1), 9) END AS rerank_score
+      FROM listed JOIN n USING (query_id) JOIN benchmark b ON query_id = item_id JOIN documents d ON id = doc_id)
+    SELECT query_id, id, rerank_score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, old) AS rank FROM s) WHERE rank <= 5""",
+)
+def hybrid_rerank(t):
+    """Fused lists of two to nine hits; only those of more than five are reranked."""
+    listed = fusion.hybrid(vector_run(t, 20), lexical_run(t, 20)).where(F.col("rank") <= F.col("query_id") % 8 + 2)
+    texts = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    hits = lookup(listed.select("query_id", "id", "rank"), texts, "id").join(asked(t), "query_id")
+    return rerank_longer(hits, F.round(overlap_score("query", "text"), 9)).select("query_id", "id", "rerank_score", "rank")
+
+
 @register(
     "rerank_cut", f"WITH {bm25_sql(30, DOCS_SQL, ASKED_SQL)} SELECT query_id, id, rank FROM brun WHERE rank <= 5"
 )
