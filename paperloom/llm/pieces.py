@@ -25,7 +25,6 @@ from __future__ import annotations
 import functools
 import importlib.util
 import math
-import re
 import zlib
 
 import numpy as np
@@ -34,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.base import arrow, register, table
+from paperloom.llm.units import LETTER, Table, characters
 
 MARK = "▁"
 SWAP = str.maketrans({" ": MARK, MARK: " "})
 MODEL = "piece_bpe_32k.model"
-KEPT, LONGEST, TOGETHER = 150_000, 64, 24
+LONGEST, TOGETHER = 64, 24
 BASE, MIX, TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
 
 
@@ -94,21 +94,34 @@ class Pieces:
         self.key_ids = np.array([hashed[int(k)][1] for k in self.keys], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys * MIX) >> np.uint64(44)] = True
-        self.segment = self._segments()
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.stops = self._stops()
+        self.table = Table()
 
-    def _segments(self) -> re.Pattern:
-        """What lies between places that no piece spans: before a run of marks, around a line break, and
-        before those of the signs ``.,;:!?`` that no piece has behind a letter."""
+    def _stops(self) -> np.ndarray:
+        """Those of the signs ``.,;:!?`` that no piece has behind a Latin letter."""
         inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        stops = "".join(c for c in ".,;:!?" if not any(pair[1] == c and re.match(r"[^\W\d_]", pair[0]) for pair in inside))
-        line = "" if any("\n" in pair for pair in inside) else "\n"
-        other = f"[^{MARK}{line}{stops}]+"
-        if not stops:
-            return re.compile(f"{MARK}+(?:{other})?|{line or '(?!)'}|{other}")
-        rest = rf"(?:{other}(?:(?<![^\W\d_])[{stops}]+)?)"
-        return re.compile(f"{MARK}+[{stops}]*{rest}*|{line or '(?!)'}|[{stops}]+{rest}*|{rest}+")
+        known = [c for c in ".,;:!?" if not any(pair[1] == c and LETTER[min(256, ord(pair[0]))] for pair in inside)]
+        self.lines = not any("\n" in pair for pair in inside)
+        return characters(*[(ord(c), ord(c)) for c in known])
+
+    def cut_segments(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character of every segment, and of every text among the segments; ``ends`` are the texts' ends.
+
+        Segments lie between places that no piece spans: before a run of marks, around a line break and before
+        a sign that no piece has behind a letter.
+        """
+        begin = np.zeros(len(codes), bool)
+        begin[0] = True
+        begin[ends[:-1]] = True
+        kind, mark = np.minimum(codes, 256), codes == ord(MARK)
+        begin[1:] |= mark[1:] & ~mark[:-1]
+        begin[1:] |= self.stops[kind[1:]] & LETTER[kind[:-1]]
+        if self.lines:
+            line = kind == 10
+            begin |= line
+            begin[1:] |= line[:-1]
+        begins = np.flatnonzero(begin)
+        return begins, np.searchsorted(begins, np.concatenate(([0], ends[:-1])))
 
     def stand_in(self, char: str) -> list[int]:
         """Ids of a character outside the vocabulary."""
@@ -220,61 +233,53 @@ class Pieces:
             ends[going] = links[ends[going], going]
         return [ids[i, size - used[i] :].tobytes() if whole[i] else self._short(t) for i, t in enumerate(texts)]
 
-    def learn(self, segments) -> None:
-        """Puts segments that are not in the table into it, searched together."""
-        known, older, lengths = self.recent, self.older, {}
-        for segment in segments:
-            if segment not in known and segment not in older and len(segment) <= TOGETHER:
-                lengths.setdefault(len(segment), []).append(segment)
-        for texts in lengths.values():
-            for text, ids in zip(texts, self._same_length(texts)):
-                self._keep(text, ids)
-
-    def _segment(self, segment: str) -> bytes:
-        found = self.older.get(segment)
-        if found is None:
-            if len(segment) > LONGEST:
-                return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(segment))
-            found = self._short(segment)
-        return self._keep(segment, found)
-
-    def _keep(self, text: str, ids: bytes) -> bytes:
-        """Two generations: what is used again moves to the younger, the elder is dropped when that is full."""
-        if len(self.recent) >= KEPT:
-            self.older, self.recent = self.recent, {}
-        self.recent[text] = ids
-        return ids
+    def _new_segments(self, segments: list[str]) -> list[np.ndarray]:
+        """Ids of segments; short ones of one length are searched together."""
+        found: list = [None] * len(segments)
+        lengths: dict[int, list[int]] = {}
+        for n, segment in enumerate(segments):
+            if len(segment) <= TOGETHER:
+                lengths.setdefault(len(segment), []).append(n)
+            elif len(segment) <= LONGEST:
+                found[n] = self._short(segment)
+            else:
+                found[n] = np.array([i for part in self.stream(segment) for i in part], "<i4").tobytes()
+        for places in lengths.values():
+            for n, ids in zip(places, self._same_length([segments[n] for n in places])):
+                found[n] = ids
+        return [np.frombuffer(ids, np.uint32) for ids in found]
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if not self.cuts:
-            return b"".join(np.array(part, "<i4").tobytes() for part in self.stream(marked(text)))
-        return self._joined(self.segment.findall(marked(text)))
-
-    def _joined(self, segments: list[str]) -> bytes:
-        known, build = self.recent.get, self._segment
-        return b"".join([known(s) or build(s) for s in segments])
+        return next(iter(self.encode_all([text])))
 
     def encode_all(self, texts):
-        """The ids of many texts; new segments of about a megabyte of text are searched together."""
+        """The ids of many texts, taken together in groups of about a megabyte."""
         group, size = [], 0
         for text in texts:
-            group.append(text)
-            size += len(text or "")
+            group.append(text or "")
+            size += len(group[-1])
             if size >= 1 << 20:
                 yield from self._encode_group(group)
                 group, size = [], 0
-        yield from self._encode_group(group)
+        if group:
+            yield from self._encode_group(group)
 
-    def _encode_group(self, texts):
+    def _encode_group(self, texts: list[str]):
         if not self.cuts:
-            yield from map(self.encode, texts)
+            yield from (b"".join(np.array(part, "<i4").tobytes() for part in self.stream(marked(t))) if t else b"" for t in texts)
             return
-        split = [self.segment.findall(marked(t)) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        yield from map(self._joined, split)
+        filled = [marked(t) for t in texts if t]
+        coded = iter(())
+        if filled:
+            joined = "".join(filled)
+            codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+            begins, places = self.cut_segments(codes, np.cumsum([len(t) for t in filled]))
+            if self.table.full():
+                self.table = Table()
+            coded = iter(self.table.encode(joined, codes, begins, places, self._new_segments))
+        for text in texts:
+            yield next(coded) if text else b""
 
     def decode(self, ids) -> str:
         out = self.out

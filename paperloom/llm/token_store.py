@@ -11,8 +11,9 @@ in the manifest count, so a lost or repeated task leaves no trace. Ids before a
 over the manifest in two levels (tasks, then files).
 
 A text is encoded by units: words that the pre-tokenizer takes as one in any surroundings, and what lies
-between. Units repeat and are kept in a bounded table per worker; new words are encoded
-together. The ids are those of the whole text (tests compare).
+between. Units repeat, so their ids are kept in a bounded table per worker, found by a 64-bit hash for a
+megabyte of text at once; new words are encoded together. The ids are those of the whole text (tests
+compare; two units of one hash would be mixed up, with a chance of some 1e-12 a million units).
 
 Cases: a NULL or empty text has only the end id. Documents are ordered by id, NULL ids first, equal
 ids by the text's hash and text; repeated rows are each stored. An empty table gives no files and no rows. Other
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.base import register, ship, table
 from paperloom.llm.pieces import vocabulary_path
+from paperloom.llm.units import LETTER, Table, characters
 from paperloom.session import shared_dir, write_through
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,7 +43,7 @@ MAGIC, BLOCK, END = b"PFOR", 512, 0
 PERCENTILES = (0.90, 0.95, 0.98, 1.0)
 EXCEPTION = 6  # bytes: place and high bits
 FILE_IDS = 4 << 20
-GROUP, KEPT = 1 << 21, 400_000
+GROUP = 1 << 20
 HEAD = "<4sIQQQ"  # magic, block size, documents, ids, blocks
 BLOCK_HEAD = "<IBxH"  # minimum, width, exceptions
 
@@ -173,11 +174,40 @@ class TokenFile:
 # --- encoding ---------------------------------------------------------------------------------
 
 
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A run of Latin letters with its space that the pre-tokenizer's pattern takes as one whatever stands
-#: around: behind it an ASCII sign or white space, before it a space or another ASCII sign (no apostrophe,
-#: which may begin a contraction; nor two characters of white space, which it would part).
-WORDS = re.compile(rf"((?: |(?<![^\t-&(-@\[-`{{-~])(?<!\s\s))[{LETTERS}]+(?=[\s!-@\[-`{{-~]|\Z))")
+#: White space; what may stand behind a word (ASCII signs and white space) and before one without a
+#: space (the same but the apostrophe, which may begin a contraction).
+SPACE = characters((9, 13), (28, 32), (0x85, 0x85), (0xA0, 0xA0))
+BEHIND = characters((9, 13), (28, 64), (91, 96), (123, 126))
+BEFORE = characters((9, 38), (40, 64), (91, 96), (123, 126))
+
+
+def cut_units(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First character of every unit, and of every text among the units; ``ends`` are the texts' ends.
+
+    A word, with the space in front of it, is a unit where the pre-tokenizer takes it as one whatever else
+    stands around it; what lies between words is one too.
+    """
+    kind = np.minimum(codes, 256)
+    edge = np.zeros(len(codes) + 1, bool)  # a text begins here
+    edge[0] = True
+    edge[ends] = True
+    letter = LETTER[kind]
+    before = np.concatenate(([False], letter[:-1])) & ~edge[:-1]
+    first = np.flatnonzero(letter & ~before)
+    after = np.concatenate((letter[1:], [False])) & ~edge[1:]
+    last = np.flatnonzero(letter & ~after) + 1
+    closed = edge[last] | BEHIND[kind[np.minimum(last, len(kind) - 1)]]
+    fresh = edge[first]
+    prior = kind[np.maximum(first - 1, 0)]
+    spaced = ~fresh & (prior == 32)
+    twice = ~fresh & SPACE[prior] & (first > 1) & ~edge[np.maximum(first - 1, 0)] & SPACE[kind[np.maximum(first - 2, 0)]]
+    good = closed & (fresh | spaced | (BEFORE[prior] & ~twice))
+    marks = edge[:-1].copy()
+    marks[(first - spaced)[good]] = True
+    behind = last[good]
+    marks[behind[behind < len(codes)]] = True
+    begins = np.flatnonzero(marks)
+    return begins, np.searchsorted(begins, np.concatenate(([0], ends[:-1])))
 
 
 class Encoder:
@@ -192,36 +222,21 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.table = Table()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[np.ndarray]:
         """Words with their space in front, encoded as one text: a token that begins with a space begins a word."""
+        if not words:
+            return []
         [found] = self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        begins = np.flatnonzero(self.spaced[ids]).tolist()
+        ids = np.array(found.ids, np.uint32)
+        begins = np.flatnonzero(self.spaced[ids])
         if len(begins) != len(words):
             return [self.whole(w) for w in words]
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)])]
-
-    def _keep(self, unit: str, ids: bytes) -> bytes:
-        """Two generations: what is used again moves to the younger, the elder is dropped when that is full."""
-        if len(self.recent) >= KEPT:
-            self.older, self.recent = self.recent, {}
-        self.recent[unit] = ids
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        found = self.older.get(unit)
-        if found is None:
-            found = self._long(unit)
-            if len(unit) > 64:
-                return found
-        return self._keep(unit, found)
+        return np.split(ids, begins[1:])
 
     def encode_all(self, texts):
         """The ids of many texts, taken together in groups of about a megabyte."""
@@ -235,17 +250,27 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]):
-        split = [None if any(s in t for s in self.special) else WORDS.split(t) for t in texts]
-        recent, older = self.recent, self.older
-        new = [w for w in set().union(*(s[1::2] for s in split if s)) if w not in recent and w not in older and w[0] == " "]
-        if new:
-            for word, ids in zip(new, self._words(new)):
-                self._keep(word, ids)
-        known, build = self.recent.get, self._unit
-        for text, units in zip(texts, split):
-            yield self.whole(text) if units is None else b"".join([known(u) or build(u) for u in units if u])
-
-    def _long(self, text: str) -> bytes:
+        plain = [t for t in texts if t and not any(s in t for s in self.special)]
+        coded = iter(self._plain(plain) if plain else [])
+        for text in texts:
+            yield b"" if not text else self.whole(text).tobytes() if any(s in text for s in self.special) else next(coded)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        begins, text_units = cut_units(codes, ends)
+        if self.table.full():
+            self.table = Table()
+        return self.table.encode(joined, codes, begins, text_units, self._new_units)
+
+    def _new_units(self, units: list[str]) -> list[np.ndarray]:
+        words = [n for n, u in enumerate(units) if u[0] == " " and LETTER[min(256, ord(u[-1]))]]
+        parts: dict[int, np.ndarray] = dict(zip(words, self._words([units[n] for n in words]), strict=True))
+        return [parts[n] if n in parts else self._long(unit) for n, unit in enumerate(units)]
+
+    def _long(self, text: str) -> np.ndarray:
         """Any text; a long one in parts that end at single spaces between other characters."""
         parts, start = [], 0
         while start < len(text):
@@ -254,7 +279,7 @@ class Encoder:
                 end += 1
             parts.append(self.whole(text[start:end]))
             start = end
-        return b"".join(parts)
+        return np.concatenate(parts)
 
 
 @functools.lru_cache(maxsize=2)
