@@ -17,7 +17,7 @@ from paperloom import constants as C
 from paperloom.functions.tokens import tokenize
 from paperloom.operators.ranking import top_k
 from paperloom.operators.rows import each
-from paperloom.session import fits_broadcast
+from paperloom.session import fits_broadcast, write_through
 
 SCORE_DIGITS = 6
 TERM_BUCKETS = 256
@@ -102,10 +102,11 @@ def _asked_postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> LexicalIndex:
     """Index a chunk collection.
 
-    Document frequencies come from each document's distinct terms, counted before the
-    shuffle, and need no pass over the postings.
+    Texts are tokenised once, into a table in the shared folder that lengths, postings and terms
+    are derived from. Document frequencies come from each document's distinct terms, counted before
+    the shuffle, and need no pass over the postings.
     """
-    docs = _documents(chunks, id_col, text_col)
+    docs = write_through(_documents(chunks, id_col, text_col), "tokens")
     terms = (
         each(docs, [], F.array_distinct("tokens"), "term")
         .groupBy("term")

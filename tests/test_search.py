@@ -194,3 +194,14 @@ def test_lookup_filters_texts_in_place(spark, tmp_path):
         assert re.search(r"BroadcastHashJoin \[id#\d+L\], \[id#\d+L\], LeftSemi", plan)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_stored_lists_and_buckets_are_pruned(spark, tmp_path, vectors):
+    centroids = mean_vectors(vectors.withColumn("list_no", (F.col("chunk_id") % 6).cast("int")), "list_no")
+    lists = assign_lists(vectors, centroids)
+    lists.write.partitionBy("list_no").parquet(str(tmp_path / "lists"))
+    asked = vectors.where("chunk_id < 3").select(F.col("chunk_id").alias("query_id"), "embedding")
+    stored = spark.read.parquet(str(tmp_path / "lists"))
+    found = probed_topk(stored, asked, centroids, 5, 1)
+    assert rows(found) == rows(probed_topk(lists, asked, centroids, 5, 1))
+    assert re.search(r"PartitionFilters: \[[^\]]*list_no#\d+ (IN|=)", found._jdf.queryExecution().executedPlan().toString())

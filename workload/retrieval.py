@@ -1,5 +1,7 @@
 """Index, search, fusion and reranking."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
@@ -11,6 +13,9 @@ from paperloom.operators.rerank import cut, overlap_rerank, overlap_score, reran
 from paperloom.operators.rows import each
 from paperloom.plans import qa
 from paperloom.plans.experiments import ann_recall
+from paperloom.session import shared_dir
+from paperloom.sources.readers import read_vectors
+from paperloom.sources.writers import write_vectors
 from workload.base import (
     ASKED_SQL,
     ASKED_VECTOR_SQL,
@@ -52,6 +57,17 @@ def bm25_indexed(t):
     return lexical.search(index, asked(t), 20).select(*RUN)
 
 
+@register(
+    "bm25_stored",
+    f"WITH {bm25_sql(20, DOCS_SQL, ASKED_SQL)} SELECT query_id, id, score, rank FROM brun",
+)
+def bm25_stored(t):
+    """Save the index, load it and search; only the buckets of the asked terms are read."""
+    path = os.path.join(shared_dir(t.spark), f"index-{os.urandom(6).hex()}")
+    lexical.build_index(t.documents, "doc_id").save(path)
+    return lexical.search(lexical.LexicalIndex.load(t.spark, path), asked(t), 20).select(*RUN)
+
+
 @register(
     "bm25_index_stats",
     f"""WITH tok AS (SELECT {tokens_sql('text')} AS tokens FROM documents),
@@ -173,11 +189,15 @@ flat AS (SELECT query_id, id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sim) WHERE rank <= 20)"""
 
 
-def _ivf(t, k=20, n_probe=3):
+def _ivf(t, k=20, n_probe=3, stored=False):
     questions = label_queries(t)
     centroids = questions.select(F.col("query_id").cast("int").alias("list_no"), "embedding")
-    stored = assign_lists(t.embeddings.select("vec_id", "embedding"), centroids)
-    return probed_topk(stored, questions, centroids, k, n_probe, id_col="vec_id")
+    lists = assign_lists(t.embeddings.select("vec_id", "embedding"), centroids)
+    if stored:
+        path = os.path.join(shared_dir(t.spark), f"lists-{os.urandom(6).hex()}")
+        write_vectors(lists, path, "list_no")
+        lists = read_vectors(t.spark, path)
+    return probed_topk(lists, questions, centroids, k, n_probe, id_col="vec_id")
 
 
 @register("dense_ivf_topk", f"WITH {_IVF_SQL} SELECT query_id, id, score, rank FROM ivf")
@@ -185,6 +205,12 @@ def dense_ivf_topk(t):
     return _ivf(t).select(*RUN)
 
 
+@register("dense_ivf_stored", f"WITH {_IVF_SQL} SELECT query_id, id, score, rank FROM ivf")
+def dense_ivf_stored(t):
+    """As ``dense_ivf_topk`` over vectors stored in a folder per list; unprobed folders are not read."""
+    return _ivf(t, stored=True).select(*RUN)
+
+
 @register(
     "ann_recall",
     f"""WITH {_IVF_SQL} SELECT (SELECT count(*) FROM flat JOIN ivf USING (query_id, id)) AS n_found,
