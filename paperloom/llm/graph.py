@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from paperloom.session import write_through
 
+EDGES = 200_000
+
 
 def _star(edges: DataFrame) -> DataFrame:
     """Edges with the smallest neighbour (or the node itself) of ``u``.
@@ -57,6 +59,11 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, edges.schema)
 
 
+def _few(edges: DataFrame, rows: int) -> DataFrame:
+    """Files of some hundred thousand edges: a round over a small graph writes one, not one per partition."""
+    return edges.coalesce(rows // EDGES + 1)
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
@@ -71,11 +78,12 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
     """
     own = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u <> v")
     current = write_through(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    current = write_through(_forest(current), "edges")
+    mark = _mark(current)
+    current = write_through(_few(_forest(current), mark[0]), "edges")
     mark = _mark(current)
     while mark[0]:
         step = _small_star(_large_star(current).distinct())
-        current = write_through(step.where("u <> v").distinct(), "edges")
+        current = write_through(_few(step.where("u <> v").distinct(), mark[0]), "edges")
         before, mark = mark, _mark(current)
         if mark == before:
             break
