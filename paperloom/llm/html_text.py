@@ -31,10 +31,11 @@ HIDDEN = frozenset("script style noscript template head title svg canvas object
 FURNITURE = frozenset("nav footer aside form menu button select textarea dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CONTENT = frozenset("article main".split())
+TEASERS = frozenset("comment comments reply related teaser ad ads advert promo sponsored".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|"
+    r"(?:^|[_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|"
     r"cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|"
-    r"comments?|commentlist|discussion|replies|disqus\w*|related|recommend\w*|pagination|pager|copyright|disclaimer|toolbar|search\w*)(?:$|[\s_-])",
+    r"comments?|commentlist|discussion|replies|disqus\w*|related|recommend\w*|pagination|pager|copyright|disclaimer|toolbar|search\w*)(?:$|[_-])",
     re.I,
 )
 
@@ -44,20 +45,21 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, content element
+        # Name, hidden, furniture (by its name only: 1, by element or role: 2), content element.
+        self.stack: list[tuple[str, bool, int, int]] = []
         self.elements = 0
         self.lines: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, -1)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, -1)
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             _, furniture, content = self._state()
-            self.lines.append((text, self.tags, furniture, content))
+            self.lines.append((text, self.tags, furniture > 0, content))
             self.tags = 0
         self.parts = []
 
@@ -74,14 +76,21 @@ class Lines(HTMLParser):
         hidden, furniture, content = self._state()
         values = {k: v or "" for k, v in attrs}
         inside = content >= 0
-        if tag in CONTENT or values.get("role") in ("main", "article"):
-            if not (inside and furniture):
+        role = values.get("role", "").lower()
+        names = f"{values.get('class', '')} {values.get('id', '')}".split()
+        if tag in CONTENT or role in CONTENT:
+            # What a page declares as its content is not furniture for the name of a wrapper.
+            if furniture < 2 and not inside:
+                furniture = 0
+            if not furniture:
                 self.elements += 1
                 content = self.elements
-        elif tag in FURNITURE or values.get("role", "").lower() in ROLES or (tag == "header" and not inside):
-            furniture = True
-        if tag not in ("html", "body") and tag not in CONTENT and NAMES.search(f"{values.get('class', '')} {values.get('id', '')}"):
-            furniture = True
+            if TEASERS.intersection(n.lower() for n in names):
+                furniture = 2
+        elif tag in FURNITURE or role in ROLES or (tag == "header" and not inside):
+            furniture = 2
+        elif tag not in ("html", "body") and any(NAMES.search(n) for n in names if not n.lower().startswith(("has-", "with-", "no-", "without-"))):
+            furniture = max(furniture, 1)
         hidden = hidden or tag in HIDDEN or "hidden" in values
         self.stack.append((tag, hidden, furniture, content))
 

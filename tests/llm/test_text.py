@@ -76,6 +76,8 @@ def test_pages_against_their_source(spark):
         ("<body><nav><a>x</a></nav><main><h1>T&amp;t</h1><p>a  b<br>c<p>d</main><footer>f</footer>", "T&t\n\na b c\n\nd"),
         ("<article><p>one<div class='comments'><p>said</div><aside>side</aside><p>two</article>", "one\n\ntwo"),
         ("<div id=cookie-notice>ok?</div><article><ul><li>a<li>b</ul><form>f<input></form></article>", "a\n\nb"),
+        ("<div class='page header-fixed has-sidebar'><article class='post'><p>a</article><article class='comment'><p>b</article></div>", "a"),
+        ("<aside><article><p>teaser</article></aside><main class='with-sidebar'><p>text", "text"),
         ("<article><p>x<script>var a='<p>no</p>';</script><style>p{}</style> y</article>", "x\n\ny"),
     ],
 )
