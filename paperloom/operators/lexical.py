@@ -41,25 +41,32 @@ class LexicalIndex:
         n_docs = self.lengths.select(F.count("*")).scalar()
         return self.terms.select("term", "df", idf(n_docs, F.col("df")).alias("idf"))
 
-    def save(self, path: str) -> None:
-        """Write the three tables.
+    def save(self, path: str, batch: str | None = None) -> None:
+        """Write the three tables, or those of a further ``batch`` of documents next to the others.
 
         Postings lie in one folder per term bucket, so that a search reads only the buckets of
-        its terms. They are ranged by bucket, term and id: a frequent term spreads over files.
+        its terms. They are ranged by bucket, term and id: a frequent term spreads over files. A
+        batch that is written again replaces itself.
         """
-        self.lengths.write.mode("overwrite").parquet(os.path.join(path, "lengths"))
+
+        def place(name: str) -> str:
+            return os.path.join(path, name, *([f"batch={batch}"] if batch else []))
+
+        self.terms.write.mode("overwrite").parquet(place("terms"))
         (
             self.postings.repartitionByRange("bucket", "term", "id")
             .sortWithinPartitions("bucket", "term", "id")
             .write.mode("overwrite")
             .partitionBy("bucket")
-            .parquet(os.path.join(path, "postings"))
+            .parquet(place("postings"))
         )
-        self.terms.write.mode("overwrite").parquet(os.path.join(path, "terms"))
+        self.lengths.write.mode("overwrite").parquet(place("lengths"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*[spark.read.parquet(os.path.join(path, n)) for n in ("lengths", "postings", "terms")])
+        """Stored tables; document frequencies add up over batches, whose documents differ."""
+        lengths, postings, terms = [spark.read.parquet(os.path.join(path, n)) for n in ("lengths", "postings", "terms")]
+        return cls(lengths.drop("batch"), postings.drop("batch"), terms.groupBy("term").agg(F.sum("df").alias("df")))
 
 
 def term_bucket(term: Column | str) -> Column:

@@ -11,7 +11,7 @@ from paperloom.operators.dense import assign_lists, dense_topk, probed_topk
 from paperloom.operators.matching import lookup
 from paperloom.operators.rerank import cut, overlap_rerank, overlap_score, rerank_longer
 from paperloom.operators.rows import each
-from paperloom.plans import qa
+from paperloom.plans import ingest, qa
 from paperloom.plans.experiments import ann_recall
 from paperloom.session import shared_dir
 from paperloom.sources.readers import read_vectors
@@ -68,6 +68,19 @@ def bm25_stored(t):
     return lexical.search(lexical.LexicalIndex.load(t.spark, path), asked(t), 20).select(*RUN)
 
 
+@register(
+    "incremental_search",
+    f"WITH {bm25_sql(20, DOCS_SQL, ASKED_SQL)} SELECT query_id, id, score, rank FROM brun",
+)
+def incremental_search(t):
+    """Two arrivals, the second of which repeats the first, searched as if indexed at once."""
+    path = os.path.join(shared_dir(t.spark), f"collection-{os.urandom(6).hex()}")
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    ingest.append_chunks(chunks.where("chunk_id % 3 = 0"), path)
+    collection = ingest.append_chunks(chunks, path)
+    return lexical.search(collection.index, asked(t), 20).select(*RUN)
+
+
 @register(
     "bm25_index_stats",
     f"""WITH tok AS (SELECT {tokens_sql('text')} AS tokens FROM documents),
