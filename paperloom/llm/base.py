@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import shutil
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +75,26 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[context.applicationId] = folder
 
 
+@functools.cache
+def _trim():
+    """The C library's way to give freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def trim() -> None:
+    """Return what a batch no longer needs: idle workers else keep the arrays of their largest one."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def arrow(run: Callable, kind: str):
-    """A column function over Arrow arrays; workers get the package."""
+    """A column function over Arrow arrays; workers get the package and give memory back after each batch."""
     ship(SparkSession.getActiveSession())
-    return F.arrow_udf(run, kind)
+
+    @functools.wraps(run)
+    def trimmed(*columns):
+        found = run(*columns)
+        trim()
+        return found
+
+    return F.arrow_udf(trimmed, kind)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import register, ship, table
+from paperloom.llm.base import register, ship, table, trim
 from paperloom.session import write_through
 
 LENGTH, GRAM, PLACE_BITS = 100, 24, 21
@@ -298,6 +298,8 @@ def _anchor_rows(batches):
         held, count = [], 0
         for at in range(0, len(columns[0]), 1 << 16):
             yield _batch(["h", "c", "id", "at"], [x[at : at + (1 << 16)] for x in columns])
+        del columns
+        trim()
 
     for batch in batches:
         for id_, tie, text in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
@@ -425,6 +427,7 @@ def _shards(batches):
         split, ids, ats = (np.concatenate([x[i] for x in held]) for i in range(1, 4))
         yield from _shard(split >= 0, ids, ats, [r for x in held for r in x[4]])
         held, size = [], 0
+        trim()
 
     for batch in batches:
         h, part, ids, ats = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "part", "id", "at"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import register, ship, table
+from paperloom.llm.base import register, ship, table, trim
 from paperloom.llm.pieces import vocabulary_path
 from paperloom.llm.units import LETTER, Table, characters
 from paperloom.session import shared_dir, write_through
@@ -317,6 +317,8 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end: int = END, k
                 out.write(raw)
             row = {"task": task.partitionId(), "number": number, "file": name, "n_docs": len(keys), "n_ids": held, "n_bytes": len(raw)}
             keys, parts, held, number = [], [], 0, number + 1
+            del raw
+            trim()
             return pa.RecordBatch.from_pylist([row], pa.schema([("task", pa.int64()), ("number", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch in batches:
