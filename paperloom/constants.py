@@ -254,3 +254,12 @@ CHUNK_OVERLAPS = [50, 100, 200]
 # --- fixed values: PDF acceptance ----------------------------------------------------------
 PDF_MAGIC_HEX = "25504446"
 PDF_MIN_BYTES = 10000
+
+# --- fixed values: marks in whole-document texts and in Markdown output --------------------
+PAGE_MARK = "\n--- 第 {page} 页 ---\n"
+TABLE_MARK = "\n[表格]\n"
+MARKDOWN_PAGE = " 第 {page} 页\n"
+MARKDOWN_TABLE = "**表格 {number}**\n\n"
+MARKDOWN_TEXTS = "文本内容"
+MARKDOWN_TABLES = "表格"
+MARKDOWN_RULE = "---\n"

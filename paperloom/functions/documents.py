@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.strings import as_col
+from paperloom import constants as C
+from paperloom.functions.strings import as_col, format_text
 
-# fixed values: page and table marks
-PAGE_MARK = ("\n--- 第 ", " 页 ---\n")
-TABLE_MARK = "\n[表格]\n"
 
 
 def _mark(page: Column) -> Column:
-    return F.concat(F.lit(PAGE_MARK[0]), page["page_num"].cast("string"), F.lit(PAGE_MARK[1]))
+    return format_text(C.PAGE_MARK, page=page["page_num"])
 
 
 def full_text(pages: Column | str) -> Column:
@@ -33,7 +31,7 @@ def full_text_with_tables(pages: Column | str) -> Column:
     def page(p: Column) -> Column:
         solid = F.filter(p["text_blocks"], lambda b: ~b["block_type"].isin("header", "footer"))
         texts = F.transform(solid, lambda b: F.concat(b["text"], F.lit("\n")))
-        tables = F.transform(p["tables"], lambda t: F.concat(F.lit(TABLE_MARK), t["markdown"], F.lit("\n")))
+        tables = F.transform(p["tables"], lambda t: F.concat(F.lit(C.TABLE_MARK), t["markdown"], F.lit("\n")))
         return F.concat(_mark(p), F.array_join(texts, ""), F.array_join(tables, ""))
 
     return F.array_join(F.transform(as_col(pages), page), "\n")

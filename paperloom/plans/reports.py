@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
@@ -25,6 +25,22 @@ def badcase_examples(
     return first_n(chosen, [type_col], [F.asc(order_col)], n)
 
 
+def irrelevant(score: Column) -> Column:
+    """Best scores below the limit, or none at all."""
+    return F.coalesce(score < C.IRRELEVANT_SCORE, F.lit(True))
+
+
+def slow(milliseconds: Column) -> Column:
+    return milliseconds > C.LATENCY_LIMIT_MS
+
+
+def serve_slow(calls: DataFrame, key: str, entry: str, ms: str = "ms") -> DataFrame:
+    """Slow calls with ``outcome``: ``cached`` if the key has a fast entry, else ``badcase``."""
+    cached = calls.where(~slow(F.col(ms))).groupBy(key).agg(F.max(entry).alias("_cached"))
+    outcome = F.when(F.col("_cached").isNotNull(), "cached").otherwise("badcase")
+    return calls.where(slow(F.col(ms))).join(cached, key, "left").withColumn("outcome", outcome).drop("_cached")
+
+
 def flag_badcases(answers: DataFrame) -> DataFrame:
     """Case log from ``query_id, query, answer, max_score, is_hallucination, latency_ms``.
 
@@ -34,7 +50,7 @@ def flag_badcases(answers: DataFrame) -> DataFrame:
         F.when(F.col("max_score").isNull(), F.lit("empty_recall")),
         F.when(F.coalesce(F.col("max_score"), F.lit(0.0)) < C.IRRELEVANT_SCORE, F.lit("irrelevant_answer")),
         F.when(F.col("is_hallucination"), F.lit("hallucination")),
-        F.when(F.col("latency_ms") > C.LATENCY_LIMIT_MS, F.lit("high_latency")),
+        F.when(slow(F.col("latency_ms")), F.lit("high_latency")),
     )
     return answers.select(
         "query_id", "query", "answer", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("case_type")

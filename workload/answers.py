@@ -341,7 +341,7 @@ def irrelevant_flag(t):
     return table.select(
         "query_id",
         F.round("best", 6).alias("max_score"),
-        F.coalesce(F.col("best") < C.IRRELEVANT_SCORE, F.lit(True)).alias("irrelevant"),
+        reports.irrelevant(F.col("best")).alias("irrelevant"),
     )
 
 
@@ -354,10 +354,7 @@ def irrelevant_flag(t):
 def latency_flag(t):
     """Slow requests are served from the cache if the user has a fast entry, and logged otherwise."""
     calls = t.events.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), (F.col("value") * 30).alias("ms"))
-    slow = F.col("ms") > C.LATENCY_LIMIT_MS
-    cached = calls.where(~slow).groupBy("user_id").agg(F.max("event_id").alias("cached"))
-    outcome = F.when(F.col("cached").isNotNull(), "cached").otherwise("badcase")
-    return calls.where(slow).join(cached, "user_id", "left").select("event_id", "k", outcome.alias("outcome"))
+    return reports.serve_slow(calls, "user_id", "event_id").select("event_id", "k", "outcome")
 
 
 @register(
