@@ -5,9 +5,11 @@ window: it goes on character by character, and once all paths that can still be
 ending within one piece length of the front) run through a common boundary, the ids up to there
 are committed and forgotten. So memory is bounded by how far paths stay apart, not by the text.
 
-Where a vocabulary has no piece with the space mark behind another character, every first mark of
-a run is such a boundary for all paths, and so are places between neighbours that no piece has. The segments between repeat, so they are kept in a bounded
-table per worker, and new short ones are searched many at a time by the same recurrence. Vocabularies without that property are streamed whole.
+Where a vocabulary has no piece with the space mark behind another character, every first mark of a
+run is such a boundary for all paths, and so are places between neighbours that no piece has. The
+segments between repeat, so they are kept in a bounded table per worker (found by a 64-bit hash, see
+``units``), and new short ones are searched many at a time by the same recurrence. Vocabularies without
+that property are streamed whole.
 
 A unigram model's scores are log probabilities. A merge vocabulary stores minus the rank of
 each piece; Zipf's law makes that a probability: 1 / ((rank + 2.7) ln V). The ids are the

@@ -71,7 +71,6 @@ CONTEXT = {
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WINDOW, GROUP = 40, 256
-SIGNATURE = "kind string, base boolean, votes string, form string"
 
 
 def digits(text: Column) -> Column:
