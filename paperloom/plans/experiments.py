@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paperloom import constants as C
 from paperloom.functions.strings import strip
 from paperloom.operators import evaluation as E
-from paperloom.operators.chunking import chunk_statistics, sentence_windows
+from paperloom.operators.chunking import sentence_windows
 from paperloom.operators.rows import each, each_struct
 
 
@@ -72,6 +72,3 @@ def ann_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     return found.agg(
         F.count("*").alias("n_found"), F.round(F.try_divide(F.count("*"), total), 6).alias("recall")
     )
-
-
-__all__ = ["ann_recall", "chunk_grid", "chunk_statistics", "compare_runs", "summarise"]
