@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.base import arrow, fresh, register, table
+from paperloom.llm.base import arrow, fresh, register, table, trim
 from paperloom.llm.graph import connected_components
 from paperloom.session import write_through
 
@@ -136,27 +136,29 @@ def wide_fingerprints(width: int, words: int):
     return arrow(wide, "array<bigint>")
 
 
-def block_keys(words: int, bits: int, rounds: int):
-    """Column function: the block keys of a wide fingerprint.
+def block_keys(words: int, bits: int, rounds: int, step: int = 512):
+    """From (id, fp) rows: (id, key) rows of the block keys of the wide fingerprints, ``step`` texts at a time.
 
     The bits are cut into blocks of ``bits``, ``rounds`` times, each time in another fixed order; a key
     is the number of the block and its bits.
     """
 
-    def keys(prints: pa.Array) -> pa.Array:
-        rows = np.array(prints.flatten(), np.int64).reshape(-1, words)
-        spread = np.unpackbits(rows.view(np.uint8), axis=1)
-        draw, count, found = np.random.default_rng(7), words * 64 // bits, []
-        for turn in range(rounds):
-            order = draw.permutation(words * 64)[: count * bits]
-            blocks = spread[:, order].reshape(len(rows), count, bits)
-            value = blocks.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-            found.append(value | (np.arange(turn * count, (turn + 1) * count, dtype=np.int64) << bits))
-        flat = np.concatenate(found, axis=1) if len(rows) else np.zeros((0, 1), np.int64)
-        ends = np.arange(len(rows) + 1, dtype=np.int32) * flat.shape[1]
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1)))
+    def run(batches):
+        draw, count = np.random.default_rng(7), words * 64 // bits
+        orders = [draw.permutation(words * 64)[: count * bits] for _ in range(rounds)]
+        weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            rows = batch.column("fp").flatten().to_numpy().reshape(-1, words)
+            for at in range(0, len(rows), step):
+                spread = np.unpackbits(np.ascontiguousarray(rows[at : at + step]).view(np.uint8), axis=1)
+                for turn, order in enumerate(orders):
+                    blocks = spread[:, order].reshape(len(spread), count, bits)
+                    keys = blocks.astype(np.int64) @ weight | (np.arange(turn * count, (turn + 1) * count, dtype=np.int64) << bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + step], count)), pa.array(keys.reshape(-1))], ["id", "key"])
+            trim()
 
-    return arrow(keys, "array<bigint>")
+    return run
 
 
 def _sharing(hot: int):
@@ -204,36 +206,92 @@ def _sharing(hot: int):
     return run
 
 
+def _signs(cell):
+    """One row of +1 and -1 for each fingerprint of a cell."""
+    return np.unpackbits(np.array(cell["fp"].tolist(), np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
 def _cell_links(limit: int):
-    """Links inside one cell of a hot key: a spanning forest of the pairs within ``limit`` bits."""
+    """Links inside one cell of a hot key: a spanning forest of the pairs within ``limit`` bits, made of such pairs."""
 
     def run(cell):
         import pandas as pd
 
         cell = cell.drop_duplicates("id").sort_values("id")
-        signs = np.unpackbits(np.array(cell["fp"].tolist(), np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-        ids = cell["id"].to_numpy()
+        signs, ids = _signs(cell), cell["id"].to_numpy()
         far = signs.shape[1] - 2 * limit
         left, links = np.arange(len(ids)), [np.zeros((0, 2), np.int64)]
         while len(left):  # breadth first: every row is compared with those not yet reached
-            root, reached, left = left[0], left[:1], left[1:]
+            reached, left = left[:1], left[1:]
             while len(reached) and len(left):
-                hit = (signs[reached] @ signs[left].T >= far).any(axis=0)
+                near = signs[reached] @ signs[left].T >= far
+                hit = near.any(axis=0)
+                parents = reached[near[:, hit].argmax(axis=0)]
                 reached, left = left[hit], left[~hit]
-                links.append(np.stack((np.full(len(reached), ids[root]), ids[reached]), axis=1))
-        return pd.DataFrame(np.concatenate(links), columns=["a", "b"])
+                links.append(np.stack((ids[parents], ids[reached]), axis=1))
+        return pd.DataFrame(np.sort(np.concatenate(links), axis=1), columns=["a", "b"])
 
     return run
 
 
-def close_texts(classes: DataFrame, words: int, limit: int, bits: int, rounds: int, hot: int, cell: int) -> DataFrame:
-    """``a, b`` links between texts (``id``, ``fp``) that share a block and differ in at most ``limit`` bits.
+def _cell_pairs(limit: int):
+    """All pairs inside one cell of a hot key within ``limit`` bits whose groups differ."""
+
+    def run(cell):
+        import pandas as pd
+
+        cell = cell.drop_duplicates("id").sort_values("id")
+        ids, (groups, own) = cell["id"].to_numpy(), np.unique(cell["component"].to_numpy(), return_inverse=True)
+        found = [np.zeros((0, 2), np.int64)]
+        if len(groups) > 1:
+            signs = _signs(cell)
+            far = signs.shape[1] - 2 * limit
+            rest = np.arange(len(ids))
+            for group in np.argsort(np.bincount(own), kind="stable")[:-1]:  # small groups first, the largest needs no turn
+                inside, rest = rest[own[rest] == group], rest[own[rest] != group]
+                a, b = np.nonzero(signs[inside] @ signs[rest].T >= far)
+                found.append(np.stack((ids[inside[a]], ids[rest[b]]), axis=1))
+        return pd.DataFrame(np.sort(np.concatenate(found), axis=1), columns=["a", "b"])
+
+    return run
+
 
-    The pairs of keys of at most ``hot`` texts are verified by a join. Larger keys are laid out as a
-    grid of cells of at most two times ``cell`` texts; a cell compares all its texts and gives a spanning
-    forest, so no link is lost, no task holds a whole group and pairs are never emitted.
+def likeness(width: int):
+    """Column function: the Jaccard likeness of two texts' sets of shingles; two blank texts are equal."""
+
+    def jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = []
+        for x, y in zip(left, right):
+            a, b = (np.unique(shingle_hashes(t.as_py(), width)) for t in (x, y))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            found.append(both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0)
+        return pa.array(found, pa.float64())
+
+    return arrow(jaccard, "double")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, salts: int = 64) -> DataFrame:
+    """The ``a, b`` pairs whose texts (``id``, ``text``) have a likeness of ``similarity`` or more.
+
+    A text with many partners is sent to them in ``salts`` shares.
     """
-    keyed = classes.select("id", F.explode(block_keys(words, bits, rounds)("fp")).alias("key"))
+    salted = pairs.distinct().withColumn("u", F.pmod(F.xxhash64("b"), F.lit(salts))).withColumn("v", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    left = texts.join(salted.select(F.col("a").alias("id"), "u").distinct(), "id").select(F.col("id").alias("a"), "u", F.col("text").alias("x"))
+    right = texts.join(salted.select(F.col("b").alias("id"), "v").distinct(), "id").select(F.col("id").alias("b"), "v", F.col("text").alias("y"))
+    both = salted.join(left, ["a", "u"]).join(right, ["b", "v"])
+    return both.where(likeness(width)(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
+
+
+def close_texts(classes: DataFrame, texts: DataFrame, width: int, similarity: float, words: int, near: int, limit: int, bits: int, rounds: int, hot: int, cell: int) -> DataFrame:
+    """``a, b`` links between texts (``id``, ``fp``) that share a block, are within ``limit`` bits and alike.
+
+    Every link is confirmed by the exact likeness of the ``texts`` (``id``, ``text``). The pairs of keys of
+    at most ``hot`` texts are compared by a join. Larger keys are laid out as a grid of cells of at most two
+    times ``cell`` texts, so no task holds a whole group. A cell first gives a spanning forest of its pairs
+    within ``near`` bits; what the confirmed links leave apart is compared again up to ``limit`` bits, so
+    no link between groups is lost and pairs within groups are never emitted.
+    """
+    keyed = classes.select("id", "fp").mapInArrow(block_keys(words, bits, rounds), "id long, key long")
     grouped = keyed.repartition("key").sortWithinPartitions("key", "id")
     shared = write_through(grouped.mapInArrow(_sharing(hot), "kind int, a long, b long, key long"), "blocks")
 
@@ -243,11 +301,22 @@ def close_texts(classes: DataFrame, words: int, limit: int, bits: int, rounds: i
     close = pairs.join(left, "a").join(right, "b").where(apart <= limit).select("a", "b")
 
     many = shared.where("kind = 1").select(F.col("a").alias("id"), F.floor(F.col("b") / cell).alias("place"), "key")
-    sizes = many.groupBy("key").agg((F.max("place") + 1).alias("parts"))
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("place", j).alias("i"), F.greatest("place", j).alias("j")))
-    grid = many.join(sizes, "key").select("id", "key", F.explode(mates).alias("c")).select("id", "key", "c.i", "c.j")
-    cells = grid.join(classes, "id").groupBy("key", "i", "j").applyInPandas(_cell_links(limit), "a long, b long")
-    return close.unionAll(cells)
+
+    def cells(members: DataFrame, rows: DataFrame, run) -> DataFrame:
+        sizes = members.groupBy("key").agg((F.max("place") + 1).alias("parts"))
+        grid = members.join(sizes, "key").select("id", "key", F.explode(mates).alias("c")).select("id", "key", "c.i", "c.j")
+        return grid.join(rows, "id").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+    first = close.unionAll(cells(many, classes, _cell_links(near)))
+    links = write_through(confirmed(write_through(first, "candidates"), texts, width, similarity), "links")
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    named = classes.join(found, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
+    named = write_through(named, "groups")
+    # Keys whose texts are one group by now have nothing more to give.
+    mixed = many.join(named.select("id", "component"), "id").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    second = write_through(cells(many.join(mixed, "key", "left_semi"), named, _cell_pairs(limit)), "candidates")
+    return links.unionAll(confirmed(second, texts, width, similarity))
 
 
 def near_dedup(
@@ -256,7 +325,7 @@ def near_dedup(
     similarity: float = 0.8,
     words: int = 24,
     bits: int = 24,
-    rounds: int = 2,
+    rounds: int = 6,
     hot: int = 8,
     cell: int = 1024,
     key: str = "doc_id",
@@ -264,12 +333,13 @@ def near_dedup(
 ) -> DataFrame:
     """One row of each group of near duplicates, with the columns of ``documents``.
 
-    Texts are linked if the Jaccard likeness of their sets of ``width``-word shingles is about
+    Texts are linked if the Jaccard likeness of their sets of ``width``-word shingles is
     ``similarity`` or more. At 0.8 two SimHashes differ in 15 of 100 bits, too many for 64 bits and
     two flips, so fingerprints of ``words`` x 64 bits are taken: the expected share of different
-    bits is acos(2s / (1 + s)) / pi, with an error of about 0.01 at 1,536 bits. 128 blocks of 24
-    bits find a pair at 0.8 with probability 0.93, at 0.85 with 0.99, at 0.9 with 0.9999. Exact
-    copies are one row before that. The row with the smallest key stays (NULL keys last).
+    bits is acos(2s / (1 + s)) / pi, with an error of about 0.01 at 1,536 bits. Texts that share one of
+    384 blocks of 24 bits and differ in at most 100 bits more than expected (seven times the
+    error; texts of four and five shingles need it) are candidates, and the exact likeness decides.
+    Exact copies are one row before that. The row with the smallest key stays (NULL keys last).
     """
     own = documents.columns
     rid, cls, wide = fresh(documents, "rid"), fresh(documents, "cls"), fresh(documents, "wide")
@@ -279,8 +349,11 @@ def near_dedup(
     rows = marked.select(F.col(cls).alias("cls"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(rid).alias("id")).alias("rank"), F.col(wide).alias("fp"))
     classes = rows.groupBy("cls").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"))
     classes = write_through(classes.select("rank.id", "rank", "fp"), "classes")
-    limit = int(words * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.5)
-    found = connected_components(close_texts(classes.select("id", "fp"), words, limit, bits, rounds, hot, cell), "a", "b")
+    expected = words * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    near, limit = int(expected * 0.8), int(expected + words * 64 * 0.065 + 0.5)
+    texts = marked.select(F.col(rid).alias("id"), F.col(text).alias("text"))
+    links = close_texts(classes.select("id", "fp"), texts, width, similarity, words, near, limit, bits, rounds, hot, cell)
+    found = connected_components(links, "a", "b")
     named = classes.select("id", "rank").join(found.withColumnRenamed("node", "id"), "id", "left")
     kept = named.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("rank").alias("rank")).select(F.col("rank.id").alias(rid))
     return marked.join(kept, rid, "left_semi").select(*own)

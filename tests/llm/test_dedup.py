@@ -96,6 +96,28 @@ def test_near_dedup_leaves_different_texts(documents, texts):
     assert not lost
 
 
+@pytest.mark.parametrize("size", [100, 400])
+def test_near_dedup_links_at_the_bound(spark, size):
+    """Pairs just above a likeness of 0.8 are one group, pairs just below stay apart."""
+    draw = random.Random(11)
+    rows, wanted = [], {}
+    for number in range(150):
+        share = draw.uniform(0.77, 0.85)
+        words = [f"w{draw.randrange(10**6)}" for _ in range(size + 4)]
+        other = words[: int((size + 4) * 2 * share / (1 + share))]
+        other += [f"v{draw.randrange(10**6)}" for _ in range(size + 4 - len(other))]
+        a, b = (set(simhash.shingle_hashes(" ".join(w), 5).tolist()) for w in (words, other))
+        wanted[number] = len(a & b) / len(a | b)
+        rows += [(2 * number, " ".join(words)), (2 * number + 1, " ".join(other))]
+    for hot in (8, 1):
+        kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+        gone = {n for n in wanted if 2 * n + 1 not in kept}
+        assert all(2 * n in kept for n in wanted)
+        assert not [wanted[n] for n in gone if wanted[n] < 0.8]
+        missed = [wanted[n] for n in set(wanted) - gone if wanted[n] >= 0.8]
+        assert len(missed) <= 1  # 0.998 share a block at 0.8
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(500)] + [(7, 7), (None, 3)]
     found = graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
