@@ -1,11 +1,12 @@
 """Main text of web pages from parser events and smoothed text-to-tag ratios.
 
 The standard-library parser's events are cut into lines, one per block element. A line's
-text-to-tag ratio is its characters per tag; the ratios are smoothed with a Gaussian and split
-into two clusters by a threshold between their means. The element that declares the page's content
-(``article``, ``main`` or that role) and holds most of the dense lines is the content region; without one,
-the region spans the dense lines and the short lines between them. Lines inside navigation,
-headers, footers, side bars, forms, adverts, notices and comments are never content.
+text-to-tag ratio is its characters per tag; the ratios are smoothed with a Gaussian and
+split into two clusters by a threshold between their means. The outermost element that declares the page's
+content (``article``, ``main`` or that role) and holds most of the dense lines is the content region, with all
+that is nested in it; its siblings belong to it unless they are sparse. Without one, the region spans the dense
+lines and the lines between them.
+Lines inside navigation, headers, footers, side bars, forms, adverts, notices and comments are never content.
 
 Cases: NULL or empty html, or a page without content, gives ''. Unclosed and stray tags are
 closed by their parents. Equal rows are each extracted; an empty table gives no rows; other
@@ -31,6 +32,7 @@ HIDDEN = frozenset("script style noscript template head title svg canvas object
 FURNITURE = frozenset("nav footer aside form menu button select textarea dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CONTENT = frozenset("article main".split())
+SPARSE = 15  # characters outside links per tag
 TEASERS = frozenset("comment comments reply related teaser ad ads advert promo sponsored".split())
 NAMES = re.compile(
     r"(?:^|[_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|"
@@ -41,27 +43,28 @@ NAMES = re.compile(
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, number of tags, whether page furniture, innermost content element."""
+    """Collects lines: text, number of tags, whether page furniture, outermost content element, container, characters in links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # Name, hidden, furniture (by its name only: 1, by element or role: 2), content element.
-        self.stack: list[tuple[str, bool, int, int]] = []
+        # Name, hidden, furniture (by its name only: 1, by element or role: 2), outermost content element, block, in a link.
+        self.stack: list[tuple[str, bool, int, int, int, bool]] = []
         self.elements = 0
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.above = [0]  # the block around each block; 0 is the page
+        self.lines: list[tuple[str, int, bool, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def _state(self) -> tuple[bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0, -1)
+        return self.stack[-1][1:4] if self.stack else (False, 0, -1)
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             _, furniture, content = self._state()
-            self.lines.append((text, self.tags, furniture > 0, content))
+            self.lines.append((text, self.tags, furniture > 0, content, self.above[self.stack[-1][4] if self.stack else 0], self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -82,7 +85,7 @@ class Lines(HTMLParser):
             # What a page declares as its content is not furniture for the name of a wrapper.
             if furniture < 2 and not inside:
                 furniture = 0
-            if not furniture:
+            if not furniture and not inside:
                 self.elements += 1
                 content = self.elements
             if TEASERS.intersection(n.lower() for n in names):
@@ -92,7 +95,11 @@ class Lines(HTMLParser):
         elif tag not in ("html", "body") and any(NAMES.search(n) for n in names if not n.lower().startswith(("has-", "with-", "no-", "without-"))):
             furniture = max(furniture, 1)
         hidden = hidden or tag in HIDDEN or "hidden" in values
-        self.stack.append((tag, hidden, furniture, content))
+        block, link = (self.stack[-1][4], self.stack[-1][5]) if self.stack else (0, False)
+        if tag not in INLINE:
+            self.above.append(block)
+            block = len(self.above) - 1
+        self.stack.append((tag, hidden, furniture, content, block, link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -125,6 +132,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][1]):
             self.parts.append(data)
+            if self.stack and self.stack[-1][5]:
+                self.linked += len(" ".join(data.split()))
 
     def close(self):
         super().close()
@@ -160,19 +169,20 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     sizes = np.array([len(text) for text, *_ in lines], float)
-    furniture = np.array([f for _, _, f, _ in lines])
-    ratios = np.where(furniture, 0.0, sizes / np.maximum(1, [n for _, n, *_ in lines]))
-    smooth = smoothed(ratios)
+    furniture = np.array([line[2] for line in lines])
+    tags = np.maximum(1, [line[1] for line in lines])
+    plain = np.maximum(0, sizes - [line[5] for line in lines])  # characters outside links
+    smooth = smoothed(np.where(furniture, 0.0, sizes / tags))
     dense = (smooth >= threshold(smooth)) & ~furniture
-    inside: dict[int, float] = {}
-    for at, (_, _, _, content) in enumerate(lines):
+    inside: dict[int, np.ndarray] = {}  # weight, characters outside links and tags of each outermost content element
+    for at, (_, _, _, content, *_) in enumerate(lines):
         if content >= 0 and not furniture[at]:
-            inside[content] = inside.get(content, 0.0) + sizes[at] * (1 + dense[at])
+            inside[content] = inside.get(content, 0) + np.array([sizes[at] * (1 + dense[at]), plain[at], tags[at]])
     if inside:
-        # Several content elements: lists of teasers hold little text each, the article holds most.
-        most = max(inside.values())
-        chosen = {k for k, v in inside.items() if v >= 0.5 * most}
-        kept = [text for at, (text, _, _, content) in enumerate(lines) if content in chosen and not furniture[at]]
+        # Several content elements: unmarked teasers are links and short texts among many tags.
+        most = max(weight for weight, *_ in inside.values())
+        chosen = {k for k, (weight, own, n) in inside.items() if weight >= 0.5 * most or own >= SPARSE * n}
+        kept = [line[0] for at, line in enumerate(lines) if line[3] in chosen and not furniture[at]]
     else:
         places = np.flatnonzero(dense)
         kept = [lines[at][0] for at in range(places[0], places[-1] + 1) if not furniture[at]] if len(places) else []

@@ -93,6 +93,20 @@ def test_dense_lines_without_an_article():
     assert "n3" not in found.split("\n\n")
 
 
+def test_nested_content_elements_stay_whole():
+    body = "".join(f"<p>{'long body of the text ' * 20}{i}</p>" for i in range(5))
+    found = html_text.main_text(f"<main><h1>title</h1><p>lede</p><article>{body}</article><p>end</p></main>").split("\n\n")
+    assert found[:2] == ["title", "lede"] and found[-1] == "end" and len(found) == 8
+    parts = ["a" * 100, "b" * 200, "c" * 1000]
+    sections = "".join(f"<article><p>{p}</p></article>" for p in parts)
+    nested = "".join(f"<article><p>{p}</p>" for p in parts)
+    for page in (f"<main>{sections}</main>", sections, f"<main>{nested}</main>", nested):
+        assert html_text.main_text(page) == "\n\n".join(parts)
+    teasers = "".join(f"<article><h3><a href='/{i}'>A headline of another page</a></h3><p>More of it</p></article>" for i in range(9))
+    marked = "<article class='teaser'><p>" + "t" * 500 + "</p></article>"
+    assert html_text.main_text(f"<article><p>{parts[2]}</p></article>{teasers}{marked}") == parts[2]
+
+
 def test_html_nasty(spark):
     rows = [(None, None, None), (1, "u", None), (1, "u", "<article>" + "<p>x y" * 20000), (2, None, "<" * 5000), (3, "u", "</p></div>&#0;&bogus; text")]
     found = html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
