@@ -1,11 +1,11 @@
 """Main text of web pages from parser events and smoothed text-to-tag ratios.
 
 The standard-library parser's events are cut into lines, one per block element. A line's
-text-to-tag ratio is its characters per tag; the ratios are smoothed with a Gaussian and
+text-to-tag ratio is its characters per tag; the logarithms of the ratios are smoothed with a Gaussian and
 split into two clusters by a threshold between their means. The outermost element that declares the page's
 content (``article``, ``main`` or that role) and holds most of the dense lines is the content region, with all
 that is nested in it; its siblings belong to it unless they are sparse. Without one, the region spans the dense
-lines and the lines between them.
+lines and the lines between them, and the text blocks and the containers of dense lines outside of that.
 Lines inside navigation, headers, footers, side bars, forms, adverts, notices and comments are never content.
 
 Cases: NULL or empty html, or a page without content, gives ''. Unclosed and stray tags are
@@ -172,7 +172,8 @@ def main_text(html: str | None) -> str:
     furniture = np.array([line[2] for line in lines])
     tags = np.maximum(1, [line[1] for line in lines])
     plain = np.maximum(0, sizes - [line[5] for line in lines])  # characters outside links
-    smooth = smoothed(np.where(furniture, 0.0, sizes / tags))
+    # Logarithms, as one very long paragraph would else set the cut for all others.
+    smooth = smoothed(np.log1p(np.where(furniture, 0.0, sizes / tags)))
     dense = (smooth >= threshold(smooth)) & ~furniture
     inside: dict[int, np.ndarray] = {}  # weight, characters outside links and tags of each outermost content element
     for at, (_, _, _, content, *_) in enumerate(lines):
@@ -184,8 +185,20 @@ def main_text(html: str | None) -> str:
         chosen = {k for k, (weight, own, n) in inside.items() if weight >= 0.5 * most or own >= SPARSE * n}
         kept = [line[0] for at, line in enumerate(lines) if line[3] in chosen and not furniture[at]]
     else:
-        places = np.flatnonzero(dense)
-        kept = [lines[at][0] for at in range(places[0], places[-1] + 1) if not furniture[at]] if len(places) else []
+        text = ~furniture & (plain * 2 >= sizes)
+        # Lists of links beside a long line are no ends of the region, unless the page has nothing else.
+        places = np.flatnonzero(dense & text if (dense & text).any() else dense)
+        region = np.zeros(len(lines), bool)
+        if len(places):
+            region[places[0] : places[-1] + 1] = True
+        # Blocks of text belong to it wherever they are, and what shares a container with dense lines.
+        solid = text & (plain >= SPARSE * tags)
+        around = np.zeros(len(parser.above), bool)
+        around[[lines[at][4] for at in np.flatnonzero(dense & text | solid)]] = True
+        for block, above in enumerate(parser.above):
+            around[block] |= around[above]
+        region |= solid | text & around[[line[4] for line in lines]]
+        kept = [lines[at][0] for at in np.flatnonzero(region & ~furniture)]
     return "\n\n".join(kept)
 
 

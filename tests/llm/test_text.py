@@ -93,6 +93,20 @@ def test_dense_lines_without_an_article():
     assert "n3" not in found.split("\n\n")
 
 
+@pytest.mark.parametrize("longest", [300, 1500, 4000, 40000])
+def test_one_long_paragraph_does_not_cut_the_others(longest):
+    blocks = ["A heading"] + [f"{i} " + "x" * 298 for i in range(30)]
+    for place in (1, 15, 30):
+        blocks[place] = "y" * longest
+        page = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        links = "<ul>" + "".join(f"<li><a href='/{i}'>n{i}</a></li>" for i in range(30)) + "</ul>"
+        assert html_text.main_text(f"<body>{page}</body>") == "\n\n".join(blocks)
+        assert html_text.main_text(f"<body>{links}<div>{page}</div>{links}</body>") == "\n\n".join(blocks)
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{'some words ' * n}</p></section>" for i, n in enumerate((5, 900, 6)))
+    found = html_text.main_text(f"<body><div>{sections}</div></body>")
+    assert [f"Part {i}" in found for i in range(3)] == [True] * 3 and found.count("some words") == 911
+
+
 def test_nested_content_elements_stay_whole():
     body = "".join(f"<p>{'long body of the text ' * 20}{i}</p>" for i in range(5))
     found = html_text.main_text(f"<main><h1>title</h1><p>lede</p><article>{body}</article><p>end</p></main>").split("\n\n")
