@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit sampling and edit verification over words.
 
-Texts and benchmark items are sequences of lower-cased words (runs of letters and digits), so
-punctuation and layout do not count. A CGK random walk copies a sequence symbol by symbol: after each
+Texts and benchmark items are sequences of lower-cased words (runs of letters, marks and digits by Unicode
+category; every letter is one word in scripts that put no spaces between words), so punctuation,
+spaces of any kind and layout do not count. A CGK random walk copies a sequence symbol by symbol: after each
 output a random bit of (step, symbol) decides whether to go on, so after an edit two walks meet
 again and edit distance becomes Hamming distance. Sampling a few places of the
 embedding gives a hash key. Keys are taken of the windows at every word of every text and, for the items,
@@ -27,6 +28,9 @@ other columns are ignored (or kept by ``drop_contaminated``).
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,6 +67,51 @@ def _word_bytes() -> np.ndarray:
 WORD = _word_bytes()
 
 
+#: Scripts without spaces between words: Thai to Myanmar, Khmer, Tai, Balinese, Japanese, Bopomofo, Han, Javanese.
+UNSPACED = [
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+]
+APART, INSIDE, SINGLE, MARK = range(4)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point: whether it separates words, is in one, is one or goes on with what is before it."""
+    found = np.array([{"L": INSIDE, "N": INSIDE, "M": MARK}.get(unicodedata.category(chr(c))[0], APART) for c in range(0x110000)], np.uint8)
+    for low, high in UNSPACED:
+        part = found[low : high + 1]
+        part[[p == INSIDE and unicodedata.category(chr(low + at)) != "Nd" for at, p in enumerate(part)]] = SINGLE
+    return found
+
+
+def _bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words."""
+    inside = WORD[codes]
+    begins = np.zeros(len(codes), bool)
+    if (codes >= 128).any():
+        lead = np.flatnonzero(codes >= 0xC0)
+        more = np.concatenate((codes, np.zeros(3, np.uint8))).astype(np.int64)
+        first = more[lead]
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for step in (1, 2, 3):
+            point = np.where(step < size, (point << 6) | (more[lead + step] & 0x3F), point)
+        kind = _kinds()[np.minimum(point, 0x10FFFF)]
+        kinds = inside.astype(np.uint8)
+        kinds[codes >= 128] = APART
+        kinds[lead] = kind
+        for step in (1, 2, 3):  # a text may be cut within its last code point
+            goes_on = (step < size) & (more[lead + step] >> 6 == 2)
+            kinds[lead[goes_on] + step] = kind[goes_on]
+        inside = kinds != APART
+        begins[lead] = kind == SINGLE
+        begins[1:] |= (kinds[1:] == INSIDE) & (kinds[:-1] == SINGLE)
+    before, after = np.concatenate(([False], inside)), np.concatenate((inside, [False]))
+    begins = np.concatenate((begins, [False]))
+    return np.flatnonzero(after & (~before | begins)), np.flatnonzero(before & (~after | begins))
+
+
 def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """32-bit hashes of the words of lower-cased UTF-8, and their byte ranges."""
     codes = np.frombuffer(raw, np.uint8)
@@ -71,9 +120,7 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(_POWERS[0][0]) < len(codes) + 1:
         _POWERS[0] = _powers(len(codes) + 1)
     up, down = _POWERS[0]
-    inside = np.concatenate(([False], WORD[codes], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = _bounds(codes)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])))
     hashes = (sums[ends] - sums[starts]) * down[starts] * MIX
     return (hashes >> np.uint64(32)).astype(np.uint32), starts, ends
@@ -239,6 +286,8 @@ def scan(texts, index: Index) -> list[list[tuple[int, int, int, int]]]:
             begin = at
             while 0 < begin and WORD[raw[begin - 1]] and at - begin < 1000:
                 begin -= 1  # start with a whole word
+            while 0 < begin < len(raw) and raw[begin] >> 6 == 2:
+                begin -= 1  # and a whole code point
             group.append((number, begin, raw[begin : at + PART + overlap]))
             size += len(group[-1][2])
             if size >= PART:

@@ -404,6 +404,37 @@ def test_recall_under_edits(spark, texts, share):
     assert sum(any(m[0] == own for m in match) for own, match in zip(owners, found)) / len(owners) >= 0.95
 
 
+def test_words_by_unicode_category():
+    def split(text):
+        raw = text.encode()
+        return [raw[a:b].decode() for a, b in zip(*decontam.words(raw)[1:])]
+
+    assert split("a\u00a0b\u2014c \u201cd\u201d e\u3002f\uff0cg naïve e\u0301t\u00e9 9\u0663") == [*"abcdefg", "naïve", "e\u0301té", "9\u0663"]
+    assert split("漢字。かなabc漢12 한국어 ไทย текст") == [*"漢字かな", "abc", "漢", "12", "한국어", *"ไทย", "текст"]
+    assert split("ที่นี่") == ["ที่", "นี่"] and split("😀 ‥ «x»") == ["x"] and not split("")
+
+
+def test_leaks_without_ascii_spaces(spark):
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    plain = "one item of the set whose words are set apart by common spaces"
+    items = spark.createDataFrame([(1, han), (2, plain), (3, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (4, "吾輩は猫である")], "item_id long, text string")
+    docs = [
+        (1, "前言，" + han + "。后记"),
+        (2, "前言，" + han[:8] + "，" + han[8:12] + "甲" + han[13:] + "。后记"),  # one edit and a comma
+        (3, "x " + plain.replace(" ", "\u00a0") + " y"),
+        (4, "x\u2014\u201c" + plain.replace(" ", "\u2009") + "\u201d\u2014y"),
+        (5, "นี่คือภาษาไทยไม่มีช่องว่างระหว่างคำครับ"),
+        (6, "『吾輩は猫である。』名前は"),
+        (7, han[::-1] + "吾輩は犬である"),
+        (8, "甲" * 200000 + han + "乙" * 200000),
+    ]
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in found} == {(1, 1): 0, (2, 1): 1, (3, 2): 0, (4, 2): 0, (5, 3): 0, (6, 4): 0, (8, 1): 0}
+    for r in found:
+        if r["edits"] == 0 and r["item_id"] == 1:
+            assert docs[r["doc_id"] - 1][1].encode()[r["start"] : r["end"]].decode() == han
+
+
 def test_decontamination_nasty(spark, nasty, empty):
     items = spark.createDataFrame([(1, "the whole of erand thesh the whole of erand thesh the whole"), (None, "another text under the same id, which is not"), (3, None), (4, ""), (5, "the of"), (1, "no id but some words that stand here")], "item_id long, text string")
     found = decontam.contamination(nasty, items).collect()
