@@ -54,13 +54,29 @@ def node(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host(url), rest))
 
 
+def _without_dots(full: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments; those at its end leave the folder."""
+    parts = F.split(full, "/")
+    drop = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+    step = lambda kept, part: F.when(part == "..", drop(kept)).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    folder = F.element_at(parts, -1).isin(".", "..") | (F.size(kept) < 2)
+    return F.concat(F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+
+
 def _absolute(target: Column, base: Column) -> Column:
-    """A link's target as a full url; paths from the root and ``//host`` are resolved against ``base``."""
+    """A link's target as a full url, resolved against ``base``; NULL for a bare fragment and for schemes without ``://``."""
     target = F.regexp_replace(target, "&amp;", "&")
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    here = F.when(path(base) == "", "/").otherwise(path(base))
+    root = F.concat(F.lit("http://"), host(base))
     return (
-        F.when(F.instr(target, "://") > 0, target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host(base), target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host(base) == ""), None)
+        .when(target.startswith("?"), F.concat(root, here, target))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.regexp_extract(here, "^(.*/)", 1), own)), rest))
     )
 
 

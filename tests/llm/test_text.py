@@ -342,6 +342,46 @@ def test_rules_and_links(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_targets_relative_to_the_page(spark):
+    base = "http://Q.net/a/b/c.html?x=/1/2#f"
+    wanted = {
+        "page.html": "q.net/a/b/page.html",
+        "./page.html?y=../1": "q.net/a/b/page.html?y=../1",
+        "../x": "q.net/a/x",
+        "../../../x/./y/../z": "q.net/x/z",
+        "dir/": "q.net/a/b/dir/",
+        "..": "q.net/a/",
+        ".": "q.net/a/b/",
+        "?p=2": "q.net/a/b/c.html?p=2",
+        "?u=http://b.com/": "q.net/a/b/c.html?u=http://b.com/",
+        "/r/../s?t": "q.net/s?t",
+        "/": "q.net/",
+        "/..": "q.net/",
+        "/a//b/": "q.net/a//b/",
+        "//b.com/x": "b.com/x",
+        "https://b.com/../x": "b.com/../x",
+        "#top": None,
+        "mailto:a@b.cd": None,
+    }
+    rows = [(n, base, f"<link rel=canonical href='{t}'>") for n, t in enumerate(wanted)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = url_filter.page_links(pages).select(url_filter.node(F.col("dst")).alias("n")).collect()
+    assert sorted(r["n"] for r in found) == sorted(w for w in wanted.values() if w)
+    rows = [
+        (1, "http://b.com/de/1", "<link rel=canonical href='../about/us'>"),
+        (2, "http://b.com/about/us", None),
+        (3, "http://b.com/about/old", "<meta http-equiv=refresh content='0; url=us'>"),
+        (4, "http://b.com/about/us?p=2", "<link rel=canonical href='?p=3'>"),
+        (5, "http://b.com", "<link rel=canonical href='about/us?p=3'>"),
+        (6, "http://b.com/other", "<link rel=canonical href='javascript:us'>"),
+        (7, "no scheme", "<link rel=canonical href='about/us'>"),
+        (8, "http://b.com/about/us?p=3", "<meta http-equiv=refresh content='0; url=us'>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert verdicts == {**dict.fromkeys((1, 2, 3, 4, 5, 8), "block"), 6: "allow", 7: "allow"}
+
+
 # --- decontamination --------------------------------------------------------------------------
 
 
