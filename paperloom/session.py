@@ -45,11 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table folder in the shared folder and read it back."""
+    """Write ``df`` to a fresh table folder in the shared folder and read it back; ``discard`` takes it away."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``write_through`` wrote for ``df``, once nothing will read it any more."""
+    if path := getattr(df, "_written", None):
+        _delete(df.sparkSession, path)
+        df._written = None
+
+
+_LATER: dict[str, list[str]] = {}
+
+
+def sweep_later(df: DataFrame) -> None:
+    """Keep a written table that a returned, not yet executed frame reads until the next ``sweep``."""
+    if path := getattr(df, "_written", None):
+        _LATER.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables named by ``sweep_later``; a stage calls it when its predecessor's rows are written."""
+    for path in _LATER.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
