@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import write_through
+from paperloom.session import discard, write_through
 
 EDGES = 200_000
 
@@ -79,11 +79,13 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
     own = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u <> v")
     current = write_through(own.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(current)
-    current = write_through(_few(_forest(current), mark[0]), "edges")
+    last, current = current, write_through(_few(_forest(current), mark[0]), "edges")
+    discard(last)
     mark = _mark(current)
     while mark[0]:
         step = _small_star(_large_star(current).distinct())
-        current = write_through(_few(step.where("u <> v").distinct(), mark[0]), "edges")
+        last, current = current, write_through(_few(step.where("u <> v").distinct(), mark[0]), "edges")
+        discard(last)
         before, mark = mark, _mark(current)
         if mark == before:
             break

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.base import arrow, fresh, register, table, trim
 from paperloom.llm.graph import connected_components
-from paperloom.session import write_through
+from paperloom.llm.ordering import numbered, small
+from paperloom.session import discard, sweep_later, write_through
 
 BLOCK = 16
 PAIRS = list(combinations(range(4), 2))
@@ -136,74 +137,95 @@ def wide_fingerprints(width: int, words: int):
     return arrow(wide, "array<bigint>")
 
 
-def block_keys(words: int, bits: int, rounds: int, step: int = 512):
-    """From (id, fp) rows: (id, key) rows of the block keys of the wide fingerprints, ``step`` texts at a time.
+def agreement(similarity: float) -> float:
+    """The share of equal bits of two SimHashes of sets with this Jaccard likeness."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    The bits are cut into blocks of ``bits``, ``rounds`` times, each time in another fixed order; a key
-    is the number of the block and its bits.
+
+def block_shape(texts: int, similarity: float, missed: float = 1e-3) -> tuple[int, int]:
+    """Width and number of blocks for a number of texts.
+
+    A block has eight bits more than are needed to number the texts, so unrelated texts seldom share one however
+    many there are, and the blocks are as many as leave a pair at ``similarity`` without a common one with
+    probability ``missed`` if blocks are independent.
+    """
+    bits = min(32, max(16, math.ceil(math.log2(max(2, texts))) + 8))
+    return bits, math.ceil(math.log(1 / missed) / agreement(similarity) ** bits)
+
+
+def block_values(words: int, bits: int, count: int, slices: int, step: int = 1024):
+    """From (id, fp) rows: per block and slice, the values that up to ``step`` texts of consecutive ids have there.
+
+    The bits are cut into blocks, as often as it takes for ``count``, each time in another fixed order. A
+    slice is a remainder of the values; its rows also tell which texts they are.
     """
 
     def run(batches):
-        draw, count = np.random.default_rng(7), words * 64 // bits
-        orders = [draw.permutation(words * 64)[: count * bits] for _ in range(rounds)]
+        draw, each = np.random.default_rng(7), words * 64 // bits
+        orders = [draw.permutation(words * 64)[: each * bits] for _ in range(math.ceil(count / each))]
         weight = np.int64(1) << np.arange(bits, dtype=np.int64)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             rows = batch.column("fp").flatten().to_numpy().reshape(-1, words)
-            for at in range(0, len(rows), step):
-                spread = np.unpackbits(np.ascontiguousarray(rows[at : at + step]).view(np.uint8), axis=1)
-                for turn, order in enumerate(orders):
-                    blocks = spread[:, order].reshape(len(spread), count, bits)
-                    keys = blocks.astype(np.int64) @ weight | (np.arange(turn * count, (turn + 1) * count, dtype=np.int64) << bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + step], count)), pa.array(keys.reshape(-1))], ["id", "key"])
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids) != 1) + 1, [len(ids)]))
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for at in range(begin, end, step):
+                    found = [[], [], [], [], []]
+                    spread = np.unpackbits(np.ascontiguousarray(rows[at : min(end, at + step)]).view(np.uint8), axis=1)
+                    for turn, order in enumerate(orders):
+                        values = (spread[:, order].reshape(len(spread), each, bits).astype(np.int64) @ weight).astype("<u4").T
+                        for block in range(turn * each, min(count, (turn + 1) * each)):
+                            own = np.ascontiguousarray(values[block - turn * each])
+                            part = own % slices
+                            for slice_ in range(slices):
+                                some = np.flatnonzero(part == slice_) if slices > 1 else None
+                                row = (block, slice_, int(ids[at]), (own if some is None else own[some]).tobytes(), b"" if some is None else some.astype("<u2").tobytes())
+                                for column, value in zip(found, row):
+                                    column.append(value)
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], ["block", "slice", "base", "values", "places"])
             trim()
 
     return run
 
 
-def _sharing(hot: int):
-    """From (key, id) rows in order of key: pairs of small groups (kind 0), members of large ones in order (kind 1)."""
-    names = ["kind", "a", "b", "key"]
-
-    def batch(kind, a, b, key):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in (a, b, key)]], names)
-
-    def run(batches):
-        key, held, place = None, [], 0  # the group at hand: its members, or how many went out
-
-        def close():
-            if place == 0 and len(held) > 1:
-                for i, a in enumerate(held):
-                    pairs[0].extend([a] * (len(held) - i - 1))
-                    pairs[1].extend(held[i + 1 :])
-
-        for part in batches:
-            keys, ids = part.column("key").to_numpy(), part.column("id").to_numpy()
-            pairs, members = ([], []), ([], [], [])
-            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            size = np.diff(np.concatenate((begin, [len(keys)])))
-            # Single rows in the middle of a batch share their key with no other.
-            busy = (size > 1) | (begin == 0) | (begin + size == len(keys))
-            for at, n in zip(begin[busy].tolist(), size[busy].tolist()):
-                if keys[at] != key:
-                    close()
-                    key, held, place = int(keys[at]), [], 0
-                held += ids[at : at + n].tolist()
-                if place or len(held) > hot:
-                    members[0].extend(held)
-                    members[1].extend(range(place, place + len(held)))
-                    members[2].extend([key] * len(held))
-                    held, place = [], place + len(held)
-            if pairs[0]:
-                yield batch(0, *pairs, np.zeros(len(pairs[0])))
-            if members[0]:
-                yield batch(1, *members)
-        pairs = ([], [])
-        close()
-        if pairs[0]:
-            yield batch(0, *pairs, np.zeros(len(pairs[0])))
-
-    return run
+def _entries(batches):
+    """(key, id) rows of packed block values; a key is the number of the block and its value."""
+    for batch in batches:
+        keys, ids = [], []
+        for block, base, values, places in zip(*(batch.column(c).to_pylist() for c in ("block", "base", "values", "places"))):
+            keys.append(np.frombuffer(values, "<u4").astype(np.int64) | (np.int64(block) << 32))
+            ids.append((np.frombuffer(places, "<u2").astype(np.int64) if places else np.arange(len(keys[-1]))) + base)
+            if len(keys) == 64 or len(keys) == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+                keys, ids = [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+
+def _sharing(batches):
+    """From (key, id) rows in order: those whose key is shared, with the first id of the key and their place in it."""
+    key = lead = None  # the group at hand; ``place`` of its members have been seen
+    place, held = 0, False
+    for part in batches:
+        keys, ids = part.column("key").to_numpy(), part.column("id").to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(begin, len(keys)))
+        group = np.repeat(np.arange(len(begin)), size)
+        leads, places = ids[begin][group], np.arange(len(keys)) - begin[group]
+        shared = (size > 1)[group]
+        extra = []
+        if len(keys) and keys[0] == key:
+            first = group == 0
+            leads[first], places[first], shared[first] = lead, places[first] + place, True
+            if held:  # the first member was alone until now
+                extra = [(key, lead, lead, 0)]
+        if len(keys):
+            key, lead, place = int(keys[-1]), int(leads[-1]), int(places[-1]) + 1
+            held = not shared[-1]
+        columns = [np.concatenate((np.array([e[i] for e in extra], np.int64), c[shared])) for i, c in enumerate((keys, ids, leads, places))]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "lead", "place"])
 
 
 def _signs(cell):
@@ -212,46 +234,73 @@ def _signs(cell):
 
 
 def _cell_links(limit: int):
-    """Links inside one cell of a hot key: a spanning forest of the pairs within ``limit`` bits, made of such pairs."""
+    """Near groups inside one cell of a large key: a forest of pairs within ``limit`` bits between groups.
+
+    Breadth first over groups: the members of those reached are compared with the members of the others.
+    """
 
     def run(cell):
         import pandas as pd
 
         cell = cell.drop_duplicates("id").sort_values("id")
-        signs, ids = _signs(cell), cell["id"].to_numpy()
-        far = signs.shape[1] - 2 * limit
-        left, links = np.arange(len(ids)), [np.zeros((0, 2), np.int64)]
-        while len(left):  # breadth first: every row is compared with those not yet reached
-            reached, left = left[:1], left[1:]
-            while len(reached) and len(left):
-                near = signs[reached] @ signs[left].T >= far
-                hit = near.any(axis=0)
-                parents = reached[near[:, hit].argmax(axis=0)]
-                reached, left = left[hit], left[~hit]
-                links.append(np.stack((ids[parents], ids[reached]), axis=1))
-        return pd.DataFrame(np.sort(np.concatenate(links), axis=1), columns=["a", "b"])
+        groups, own = np.unique(cell["component"].to_numpy(), return_inverse=True)
+        links = [np.zeros((0, 2), np.int64)]
+        if len(groups) > 1:
+            signs = _signs(cell)
+            far = signs.shape[1] - 2 * limit
+            left = np.arange(len(own))
+            while len(left):
+                start = own[left[0]]
+                reached, left = left[own[left] == start], left[own[left] != start]
+                while len(reached) and len(left):
+                    near = signs[reached] @ signs[left].T >= far
+                    hit = near.any(axis=0)
+                    found, first = np.unique(own[left[hit]], return_index=True)
+                    parents = reached[near[:, hit].argmax(axis=0)][first]
+                    links.append(np.stack((groups[own[parents]], groups[found]), axis=1))
+                    more = np.isin(own[left], found)
+                    reached, left = left[more], left[~more]
+        return pd.DataFrame(np.concatenate(links), columns=["a", "b"])
 
     return run
 
 
-def _cell_pairs(limit: int):
-    """All pairs inside one cell of a hot key within ``limit`` bits whose groups differ."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _cell_confirmed(width: int, similarity: float, limit: int):
+    """Exact links between the groups in one cell of a family; pairs that are linked by others are not compared."""
 
     def run(cell):
         import pandas as pd
 
         cell = cell.drop_duplicates("id").sort_values("id")
-        ids, (groups, own) = cell["id"].to_numpy(), np.unique(cell["component"].to_numpy(), return_inverse=True)
-        found = [np.zeros((0, 2), np.int64)]
-        if len(groups) > 1:
-            signs = _signs(cell)
-            far = signs.shape[1] - 2 * limit
-            rest = np.arange(len(ids))
-            for group in np.argsort(np.bincount(own), kind="stable")[:-1]:  # small groups first, the largest needs no turn
-                inside, rest = rest[own[rest] == group], rest[own[rest] != group]
-                a, b = np.nonzero(signs[inside] @ signs[rest].T >= far)
-                found.append(np.stack((ids[inside[a]], ids[rest[b]]), axis=1))
-        return pd.DataFrame(np.sort(np.concatenate(found), axis=1), columns=["a", "b"])
+        ids, group, texts = cell["id"].to_numpy(), cell["component"].to_numpy(), cell["text"].tolist()
+        signs = _signs(cell)
+        near = np.argwhere(np.triu(signs @ signs.T >= signs.shape[1] - 2 * limit, 1) & (group[:, None] != group[None, :]))
+        above, sets, links = {}, {}, []
+
+        def root(node):
+            while (up := above.get(node, node)) != node:
+                above[node] = node = above.get(up, up)
+            return node
+
+        def shingles(i):
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(texts[i], width))
+            return sets[i]
+
+        for i, j in near.tolist():
+            a, b = root(group[i]), root(group[j])
+            if a != b:
+                x, y = shingles(i), shingles(j)
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 and jaccard(x, y) >= similarity - 1e-9:
+                    above[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[j]))
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -259,64 +308,94 @@ def _cell_pairs(limit: int):
 def likeness(width: int):
     """Column function: the Jaccard likeness of two texts' sets of shingles; two blank texts are equal."""
 
-    def jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
-        found = []
-        for x, y in zip(left, right):
-            a, b = (np.unique(shingle_hashes(t.as_py(), width)) for t in (x, y))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            found.append(both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0)
-        return pa.array(found, pa.float64())
+    def compared(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([jaccard(*(np.unique(shingle_hashes(t.as_py(), width)) for t in pair)) for pair in zip(left, right)], pa.float64())
 
-    return arrow(jaccard, "double")
+    return arrow(compared, "double")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, salts: int = 64) -> DataFrame:
-    """The ``a, b`` pairs whose texts (``id``, ``text``) have a likeness of ``similarity`` or more.
+def confirmed(pairs: DataFrame, texts, width: int, similarity: float, salts: int = 64) -> DataFrame:
+    """The distinct ``a, b`` pairs whose texts have a likeness of ``similarity`` or more.
 
-    A text with many partners is sent to them in ``salts`` shares.
+    ``texts(ids)`` gives (id, text) of the ids asked for. A text with many partners is sent to them in ``salts`` shares.
     """
-    salted = pairs.distinct().withColumn("u", F.pmod(F.xxhash64("b"), F.lit(salts))).withColumn("v", F.pmod(F.xxhash64("a"), F.lit(salts)))
-    left = texts.join(salted.select(F.col("a").alias("id"), "u").distinct(), "id").select(F.col("id").alias("a"), "u", F.col("text").alias("x"))
-    right = texts.join(salted.select(F.col("b").alias("id"), "v").distinct(), "id").select(F.col("id").alias("b"), "v", F.col("text").alias("y"))
+    salted = pairs.withColumn("u", F.pmod(F.xxhash64("b"), F.lit(salts))).withColumn("v", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    salted = write_through(salted, "pairs")
+    asked = salted.select(F.col("a").alias("id")).unionAll(salted.select("b")).distinct()
+    known = write_through(texts(asked), "texts")
+    left = known.join(salted.select(F.col("a").alias("id"), "u").distinct(), "id").select(F.col("id").alias("a"), "u", F.col("text").alias("x"))
+    right = known.join(salted.select(F.col("b").alias("id"), "v").distinct(), "id").select(F.col("id").alias("b"), "v", F.col("text").alias("y"))
     both = salted.join(left, ["a", "u"]).join(right, ["b", "v"])
-    return both.where(likeness(width)(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
-
-
-def close_texts(classes: DataFrame, texts: DataFrame, width: int, similarity: float, words: int, near: int, limit: int, bits: int, rounds: int, hot: int, cell: int) -> DataFrame:
-    """``a, b`` links between texts (``id``, ``fp``) that share a block, are within ``limit`` bits and alike.
+    found = write_through(both.where(likeness(width)(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b"), "links")
+    discard(known)
+    discard(salted)
+    return found
 
-    Every link is confirmed by the exact likeness of the ``texts`` (``id``, ``text``). The pairs of keys of
-    at most ``hot`` texts are compared by a join. Larger keys are laid out as a grid of cells of at most two
-    times ``cell`` texts, so no task holds a whole group. A cell first gives a spanning forest of its pairs
-    within ``near`` bits; what the confirmed links leave apart is compared again up to ``limit`` bits, so
-    no link between groups is lost and pairs within groups are never emitted.
-    """
-    keyed = classes.select("id", "fp").mapInArrow(block_keys(words, bits, rounds), "id long, key long")
-    grouped = keyed.repartition("key").sortWithinPartitions("key", "id")
-    shared = write_through(grouped.mapInArrow(_sharing(hot), "kind int, a long, b long, key long"), "blocks")
 
-    pairs = shared.where("kind = 0").select("a", "b").distinct()
+def _apart(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``pairs`` (a, b) with ``far``, the number of bits in which their fingerprints differ."""
     left, right = classes.select(F.col("id").alias("a"), F.col("fp").alias("x")), classes.select(F.col("id").alias("b"), F.col("fp").alias("y"))
-    apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(words)), F.lit(0))
-    close = pairs.join(left, "a").join(right, "b").where(apart <= limit).select("a", "b")
+    far = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(words)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").withColumn("far", far).drop("x", "y")
 
-    many = shared.where("kind = 1").select(F.col("a").alias("id"), F.floor(F.col("b") / cell).alias("place"), "key")
-    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("place", j).alias("i"), F.greatest("place", j).alias("j")))
 
-    def cells(members: DataFrame, rows: DataFrame, run) -> DataFrame:
-        sizes = members.groupBy("key").agg((F.max("place") + 1).alias("parts"))
-        grid = members.join(sizes, "key").select("id", "key", F.explode(mates).alias("c")).select("id", "key", "c.i", "c.j")
-        return grid.join(rows, "id").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+def close_texts(classes: DataFrame, texts, width: int, similarity: float, words: int, limit: int, hot: int, cell: int, slice_rows: int = 1 << 22) -> DataFrame:
+    """``a, b`` links between texts (``id``, ``fp``) that share a block, differ in at most ``limit`` bits and are alike.
 
-    first = close.unionAll(cells(many, classes, _cell_links(near)))
-    links = write_through(confirmed(write_through(first, "candidates"), texts, width, similarity), "links")
+    First every text is held against one other: of the first texts of its keys, the nearest. These
+    links, at most one per text, join most copies. From then on only pairs of different groups matter.
+    Keys whose texts are all in one group are done. In the others, pairs of different groups within
+    ``limit`` bits make families of groups (small keys by a join, keys of more than ``hot`` texts in a grid of
+    cells, which give a forest of their groups). A family's texts are sent once to each cell of at most two times
+    ``cell`` texts, and the cell confirms exact links until its groups are joined. Cells of one group
+    are left out. So texts move per cell and not per pair, and pairs inside a group never appear.
+    """
+    size = classes.count()
+    bits, count = block_shape(size, similarity)
+    slices = 1 << max(0, math.ceil(math.log2(max(1, size / slice_rows))))
+    packed = classes.select("id", "fp").mapInArrow(block_values(words, bits, count, slices), "block int, slice int, base long, values binary, places binary")
+    entries = packed.repartition("block", "slice").mapInArrow(_entries, "key long, id long").sortWithinPartitions("key", "id")
+    shared = write_through(entries.mapInArrow(_sharing, "key long, id long, lead long, place long"), "blocks")
+
+    star = shared.where("place > 0").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    nearest = _apart(star, classes, words).where(F.col("far") <= limit).groupBy("b").agg(F.min(F.struct("far", "a")).alias("best"))
+    links = confirmed(nearest.select("best.a", "b"), texts, width, similarity)
     found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    named = classes.join(found, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
-    named = write_through(named, "groups")
-    # Keys whose texts are one group by now have nothing more to give.
-    mixed = many.join(named.select("id", "component"), "id").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    second = write_through(cells(many.join(mixed, "key", "left_semi"), named, _cell_pairs(limit)), "candidates")
-    return links.unionAll(confirmed(second, texts, width, similarity))
+    named = write_through(classes.join(found, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component")), "groups")
+
+    group = small(named.select("id", "component"))
+    members = shared.select("key", "id").join(group, "id")
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    members = write_through(members.join(mixed, "key"), "mixed")
+    few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
+    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("d"))
+    pairs = few.select("key", F.col("id").alias("a"), F.col("component").alias("c")).join(other, "key").where("a < b AND c <> d").select("a", "b", "c", "d").distinct()
+    near = _apart(pairs, classes, words).where(F.col("far") <= limit).select(F.col("c").alias("a"), F.col("d").alias("b"))
+
+    places = write_through(numbered(many.select(F.col("key").cast("string").alias("grp"), "key", "id", "component"), "grp", ["component", "id"]), "places")
+    grid = _grid(places, cell, "key").join(named.select("id", "fp"), "id")
+    forests = grid.groupBy("key", "i", "j").applyInPandas(_cell_links(limit), "a long, b long")
+    families = connected_components(near.unionAll(forests), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("family"))
+
+    relatives = named.join(families, "component").select(F.col("family").cast("string").alias("grp"), F.col("family").alias("key"), "id", "component")
+    relatives = write_through(numbered(relatives, "grp", ["component", "id"]), "relatives")
+    known = texts(relatives.select("id")).join(named.select("id", "fp"), "id")
+    second = _grid(relatives, cell // 8, "key").join(known, "id").groupBy("key", "i", "j").applyInPandas(_cell_confirmed(width, similarity, limit), "a long, b long")
+    second = write_through(second, "links")
+    for spent in (shared, named, members, places, relatives):
+        discard(spent)
+    return links.unionAll(second)
+
+
+def _grid(placed: DataFrame, cell: int, key: str) -> DataFrame:
+    """``key, i, j, id, component``: members in parts of ``cell``, sent to every pair of parts of more than one group."""
+    members = placed.withColumn("part", F.expr(f"pos div {max(1, cell)}"))
+    parts = members.groupBy(key, "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = parts.select(key, F.col("part").alias("i"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+    right = parts.select(key, F.col("part").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    cells = left.join(right, key).where("i <= j AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select(key, "i", "j")
+    sent = cells.select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    return members.join(sent, [key, "part"]).select(key, "i", "j", "id", "component")
 
 
 def near_dedup(
@@ -324,8 +403,6 @@ def near_dedup(
     width: int = 5,
     similarity: float = 0.8,
     words: int = 24,
-    bits: int = 24,
-    rounds: int = 6,
     hot: int = 8,
     cell: int = 1024,
     key: str = "doc_id",
@@ -336,27 +413,43 @@ def near_dedup(
     Texts are linked if the Jaccard likeness of their sets of ``width``-word shingles is
     ``similarity`` or more. At 0.8 two SimHashes differ in 15 of 100 bits, too many for 64 bits and
     two flips, so fingerprints of ``words`` x 64 bits are taken: the expected share of different
-    bits is acos(2s / (1 + s)) / pi, with an error of about 0.01 at 1,536 bits. Texts that share one of
-    384 blocks of 24 bits and differ in at most 100 bits more than expected (seven times the
+    bits is acos(2s / (1 + s)) / pi, with an error of about 0.01 at 1,536 bits. Texts that share a block
+    (``block_shape``) and differ in at most 100 bits more than expected (seven times the
     error; texts of four and five shingles need it) are candidates, and the exact likeness decides.
     Exact copies are one row before that. The row with the smallest key stays (NULL keys last).
+
+    Rows are known by a digest of text and key, so texts are not written again. What the result reads is
+    deleted when the next stage calls ``session.sweep``.
     """
     own = documents.columns
-    rid, cls, wide = fresh(documents, "rid"), fresh(documents, "cls"), fresh(documents, "wide")
+    cls, ident = fresh(documents, "cls"), fresh(documents, "ident")
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    marked = documents.withColumn(rid, F.monotonically_increasing_id()).withColumn(cls, digest)
-    marked = write_through(marked.withColumn(wide, wide_fingerprints(width, words)(F.col(text))), "marked")
-    rows = marked.select(F.col(cls).alias("cls"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(rid).alias("id")).alias("rank"), F.col(wide).alias("fp"))
-    classes = rows.groupBy("cls").agg(F.min("rank").alias("rank"), F.first("fp").alias("fp"))
-    classes = write_through(classes.select("rank.id", "rank", "fp"), "classes")
-    expected = words * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
-    near, limit = int(expected * 0.8), int(expected + words * 64 * 0.065 + 0.5)
-    texts = marked.select(F.col(rid).alias("id"), F.col(text).alias("text"))
-    links = close_texts(classes.select("id", "fp"), texts, width, similarity, words, near, limit, bits, rounds, hot, cell)
+    marked = documents.withColumn(cls, digest)
+    marked = marked.withColumn(ident, F.unhex(F.md5(F.concat(F.hex(cls), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit("-"))).cast("binary"))))
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(ident).alias("ident"))
+    rows = marked.select(F.col(cls).alias("cls"), rank.alias("rank"), wide_fingerprints(width, words)(F.col(text)).alias("fp"))
+    copies = rows.groupBy("cls", "rank").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
+    classes = copies.groupBy("cls").agg(F.min(F.struct("rank", "n")).alias("best"), F.first("fp").alias("fp"))
+    classes = write_through(classes.select(F.monotonically_increasing_id().alias("id"), "best.rank", "best.n", "fp"), "classes")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "id", "left_semi").select("id", F.col("rank.ident").alias(ident))
+        return marked.select(ident, F.col(text).alias("text")).join(small(write_through(wanted, "wanted")), ident).dropDuplicates(["id"]).select("id", "text")
+
+    expected = words * 64 * (1 - agreement(similarity))
+    limit = int(expected + words * 64 * 0.065 + 0.5)
+    links = close_texts(classes.select("id", "fp"), texts, width, similarity, words, limit, hot, cell)
     found = connected_components(links, "a", "b")
-    named = classes.select("id", "rank").join(found.withColumnRenamed("node", "id"), "id", "left")
-    kept = named.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("rank").alias("rank")).select(F.col("rank.id").alias(rid))
-    return marked.join(kept, rid, "left_semi").select(*own)
+    named = classes.select("id", "rank", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+    first = named.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min(F.struct("rank", "n")).alias("best"))
+    kept = write_through(first.select(F.col("best.rank.ident").alias(ident), F.col("best.n").alias("n")), "kept")
+    discard(classes)
+    sweep_later(kept)
+    single = marked.join(small(kept.where("n = 1").select(ident)), ident, "left_semi").select(*own)
+    # Of rows equal in key and text one stays, whichever; they are combined before they are shuffled.
+    again = marked.join(small(kept.where("n > 1").select(ident)), ident, "left_semi")
+    again = again.groupBy(ident).agg(F.first(F.struct(*own)).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in own])
+    return single.unionAll(again)
 
 
 @register("op5_simhash")

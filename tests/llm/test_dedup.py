@@ -222,3 +222,59 @@ def test_sketches_merge():
         both = np.union1d(simhash.shingle_hashes(a, 5), simhash.shingle_hashes(b, 5))
         kept = both[: max(16, int((both <= np.uint64(fingerprint.TOP // 8)).sum()))]
         assert (fingerprint.merged(fingerprint.sketch(a), fingerprint.sketch(b)) == kept).all()
+
+
+def test_near_dedup_of_families_at_the_bound(spark):
+    """Large families around the bound: as many rows stay as groups of exact links, hot keys or not."""
+    draw = random.Random(9)
+    rows, wanted = [], 0
+    for family, size in enumerate([60, 150, 250]):
+        base = [f"f{family}w{i}" for i in range(120)]
+        sets = []
+        for _ in range(size):
+            words = list(base)
+            for at in draw.sample(range(120), draw.choice([0, 1, 2, 3])):
+                words[at] = f"x{draw.randrange(10**6)}"
+            sets.append(set(simhash.shingle_hashes(" ".join(words), 5).tolist()))
+            rows.append((len(rows), " ".join(words)))
+        above = list(range(size))
+
+        def root(i, above=above):
+            while above[i] != i:
+                i = above[i]
+            return i
+
+        for i in range(size):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    above[root(i)] = root(j)
+        wanted += len({root(i) for i in range(size)})
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, cell in ((8, 1024), (1, 64)):
+        assert simhash.near_dedup(table, hot=hot, cell=cell).count() == wanted
+
+
+def test_block_values_are_cut_and_joined(spark, monkeypatch):
+    """Slices of blocks give the keys of whole blocks."""
+    draw = np.random.default_rng(1)
+    rows = [(i + (1 << 33 if i > 50 else 0), draw.integers(-(2**63), 2**63, 24).tolist()) for i in range(80)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)]
+    table = spark.createDataFrame(rows, "id long, fp array<bigint>").repartition(3)
+    packed = "block int, slice int, base long, values binary, places binary"
+    found = []
+    for slices in (1, 4):
+        entries = table.mapInArrow(simhash.block_values(24, 20, 100, slices), packed).mapInArrow(simhash._entries, "key long, id long")
+        found.append(sorted(map(tuple, entries.collect())))
+        shared = entries.repartition("key").sortWithinPartitions("key", "id").mapInArrow(simhash._sharing, "key long, id long, lead long, place long").collect()
+        assert {(r["lead"], r["id"]) for r in shared if r["place"]} >= {(i, 200 + i) for i in range(20)}
+    assert found[0] == found[1] and len(found[0]) == 100 * 100
+
+
+def test_sharing_over_batches():
+    """Groups that lie across batches come out once and whole."""
+    keys = [1, 2, 2, 2, 2, 3, 4, 4, 5, 6, 6]
+    for cuts in range(1, len(keys)):
+        batches = [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(keys[a : a + cuts]), simhash.pa.array(list(range(a, min(len(keys), a + cuts))))], ["key", "id"]) for a in range(0, len(keys), cuts)]
+        found = sorted((r["key"], r["id"], r["lead"], r["place"]) for b in simhash._sharing(batches) for r in b.to_pylist())
+        assert found == [(k, i, keys.index(k), i - keys.index(k)) for i, k in enumerate(keys) if keys.count(k) > 1]
