@@ -68,17 +68,21 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 3000) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their trigram probabilities, one column per language."""
+def learn(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 3000, kinds: int = 256) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their trigram probabilities, one column per language.
+
+    The sample is bounded by ``per_language`` expected rows of each of the ``kinds`` most frequent labels, which
+    bounds the model as well.
+    """
     rows = documents.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key")))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(kinds).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
     steps = 1 << 20
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(steps, -(-steps * per_language // sizes[k])))])
-    picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(steps)) < share[F.col("lang")]).select("lang", "text")
+    picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(steps)) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
     ship(documents.sparkSession)
     counts = picked.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     matrix = np.full((BUCKETS, len(langs)), 0.5)
@@ -142,13 +146,18 @@ def identify(documents: DataFrame, key: str = "doc_id", text: str = "text", lang
     return found.select(key, held_out(F.col(key)).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.langs").alias("languages"))
 
 
-def keep_known(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose text has a language; those predicted ``und`` go. Columns stay as they are."""
-    own = documents.columns
+def keep_known(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows whose main language is one of ``languages`` (all learned ones if None) and makes up ``least`` of the text.
+
+    Texts without letters are ``und`` and go, as do those mixed so that no language has that share. A NULL label is
+    filled with the prediction; all other columns stay as they are.
+    """
     name = fresh(documents, "predicted")
     langs, model = learn(documents, key, text, lang)
     marked = documents.withColumn(name, predictor(langs, model, documents.sparkSession)(F.col(text)))
-    return marked.where(F.col(name)["lang"] != UNKNOWN).select(*own)
+    wanted = F.col(name)["lang"] != UNKNOWN if languages is None else F.col(name)["lang"].isin(languages)
+    filled = {lang: F.coalesce(F.col(lang), F.col(name)["lang"]).alias(lang)}
+    return marked.where(wanted & (F.col(name)["score"] >= least)).select(*[filled.get(c, F.col(c)) for c in documents.columns])
 
 
 @register("op6_language")
