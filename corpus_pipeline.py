@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
 
 Every stage takes (spark, docs, folder) and works on all rows that the one before it kept. All but
-the last return the columns of ``documents``. Cases such as NULL or empty texts are those of the
+the last return the columns of ``documents``. The rows of a stage are written before the next one starts, which
+then deletes what the one before has left in the shared folder. Cases such as NULL or empty texts are those of the
 operators; an empty table passes through as an empty table.
 """
 
@@ -15,31 +16,36 @@ from paperloom.llm.language import keep_known
 from paperloom.llm.pieces import MODEL, decoder, encoder, vocabulary_path
 from paperloom.llm.pii import redact
 from paperloom.llm.simhash import near_dedup
-from paperloom.session import write_through
+from paperloom.session import sweep, write_through
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in some language; texts without letters go."""
-    return keep_known(docs)
+    """Documents of which at least half is in one learned language; NULL labels are filled with it."""
+    sweep(spark)
+    return keep_known(docs, least=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, likeness of 0.8 or more."""
+    sweep(spark)
     return near_dedup(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
+    sweep(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    sweep(spark)
     return redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Piece ids of every text, and the text as decoded from them."""
+    sweep(spark)
     path = vocabulary_path(MODEL)
     coded = docs.select("doc_id", "lang", "source", "n_chars", encoder(path)(F.col("text")).alias("coded"))
     return coded.select(
