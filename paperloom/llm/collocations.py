@@ -35,72 +35,67 @@ BLOCK = 2_000_000  # words that are counted at a time; below 2^21
 BITS, SALTS = 21, 64
 NONE = (1 << BITS) - 1
 PIECES, SPACE = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
-GRAPH = "lang string, node string, salt int, next string, c long, hot boolean"
+#: ``node`` is "words", for followers that are dealt out "words\r<part>", and behind a line break the language;
+#: ``next`` is a word, empty for flow without a follower, and MARK for "this node is also dealt out".
+GRAPH, MARK = "node string, next string, c long", "\r"
 
 
 def _words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, pa.Array]:
     """All words of a batch, the piece that each is from, and the language of each piece."""
     kind = pa.list_(pa.large_string())
     texts, langs = (batch.column(i).cast(pa.large_string()) for i in (0, 1))
-    pieces = pc.split_pattern_regex(pc.ascii_lower(texts), PIECES).cast(pa.large_list(pa.large_string()))
+    pieces = pc.split_pattern_regex(texts, PIECES).cast(pa.large_list(pa.large_string()))
     owner = pc.list_parent_indices(pieces)
     parts = pc.split_pattern_regex(pc.list_flatten(pieces), SPACE).cast(pa.large_list(kind.value_type))
     place, words = pc.list_parent_indices(parts), pc.list_flatten(parts)
     some = pc.not_equal(words, "")
-    return words.filter(some), place.filter(some).to_numpy(), langs.take(owner)
+    # ascii_lower misreads arrays that do not begin at their buffer, as cast slices do; filtered ones do.
+    return pc.ascii_lower(words.filter(some)), place.filter(some).to_numpy(), langs.take(owner)
 
 
 def _counted(words: pa.Array, piece: np.ndarray, langs: pa.Array, end: int) -> pa.RecordBatch:
-    """Edges and flows of the grams that begin at the first ``end`` words."""
+    """Edges and flows of the grams that begin at the first ``end`` words, in order of their words."""
     coded = words.dictionary_encode()
-    vocabulary, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    names = langs.dictionary_encode()
-    tongue = names.indices.to_numpy()[piece].astype(np.int64)
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    vocabulary, rank = coded.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    word, names = rank[coded.indices.to_numpy()], langs.dictionary_encode()
     # Ids of words within their language; they are fewer than the words of a block.
-    pair, own = np.unique(tongue * len(vocabulary) + word, return_inverse=True)
+    pair, own = np.unique(names.indices.to_numpy()[piece].astype(np.int64) * len(vocabulary) + word, return_inverse=True)
     size = len(word)
-    same = np.zeros((2, size), bool)
-    for i in (1, 2):
-        same[i - 1, : size - i] = piece[: size - i] == piece[i:]
     second, third = np.full(size, NONE, np.int64), np.full(size, NONE, np.int64)
-    second[:-1], third[:-2] = own[1:], own[2:]
-    third[~same[1]] = NONE
-    edge = ((own << (2 * BITS)) | (second << BITS) | third)[:end][same[0, :end]]
-    edge, weight = np.unique(edge, return_counts=True)
+    second[:-1], third[:-2] = np.where(piece[:-1] == piece[1:], own[1:], NONE), np.where(piece[:-2] == piece[2:], own[2:], NONE)
+    edge = (own << (2 * BITS)) | (second << BITS) | third
+    edge, weight = np.unique(edge[:end][second[:end] != NONE], return_counts=True)
     node, after = edge >> BITS, edge & NONE
     begin = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
     width = np.diff(np.append(begin, len(node)))
     crowded = width > max(16, size // 2000)
-    hot = np.repeat(crowded, width)
     text = vocabulary.take(pa.array(pair % len(vocabulary)))
-    tongues = names.dictionary.take(pa.array(pair // len(vocabulary)))
+    tongue = pc.binary_join_element_wise(pa.scalar("", text.type), names.dictionary.take(pa.array(pair // len(vocabulary))), pa.scalar("\n", text.type))
+
+    def join(*parts) -> pa.Array:
+        return pc.binary_join_element_wise(*parts, pa.scalar("", text.type))
+
     one, two = pa.array(node >> BITS), pa.array(node & NONE)
-    following = text.take(pa.array(np.where(after == NONE, 0, after), mask=after == NONE))
-    salt = np.zeros(len(node), np.int32)
-    if hot.any():  # by the follower itself: equal edges of all blocks meet
-        spread = np.array([1 + xxhash.xxh32_intdigest(w or "") % SALTS for w in following.filter(pa.array(hot)).to_pylist()], np.int32)
-        salt[hot] = spread
+    following = text.take(pa.array(np.where(after == NONE, 0, after), mask=after == NONE)).fill_null("")
+    suffix, crowd = np.full(len(node), "", object), np.flatnonzero(np.repeat(crowded, width))
+    if len(crowd):  # by the follower itself: equal edges of all blocks meet
+        suffix[crowd] = [f"{MARK}{xxhash.xxh32_intdigest(w) % SALTS}" for w in following.take(pa.array(crowd)).to_pylist()]
+    pairs = pc.binary_join_element_wise(text.take(one), text.take(two), pa.scalar(" ", text.type))
     flow = np.bincount(own[:end], minlength=len(pair))
     used = np.flatnonzero(flow)
-    total = np.bincount((pair // len(vocabulary))[own[:end]], minlength=len(names.dictionary))
-    spoken = np.flatnonzero(total)
-    marks = pa.array(begin[crowded])
-    spoken_by, pairs = tongues.take(one), pc.binary_join_element_wise(text.take(one), text.take(two), pa.scalar(" ", text.type))
-    rows = [  # language, node, salt, next, weight, hot
-        (spoken_by, pairs, salt, following, weight, hot),
-        (spoken_by.take(marks), pairs.take(marks), None, None, None, np.ones(len(marks), bool)),
-        (tongues.take(pa.array(used)), text.take(pa.array(used)), None, None, flow[used], None),
-        (names.dictionary.take(pa.array(spoken)), pa.array([""] * len(spoken), pa.large_string()), None, None, total[spoken], None),
+    total = np.bincount(names.indices.to_numpy()[piece[:end]], minlength=len(names.dictionary))
+    spoken, marks = np.flatnonzero(total), pa.array(begin[crowded])
+    rows = [
+        (join(pairs, pa.array(suffix, text.type), tongue.take(one)), following, weight),
+        (join(pairs.take(marks), tongue.take(one.take(marks))), [MARK] * len(marks), np.zeros(len(marks))),
+        (join(text.take(pa.array(used)), tongue.take(pa.array(used))), [""] * len(used), flow[used]),
+        (join(pa.scalar("\n", text.type), names.dictionary.take(pa.array(spoken))), [""] * len(spoken), total[spoken]),
     ]
-    columns = [[], [], [], [], [], []]
-    for row in rows:
-        n = len(row[0])
-        plain = [None, None, np.zeros(n, np.int32), pa.nulls(n, pa.string()), np.zeros(n, np.int64), np.zeros(n, bool)]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_()]
-        for i, (value, default, k) in enumerate(zip(row, plain, kinds)):
-            value = default if value is None else value
-            columns[i].append(value.cast(k) if isinstance(value, pa.Array) else pa.array(value, k))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "node", "salt", "next", "c", "hot"])
+    kinds = [pa.string(), pa.string(), pa.int64()]
+    columns = [pa.concat_arrays([(v if isinstance(v, pa.Array) else pa.array(v)).cast(k) for v in part]) for part, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["node", "next", "c"])
 
 
 def _edges(block: int):
@@ -144,19 +139,22 @@ def graph(documents: DataFrame, text: str = "text", lang: str = "lang", least: i
     """
     ship(documents.sparkSession)
     rows = documents.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")).where("text IS NOT NULL")
-    counted = rows.mapInArrow(_edges(block), GRAPH).repartition("lang", "node", "salt")
-    combined = counted.groupBy("lang", "node", "salt", "next").agg(F.sum("c").alias("c"), F.max("hot").alias("hot"))
-    order = Window.partitionBy("lang", "node", "salt").orderBy("next")
+    combined = rows.mapInArrow(_edges(block), GRAPH).repartition("node").groupBy("node", "next").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy("node").orderBy("next")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = combined.select("lang", "node", "next", "c", F.sum("c").over(whole).alias("flow"), F.max("hot").over(whole).alias("hot"), (F.row_number().over(order) == 1).alias("first"))
-    marked = write_through(marked.where(f"hot OR (first AND flow >= {least}) OR (next IS NOT NULL AND c >= {least})"), "graph")
+    marked = combined.select("node", "next", "c", F.sum("c").over(whole).alias("flow"), F.max(F.col("next") == MARK).over(whole).alias("hot"), (F.row_number().over(order) == 1).alias("first"))
+    hot, told = F.col("hot") | F.col("node").contains(MARK), (F.col("next") != "") & (F.col("next") != MARK)
+    marked = marked.withColumn("hot", hot).where(F.col("hot") | (F.col("first") & (F.col("flow") >= least)) | (told & (F.col("c") >= least)))
+    words = F.substring_index("node", "\n", 1)
+    told_in = F.expr("substring(node, instr(node, '\n') + 1)")  # all behind the first line break
+    marked = write_through(marked.select(told_in.alias("lang"), F.substring_index(words, MARK, 1).alias("node"), "next", "c", "flow", "hot", "first"), "graph")
     cold, hot = marked.where("NOT hot"), marked.where("hot")
-    edges = cold.where("next IS NOT NULL").select("lang", "node", "next", "c").unionAll(hot.where("next IS NOT NULL").groupBy("lang", "node", "next").agg(F.sum("c").alias("c")))
+    edges = cold.where(told).select("lang", "node", "next", "c").unionAll(hot.where(told).groupBy("lang", "node", "next").agg(F.sum("c").alias("c")))
     nodes = cold.where("first").select("lang", "node", "flow").unionAll(hot.where("first").groupBy("lang", "node").agg(F.sum("flow").alias("flow")))
     return write_through(edges.where(F.col("c") >= least).withColumn("edge", F.monotonically_increasing_id()), "edges"), write_through(nodes.where(F.col("flow") >= least), "nodes")
 
 
-def looked_up(rows: DataFrame, key: Column, known: DataFrame, name: str, value: str, salts: int = 16) -> DataFrame:
+def looked_up(rows: DataFrame, key: Column, known: DataFrame, name: str, value: str, salts: int = 4) -> DataFrame:
     """``rows`` with the count ``known`` (lang, phrase, f) has for a phrase; a common phrase is met in shares."""
     found = known.select("lang", F.col("phrase").alias("_phrase"), F.col("f").alias(name))
     rows = rows.withColumn("_phrase", key)
@@ -218,8 +216,9 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", l
     edges, nodes = graph(documents, text, lang, least, block)
     known = write_through(counts(paths(edges, nodes), nodes), "counts")
     candidates = known.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = looked_up(candidates, F.expr("substring_index(phrase, ' ', k)"), known, "l", "phrase")
-    cuts = looked_up(cuts, F.expr("substring_index(phrase, ' ', k - size)"), known, "r", "phrase")
+    parts = known.where("size < 3")
+    cuts = looked_up(candidates, F.expr("substring_index(phrase, ' ', k)"), parts, "l", "phrase")
+    cuts = looked_up(cuts, F.expr("substring_index(phrase, ' ', k - size)"), parts, "r", "phrase")
     whole = lambda name: f"CAST({name} AS DECIMAL(16,0))"
     score = F.expr(f"(CAST({whole('a')} * {whole('a')} AS DECIMAL(31,0)) * CAST(1000000 AS DECIMAL(7,0))) DIV ({whole('l')} * {whole('r')})")
     weakest = cuts.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
