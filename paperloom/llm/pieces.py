@@ -7,7 +7,7 @@ are committed and forgotten. So memory is bounded by how far paths stay apart, n
 
 Where a vocabulary has no piece with the space mark behind another character, every first mark of a
 run is such a boundary for all paths, and so are places between neighbours that no piece has. The
-segments between repeat, so they are kept in a bounded table per worker (found by a 64-bit hash, see
+segments between repeat, so they are kept in a bounded table per worker (found by a hash and compared, see
 ``units``), and new short ones are searched many at a time by the same recurrence. Vocabularies without
 that property are streamed whole.
 

@@ -13,7 +13,7 @@ over the manifest in two levels (tasks, then files).
 A text is encoded by units: words that the pre-tokenizer takes as one in any surroundings, and what lies
 between. Units repeat, so their ids are kept in a bounded table per worker, found by a 64-bit hash for a
 megabyte of text at once; new words are encoded together. The ids are those of the whole text (tests
-compare; two units of one hash would be mixed up, with a chance of 5e-8 for a million new units).
+compare; the characters of a unit are compared on every hit).
 
 Cases: a NULL or empty text has only the end id. Documents are ordered by id, NULL ids first, equal
 ids by the text's hash and text; repeated rows are each stored. An empty table gives no files and no rows. Other

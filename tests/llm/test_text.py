@@ -484,3 +484,21 @@ def test_decontamination_nasty(spark, nasty, empty):
     kept = decontam.drop_contaminated(nasty, items)
     assert kept.columns == nasty.columns and kept.count() == nasty.count() - 4
     assert decontam.contamination(empty, items).count() == 0 and decontam.contamination(nasty, items.limit(0)).count() == 0
+
+
+def _woven(size, a="a", b="b"):
+    """Thue-Morse words: two of them, exchanged, have one polynomial hash from 1,024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("size", [64, 512, 1024, 2048, 8192])
+def test_ids_of_words_with_one_hash(size):
+    one, two = _woven(size)
+    texts = [f"x {one} y {two} z", two, f"{one} {one}", f"{two} {two} {one}"]
+    model, plain = pieces.load(PIECES), Tokenizer.from_file(TOKENS)
+    for text, ids in zip(texts, model.encode_all(texts)):
+        assert model.decode(np.frombuffer(ids, "<i4").tolist()) == text
+    assert list(model.encode_all([two])) == list(pieces.Pieces(PIECES).encode_all([two]))
+    found = token_store.encoder(TOKENS).encode_all(texts)
+    assert [np.frombuffer(i, np.uint32).tolist() for i in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
