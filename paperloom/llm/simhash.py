@@ -179,28 +179,27 @@ def block_values(words: int, bits: int, count: int, slices: int, step: int = 102
                             part = own % slices
                             for slice_ in range(slices):
                                 some = np.flatnonzero(part == slice_) if slices > 1 else None
-                                row = (block, slice_, int(ids[at]), (own if some is None else own[some]).tobytes(), b"" if some is None else some.astype("<u2").tobytes())
+                                row = (block, slice_, int(ids[at]), (own if some is None else own[some]).view("<i4"), some)
                                 for column, value in zip(found, row):
                                     column.append(value)
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], ["block", "slice", "base", "values", "places"])
             trim()
 
     return run
 
 
-def _entries(batches):
-    """(key, id) rows of packed block values; a key is the number of the block and its value."""
-    for batch in batches:
-        keys, ids = [], []
-        for block, base, values, places in zip(*(batch.column(c).to_pylist() for c in ("block", "base", "values", "places"))):
-            keys.append(np.frombuffer(values, "<u4").astype(np.int64) | (np.int64(block) << 32))
-            ids.append((np.frombuffer(places, "<u2").astype(np.int64) if places else np.arange(len(keys[-1]))) + base)
-            if len(keys) == 64 or len(keys) == batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
-                keys, ids = [], []
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+PACKED = "block int, slice int, base long, values array<int>, places array<int>"
+
+
+def entries(packed: DataFrame, slices: int) -> DataFrame:
+    """``key, id`` from packed block values; a key is the number of the block and its value."""
+    if slices == 1:  # the values are those of all texts of the row
+        each = packed.select("block", "base", F.posexplode("values").alias("place", "value"))
+    else:
+        each = packed.select("block", "base", F.explode(F.arrays_zip("places", "values")).alias("e")).select("block", "base", F.col("e.places").alias("place"), F.col("e.values").alias("value"))
+    key = F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return each.select(key.alias("key"), (F.col("base") + F.col("place")).alias("id"))
 
 
 def _sharing(batches):
@@ -353,9 +352,8 @@ def close_texts(classes: DataFrame, texts, width: int, similarity: float, words:
     size = classes.count()
     bits, count = block_shape(size, similarity)
     slices = 1 << max(0, math.ceil(math.log2(max(1, size / slice_rows))))
-    packed = classes.select("id", "fp").mapInArrow(block_values(words, bits, count, slices), "block int, slice int, base long, values binary, places binary")
-    entries = packed.repartition("block", "slice").mapInArrow(_entries, "key long, id long").sortWithinPartitions("key", "id")
-    shared = write_through(entries.mapInArrow(_sharing, "key long, id long, lead long, place long"), "blocks")
+    packed = classes.select("id", "fp").mapInArrow(block_values(words, bits, count, slices), PACKED).repartition("block", "slice")
+    shared = write_through(entries(packed, slices).sortWithinPartitions("key", "id").mapInArrow(_sharing, "key long, id long, lead long, place long"), "blocks")
 
     star = shared.where("place > 0").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     nearest = _apart(star, classes, words).where(F.col("far") <= limit).groupBy("b").agg(F.min(F.struct("far", "a")).alias("best"))

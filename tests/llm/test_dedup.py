@@ -261,10 +261,9 @@ def test_block_values_are_cut_and_joined(spark, monkeypatch):
     rows = [(i + (1 << 33 if i > 50 else 0), draw.integers(-(2**63), 2**63, 24).tolist()) for i in range(80)]
     rows += [(200 + i, rows[i][1]) for i in range(20)]
     table = spark.createDataFrame(rows, "id long, fp array<bigint>").repartition(3)
-    packed = "block int, slice int, base long, values binary, places binary"
     found = []
     for slices in (1, 4):
-        entries = table.mapInArrow(simhash.block_values(24, 20, 100, slices), packed).mapInArrow(simhash._entries, "key long, id long")
+        entries = simhash.entries(table.mapInArrow(simhash.block_values(24, 20, 100, slices), simhash.PACKED), slices)
         found.append(sorted(map(tuple, entries.collect())))
         shared = entries.repartition("key").sortWithinPartitions("key", "id").mapInArrow(simhash._sharing, "key long, id long, lead long, place long").collect()
         assert {(r["lead"], r["id"]) for r in shared if r["place"]} >= {(i, 200 + i) for i in range(20)}
