@@ -16,9 +16,11 @@ A walk reads at most as many words as it has taken steps, about half as many on
 differ. As every word of an item begins a window, an item is missed only if no stretch of about five
 words between edits survives; the tests measure the recall up to the largest share of edits.
 
-Items are compared in blocks of at most ``block`` items, whose index is sent to the tasks; the number of
-passes grows with the benchmark, the index does not. Texts are never shuffled, and texts
-of any length go through in overlapping parts of bounded size.
+Different item texts are compared in blocks of at most about ``block`` texts and ``BYTES`` bytes, whose index is
+sent to the tasks, one block at a time; the number of passes grows with the benchmark, the index does not. The
+ids of equal items are joined to the matches by Spark. Texts are never shuffled, and texts of any length go through
+in parts of bounded size. Parts overlap by words, twice the longest window, so that every window lies
+whole in one part however wide the gaps between its words are.
 
 Cases: NULL or empty texts contain nothing. Items of fewer than five words name no passage and match
 nothing; items of fewer than ten words must match without edits. Equal items are found
@@ -33,14 +35,16 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.base import arrow, fresh, register, table
+from paperloom.llm.ordering import small
+from paperloom.session import write_through
 
 SHARE, BLOCK = 0.2, 5000
 WALKS, NEAR, FAR, LEAST = 3, 10, 18, 5
-PART, OVERLAP = 1 << 19, 1 << 16
+PART, BYTES, LINE = 1 << 19, 1 << 24, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 TOP = (1 << 64) - 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -215,11 +219,18 @@ class Index:
             found.append(np.stack((texts, owners[at, 0], places - owners[at, 1]), axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
-    def search(self, symbols: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, first word, end) of verified windows, the best of those that overlap."""
+    def search(self, symbols: np.ndarray, bounds: np.ndarray, goes_on: list[tuple[bool, bool]]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, first word, end) of verified windows, the best of those that overlap.
+
+        ``goes_on`` tells for each text whether it is a part with others before and behind it; windows that
+        reach beyond it are left to these.
+        """
         found: list[tuple[int, int, int, int, int]] = []
         for text, number, first in self.proposals(symbols, bounds).tolist():
             item, limit = self.items[number], self.limits[number]
+            before, behind = goes_on[text]
+            if (before and first - limit < bounds[text]) or (behind and first + len(item) + limit > bounds[text + 1]):
+                continue
             last = found[-1] if found and found[-1][:2] == (text, number) else None
             if last and first < last[4] and last[2] == 0:
                 continue
@@ -258,50 +269,76 @@ def best_window(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
+def parts_of(raw: bytes):
+    """(offset, bytes) of consecutive parts of about ``PART`` bytes that end between words.
+
+    Where nothing separates words for ``LINE`` bytes, a part ends between code points.
+    """
+    at = 0
+    while at < len(raw):
+        end = at + PART
+        while end < min(len(raw), at + PART + LINE) and WORD[raw[end]]:
+            end += 1
+        while end < len(raw) and raw[end] >> 6 == 2:
+            end += 1
+        yield at, raw[at:end]
+        at = end
+
+
 def scan(texts, index: Index) -> list[list[tuple[int, int, int, int]]]:
     """For every text its (item, edits, start, end); offsets in bytes of the lower-cased text.
 
-    Texts are searched together in groups of about ``PART`` bytes, longer ones in overlapping parts.
+    Texts are searched together in groups of about ``PART`` bytes, longer ones in parts that begin with the last
+    words of the part before.
     """
-    overlap = max(OVERLAP, 64 * index.longest)
-    results: list[dict] = []
-    group: list[tuple[int, int, bytes]] = []  # number of the text, offset, bytes
+    again = 2 * (index.longest + 2 * max(index.limits, default=0)) + FAR
+    results: list[list] = []
+    group: list[tuple] = []  # number of the text, symbols, starts, ends, goes on before, behind
     size = 0
 
     def flush() -> None:
         nonlocal group, size
-        symbols, starts, ends = words(b" ".join(part for _, _, part in group))
-        offsets = np.cumsum([0] + [len(part) + 1 for _, _, part in group])
-        bounds = np.searchsorted(starts, offsets)
-        for at, item, edits, first, last in index.search(symbols, bounds) if len(symbols) else ():
-            number, shift, _ = group[at]
-            place = int(starts[first] - offsets[at]) + shift
-            results[number][item, place] = (item, edits, place, int(ends[max(first, last - 1)] - offsets[at]) + shift)
+        bounds = np.cumsum([0] + [len(part[1]) for part in group])
+        symbols = np.concatenate([part[1] for part in group])
+        for at, item, edits, first, last in index.search(symbols, bounds, [part[4:] for part in group]) if len(symbols) else ():
+            number, _, starts, ends = group[at][:4]
+            first, last = first - int(bounds[at]), last - int(bounds[at])
+            results[number].append((item, int(starts[first]), edits, int(ends[max(first, last - 1)])))
         group, size = [], 0
 
     for number, text in enumerate(texts):
         raw = (text or "").lower().encode("utf-8", "replace")
-        results.append({})
-        for at in range(0, max(1, len(raw) - overlap), PART):
-            begin = at
-            while 0 < begin and WORD[raw[begin - 1]] and at - begin < 1000:
-                begin -= 1  # start with a whole word
-            while 0 < begin < len(raw) and raw[begin] >> 6 == 2:
-                begin -= 1  # and a whole code point
-            group.append((number, begin, raw[begin : at + PART + overlap]))
-            size += len(group[-1][2])
+        results.append([])
+        held = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for shift, part in parts_of(raw):
+            symbols, starts, ends = words(part)
+            held = tuple(np.concatenate((old[-again:], new)) for old, new in zip(held, (symbols, starts + shift, ends + shift)))
+            group.append((number, *held, shift > 0, shift + len(part) < len(raw)))
+            size += len(part)
             if size >= PART:
                 flush()
     if group:
         flush()
-    return [[found[k] for k in sorted(found)] for found in results]
+    return [_best(sorted(set(found))) for found in results]
+
+
+def _best(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(item, edits, start, end) in order, the fewest edits of those of an item that overlap."""
+    kept: list[tuple[int, int, int, int]] = []
+    for item, start, edits, end in found:
+        if kept and kept[-1][0] == item and start < kept[-1][3]:
+            if edits < kept[-1][1]:
+                kept[-1] = (item, edits, start, end)
+            continue
+        kept.append((item, edits, start, end))
+    return kept
 
 
 MATCHES = "array<struct<item int, edits int, start long, end long>>"
 
 
 def matcher(index: Index, spark):
-    """Column function: all matches of a text with the items of one block."""
+    """Column function: all matches of a text with the items of one block; and the broadcast, to be given up after use."""
     shared = spark.sparkContext.broadcast(index)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -309,41 +346,56 @@ def matcher(index: Index, spark):
         rows = [[dict(zip(("item", "edits", "start", "end"), m)) for m in found] for found in scan((t.as_py() for t in texts), shared.value)]
         return pa.array(rows, kind)
 
-    return arrow(run, MATCHES)
+    return arrow(run, MATCHES), shared
+
+
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def blocks(items: DataFrame, item: str, text: str, block: int):
-    """The items in blocks of at most about ``block``: pairs of ids and index."""
-    parts = max(1, -(-items.count() // block))
-    placed = items.select(F.col(item).alias("item"), F.col(text).alias("text")).withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+def blocks(items: DataFrame, text: str, block: int, most: int = BYTES):
+    """The different texts of the items in blocks of at most about ``block`` texts and ``most`` bytes.
+
+    Yields their digests, their index and whether there are more blocks than one.
+    """
+    different = items.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct().withColumn("digest", digest(F.col("text")))
+    row = different.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(1, -(-row["n"] // block), -(-(row["bytes"] or 0) // most))
+    placed = different.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)))
+    if parts > 1:
+        placed = write_through(placed, "items")
     for part in range(parts):
-        rows = placed.where(F.col("part") == part).orderBy("item", "text").collect()
-        yield [r["item"] for r in rows], Index([r["text"] for r in rows])
+        rows = placed.where(F.col("part") == part).orderBy("digest").collect()
+        yield [r["digest"] for r in rows], Index([r["text"] for r in rows]), parts > 1
 
 
 def contamination(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """``key, item, edits, start, end``: every passage of a document that is within the limit of an item."""
-    spark, kind = documents.sparkSession, items.schema[item].dataType
-    found = None
-    for ids, index in blocks(items, item, item_text, block):
-        rows = documents.select(F.col(key), matcher(index, spark)(F.col(text)).alias("found"))
+    spark, found = documents.sparkSession, None
+    for digests, index, several in blocks(items, item_text, block):
+        run, shared = matcher(index, spark)
+        rows = documents.select(F.col(key), run(F.col(text)).alias("found"))
         rows = rows.select(key, F.explode_outer("found").alias("m")).where("m IS NOT NULL")
-        names = F.array(*[F.lit(i).cast(kind) for i in ids]) if len(ids) <= 64 else None
-        if names is None:
-            listed = spark.createDataFrame(list(enumerate(ids)), f"item int, name {kind.simpleString()}")
-            rows = rows.join(F.broadcast(listed), F.col("m.item") == F.col("item")).select(key, F.col("name").alias(item), "m.edits", "m.start", "m.end")
-        else:
-            rows = rows.select(key, F.get(names, F.col("m.item")).alias(item), "m.edits", "m.start", "m.end")
+        listed = spark.createDataFrame(list(enumerate(digests)), "item int, digest string")
+        rows = rows.join(F.broadcast(listed), F.col("m.item") == F.col("item")).select(key, "digest", "m.edits", "m.start", "m.end")
+        if several:  # one index at a time
+            rows = write_through(rows, "matches")
+            shared.destroy()
         found = rows if found is None else found.unionAll(rows)
-    return found
+    ids = small(items.select(digest(F.col(item_text)).alias("digest"), F.col(item).alias(fresh(documents, "item"))))
+    name = fresh(documents, "item")
+    return found.join(ids, "digest").select(key, F.col(name).alias(item), "edits", "start", "end")
 
 
 def drop_contaminated(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``documents`` that hold no passage of an item; columns stay as they are."""
     own, name = documents.columns, fresh(documents, "found")
-    for _, index in blocks(items, item, item_text, block):
-        marked = documents.withColumn(name, matcher(index, documents.sparkSession)(F.col(text)))
-        documents = marked.where(F.size(name) == 0).select(*own)
+    for _, index, several in blocks(items, item_text, block):
+        run, shared = matcher(index, documents.sparkSession)
+        documents = documents.withColumn(name, run(F.col(text))).where(F.size(name) == 0).select(*own)
+        if several:
+            documents = write_through(documents, "clean")
+            shared.destroy()
     return documents
 
 
