@@ -6,7 +6,9 @@ split into two clusters by a threshold between their means. The outermost elemen
 content (``article``, ``main`` or that role) and holds most of the dense lines is the content region, with all
 that is nested in it; its siblings belong to it unless they are sparse. Without one, the region spans the dense
 lines and the lines between them, and the text blocks and the containers of dense lines outside of that.
-Lines inside navigation, headers, footers, side bars, forms, adverts, notices and comments are never content.
+Lines inside navigation, headers, footers, side bars, forms, adverts, notices and comments are never content. Inside
+a content element a class or id counts as such a name only if all its parts do (``share-price`` does not), and names
+that articles use as well (``WEAK``) hide an element only if most of its text lies in lines that are not dense.
 
 Cases: NULL or empty html, or a page without content, gives ''. Unclosed and stray tags are
 closed by their parents. Equal rows are each extracted; an empty table gives no rows; other
@@ -40,18 +42,36 @@ NAMES = re.compile(
     r"comments?|commentlist|discussion|replies|disqus\w*|related|recommend\w*|pagination|pager|copyright|disclaimer|toolbar|search\w*)(?:$|[_-])",
     re.I,
 )
+# Inside content: names of furniture, those of them that articles use as well, and what goes with them in compounds.
+WEAK = frozenset("alert banner copyright disclaimer discussion footer header notice notices notification overlay recommend recommended recommendations related search share sharing side social".split())
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr login masthead menu modal nav navbar navigation "
+    "newsletter pager pagination popup promo promotion replies sidebar signup sponsor sponsored subscribe subscription toolbar widget widgets".split()
+)
+BESIDE = frozenset("area articles bar block bottom box btn button buttons container content form icon icons inner item items left link links list main media outer panel post posts right section slot stories top unit wrap wrapper".split())
+
+
+def named(name: str) -> int:
+    """Whether a class or id inside content is one of furniture: 0 no, 1 perhaps, 2 yes."""
+    parts = [p for p in re.split(r"[_-]+", name.lower()) if p and not p.isdigit()]
+    if not all(p in WEAK or p in STRONG or p in BESIDE for p in parts):
+        return 0
+    return 2 if STRONG.intersection(parts) else int(bool(WEAK.intersection(parts)))
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, number of tags, whether page furniture, outermost content element, container, characters in links."""
+    """Collects lines: text, number of tags, whether page furniture, outermost content element, container, characters in links, weakly named element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # Name, hidden, furniture (by its name only: 1, by element or role: 2), outermost content element, block, in a link.
-        self.stack: list[tuple[str, bool, int, int, int, bool]] = []
-        self.elements = 0
+        # Name, hidden, furniture (by its name only: 1, by element or role: 2), outermost content element, block, in a link, weak.
+        self.stack: list[tuple[str, bool, int, int, int, bool, int]] = []
+        self.blocks: list[int] = []  # places of block elements in the stack
+        self.open: list[dict[str, int]] = [{}]  # names of open inline elements behind each of them, and before the first
+        self.names: dict[str, int] = {}  # names of open block elements
+        self.elements = self.weak = 0
         self.above = [0]  # the block around each block; 0 is the page
-        self.lines: list[tuple[str, int, bool, int, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -62,7 +82,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             _, furniture, content = self._state()
-            self.lines.append((text, self.tags, furniture > 0, content, self.above[self.stack[-1][4] if self.stack else 0], self.linked))
+            self.lines.append((text, self.tags, furniture > 0, content, self.above[self.stack[-1][4] if self.stack else 0], self.linked, self.stack[-1][6] if self.stack else 0))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -78,7 +98,7 @@ class Lines(HTMLParser):
             return
         hidden, furniture, content = self._state()
         values = {k: v or "" for k, v in attrs}
-        inside = content >= 0
+        inside, weak = content >= 0, self.stack[-1][6] if self.stack else 0
         role = values.get("role", "").lower()
         names = f"{values.get('class', '')} {values.get('id', '')}".split()
         if tag in CONTENT or role in CONTENT:
@@ -92,6 +112,12 @@ class Lines(HTMLParser):
                 furniture = 2
         elif tag in FURNITURE or role in ROLES or (tag == "header" and not inside):
             furniture = 2
+        elif inside:
+            own = max(map(named, names), default=0)
+            furniture = 2 if own == 2 else furniture
+            if own == 1 and not weak:
+                self.weak += 1
+                weak = self.weak
         elif tag not in ("html", "body") and any(NAMES.search(n) for n in names if not n.lower().startswith(("has-", "with-", "no-", "without-"))):
             furniture = max(furniture, 1)
         hidden = hidden or tag in HIDDEN or "hidden" in values
@@ -99,7 +125,23 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.above.append(block)
             block = len(self.above) - 1
-        self.stack.append((tag, hidden, furniture, content, block, link or tag == "a"))
+            self.blocks.append(len(self.stack))
+            self.open.append({})
+            self.names[tag] = self.names.get(tag, 0) + 1
+        else:
+            self.open[-1][tag] = self.open[-1].get(tag, 0) + 1
+        self.stack.append((tag, hidden, furniture, content, block, link or tag == "a", weak))
+
+    def _pop(self, size: int) -> None:
+        """Close all elements but the first ``size``."""
+        while len(self.stack) > size:
+            name = self.stack.pop()[0]
+            if name in INLINE:
+                self.open[-1][name] -= 1
+            else:
+                self.blocks.pop()
+                self.open.pop()
+                self.names[name] -= 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -109,25 +151,21 @@ class Lines(HTMLParser):
     def _close_open(self, tag):
         """A new paragraph, item or cell ends an open one of its kind in the same container."""
         ends = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}[tag]
-        for at in range(len(self.stack) - 1, -1, -1):
+        for at in reversed(self.blocks):
             name = self.stack[at][0]
             if name in ends:
-                del self.stack[at:]
+                self._pop(at)
                 return
-            if name not in INLINE and name not in ("td", "th"):
+            if name not in ("td", "th"):
                 return
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self._cut()
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[at][0]
-            if name == tag:
-                del self.stack[at:]
-                return
-            if tag in INLINE and name not in INLINE:
-                return
+        # What is not open is not looked for, so stray tags cost nothing however deep the page is.
+        if (self.open[-1] if tag in INLINE else self.names).get(tag, 0):
+            self._pop(next(at for at in range(len(self.stack) - 1, -1, -1) if self.stack[at][0] == tag))
 
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][1]):
@@ -175,6 +213,11 @@ def main_text(html: str | None) -> str:
     # Logarithms, as one very long paragraph would else set the cut for all others.
     smooth = smoothed(np.log1p(np.where(furniture, 0.0, sizes / tags)))
     dense = (smooth >= threshold(smooth)) & ~furniture
+    weak = np.array([line[6] for line in lines])
+    if weak.any():
+        whole, thick = np.bincount(weak, sizes), np.bincount(weak, np.where(dense & (plain * 2 >= sizes), sizes, 0))
+        furniture = furniture | ((weak > 0) & (thick * 2 < whole)[weak])
+        dense &= ~furniture
     inside: dict[int, np.ndarray] = {}  # weight, characters outside links and tags of each outermost content element
     for at, (_, _, _, content, *_) in enumerate(lines):
         if content >= 0 and not furniture[at]:

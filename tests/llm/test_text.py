@@ -502,3 +502,54 @@ def test_ids_of_words_with_one_hash(size):
     assert list(model.encode_all([two])) == list(pieces.Pieces(PIECES).encode_all([two]))
     found = token_store.encoder(TOKENS).encode_all(texts)
     assert [np.frombuffer(i, np.uint32).tolist() for i in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_passages_with_wide_gaps(spark):
+    """An item whose words stand thousands of spaces apart is found wherever a part of the text ends."""
+    draw = random.Random(6)
+    item = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    passage = (" " * 3000).join(item)
+    fill = lambda n: " ".join(f"f{draw.randrange(10**6)}" for _ in range(n))
+    rows = [(n, f"{fill(55000 + 4000 * n)} {passage} {fill(80000)}") for n in range(6)] + [(10, fill(150000)), (11, "x" * (3 << 20)), (12, " ".join(item[:50]) + " " + fill(90000))]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item)), (3, None), (4, "too few words")], "item_id long, text string")
+    found = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in found) == sorted([(n, i, 0) for n in range(6) for i in (1, 2)] + [(12, i, 10) for i in (1, 2)])
+    assert all(rows[r["doc_id"]][1].lower().encode()[r["start"] : r["end"]].decode() == passage for r in found if r["doc_id"] < 6)
+
+
+def test_equal_items_are_one_text_of_a_block(spark, documents, monkeypatch):
+    texts = [r["text"] for r in documents.where("length(text) BETWEEN 200 AND 900").orderBy("doc_id").limit(6).collect()]
+    items = spark.createDataFrame([(i, texts[0] if i % 3 == 0 else texts[i % 6]) for i in range(60)], "item_id long, text string")
+    sizes = [len(d) for d, _, _ in decontam.blocks(items, "text", 2)]
+    assert sum(sizes) == len({texts[0 if i % 3 == 0 else i % 6] for i in range(60)})
+    assert len(list(decontam.blocks(items, "text", 5000, most=300))) > 1
+    one, many = (sorted(map(tuple, decontam.contamination(documents, items, block=b).collect())) for b in (5000, 2))
+    assert one == many and {r[1] for r in one} == set(range(60))
+    kept = [sorted(r["doc_id"] for r in decontam.drop_contaminated(documents, items, block=b).collect()) for b in (5000, 2)]
+    assert kept[0] == kept[1] and len(kept[0]) < documents.count()
+
+
+def test_named_sections_of_articles_stay():
+    """Names inside an article hide nothing that is text of the article; furniture of any such name goes."""
+    text = "A paragraph of plain words that goes on for a while, as paragraphs of articles do, and then ends here."
+    tags = ['section id="discussion"', 'section id="related-work"', 'div class="share-price"', 'div class="notice-board"', 'div class="search-party"', 'div class="ad-hoc"', 'div id="header"']
+    for tag in tags:
+        name = tag.split()[0]
+        html = f"<article><h1>Title</h1><p>{text}</p><{tag}><p>Inner {text}</p><p>More {text}</p></{name}><p>Last {text}</p></article>"
+        assert html_text.main_text(html) == "\n\n".join(["Title", text, f"Inner {text}", f"More {text}", f"Last {text}"]), tag
+    links = "".join(f'<li><a href="/{i}">Some other page {i}</a></li>' for i in range(4))
+    for tag in ['div class="share"', 'div class="related-posts"', 'ul class="social-links"', 'section class="comments"', 'div class="ad-slot-2"', 'div class="newsletter-signup"']:
+        name = tag.split()[0]
+        html = f"<article><h1>Title</h1><p>{text}</p><p>{text}</p><{tag}>{links}</{name}><p>Last {text}</p></article>"
+        assert html_text.main_text(html) == "\n\n".join(["Title", text, text, f"Last {text}"]), tag
+    comments = f'<article><h1>Title</h1><p>{text}</p><p>{text}</p><div id="comments"><p>Reader: {text}</p><p>Reader: {text}</p></div></article>'
+    assert html_text.main_text(comments) == "\n\n".join(["Title", text, text])
+
+
+@pytest.mark.parametrize("form", ["<b>" * 40000 + "</i>" * 40000, "<i><div>" + "<b>" * 40000 + "</i>" * 40000, "<b>" * 40000 + "<li></li>" * 40000, "<div>" * 40000 + "</section>" * 40000, "<p><b>" * 40000])
+def test_deep_pages_take_time_in_proportion(form):
+    import time
+
+    start = time.perf_counter()
+    found = html_text.main_text(f"<article><p>Some words of a text here</p>{form}<p>And some more of these words</p></article>")
+    assert time.perf_counter() - start < 10 and found.startswith("Some words of a text here")
