@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.operators.ranking import ranked
+from paperloom.session import discard, write_through
 
 SCORE_DIGITS = 6
 QUERY_BLOCK = 256
@@ -38,6 +40,23 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _usable(rows, vector: str, dim: int):
+    """The rows of a batch or table whose vector has ``dim`` components, none of them missing."""
+    column = rows.column(vector)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    fits = pc.equal(pc.fill_null(pc.list_value_length(column), -1), dim).to_numpy(zero_copy_only=False)
+    if column.flatten().null_count:
+        owner = pc.list_parent_indices(column).to_numpy()
+        fits[owner[column.flatten().is_null().to_numpy(zero_copy_only=False)]] = False
+    return rows if fits.all() else rows.filter(pa.array(fits))
+
+
+def _common_size(sizes: dict[int, int]) -> int:
+    """The most frequent size, of equally frequent ones the smallest."""
+    return min(sizes, key=lambda n: (-sizes[n], n), default=0)
+
+
 def _normalised(matrix: np.ndarray, eps: float) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True) + eps
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -131,11 +150,13 @@ def dense_topk(
     list_col: str | None = None,
     max_queries: int = 4096,
     block_rows: int = 200_000,
+    dim: int | None = None,
 ) -> DataFrame:
     """Top ``k`` vectors per query by cosine: ``query_id, id, score, rank``.
 
-    Missing, empty or odd-sized vectors cannot be compared and are left out; see
-    :func:`unusable_vectors`. With ``probes_col`` (an array of list numbers on the query side) and ``list_col`` (the list
+    Only vectors of ``dim`` components can be compared, by default the most frequent size of the questions; others,
+    on either side, are left out, see :func:`unusable_vectors`. They are dropped inside the scan, so an
+    encoder above the stored side runs once. With ``probes_col`` (an array of list numbers on the query side) and ``list_col`` (the list
     number of a vector) each query sees only the lists it probes.
     """
     columns = [F.col(id_col).alias("id"), F.col(vector_col).alias("vector")]
@@ -143,14 +164,20 @@ def dense_topk(
     if list_col:
         columns.append(F.col(list_col).cast("int").alias("list_no"))
         asked_cols.append(F.col(probes_col).cast("array<int>").alias("probes"))
-    stored, asked = vectors.select(*columns).where("size(vector) > 0"), queries.select(*asked_cols).where("size(vector) > 0")
+    stored, asked = vectors.select(*columns), queries.select(*asked_cols)
     rows = asked.limit(max_queries + 1).collect()
-    if rows:
-        stored = stored.where(F.size("vector") == len(rows[0]["vector"]))
-    if len(rows) <= max_queries:
-        best = _by_broadcast(stored, asked, rows, k, eps, high_id_first)
+    few = len(rows) <= max_queries
+    if dim is None and few:
+        sizes = [len(r["vector"]) for r in rows if r["vector"]]
+        dim = _common_size({n: sizes.count(n) for n in set(sizes)})
+    elif dim is None:  # kinds of sizes, not questions
+        size = F.size("vector").alias("n")
+        dim = _common_size({r["n"]: r["count"] for r in asked.select(size).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()})
+    if few:
+        rows = [r for r in rows if r["vector"] is not None and len(r["vector"]) == dim and None not in r["vector"]]
+        best = _by_broadcast(stored, asked, rows, k, eps, high_id_first, dim)
     else:
-        best = _by_grid(stored, asked, k, eps, high_id_first, max_queries, block_rows)
+        best = _by_grid(stored, asked, k, eps, high_id_first, max_queries, block_rows, dim)
     order = [F.desc("score"), F.desc("id") if high_id_first else F.asc("id")]
     return ranked(best, ["query_id"], order).where(F.col("rank") <= k)
 
@@ -162,7 +189,7 @@ def unusable_vectors(vectors: DataFrame, dim: int, id_col: str = "chunk_id", vec
 
 
 def _by_broadcast(
-    stored: DataFrame, asked: DataFrame, rows: list, k: int, eps: float, high: bool
+    stored: DataFrame, asked: DataFrame, rows: list, k: int, eps: float, high: bool, dim: int
 ) -> DataFrame:
     schema = _schema(asked, stored)
     types = (_arrow(schema["query_id"].dataType), _arrow(schema["id"].dataType))
@@ -183,6 +210,7 @@ def _by_broadcast(
         query_ids, matrix, probes = payload.value
         best: dict[int, _Best] = {}
         for batch in batches:
+            batch = _usable(batch, "vector", dim)
             if batch.num_rows and matrix is not None:
                 vectors = _normalised(_matrix(batch.column("vector")), eps)
                 lists = batch.column("list_no").to_numpy() if probes else None
@@ -194,7 +222,7 @@ def _by_broadcast(
 
 
 def _by_grid(
-    stored: DataFrame, asked: DataFrame, k: int, eps: float, high: bool, max_queries: int, block_rows: int
+    stored: DataFrame, asked: DataFrame, k: int, eps: float, high: bool, max_queries: int, block_rows: int, dim: int
 ) -> DataFrame:
     """Blocks of queries against blocks of vectors, both of bounded size.
 
@@ -217,6 +245,7 @@ def _by_grid(
 
     def cell(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         best: dict[int, _Best] = {}
+        queries, vectors = _usable(queries, "vector", dim), _usable(vectors, "vector", dim)
         query_ids = queries.column("query_id").to_pylist()
         if queries.num_rows and vectors.num_rows:
             _scan(
@@ -235,32 +264,60 @@ def _by_grid(
 
 
 def assign_lists(
-    vectors: DataFrame, centroids: DataFrame, vector_col: str = "embedding", max_lists: int = 65_536
+    vectors: DataFrame, centroids: DataFrame, vector_col: str = "embedding", block: int = 65_536
 ) -> DataFrame:
-    """Add ``list_no``, the number of the closest centroid by inner product.
+    """Add ``list_no``, the number of the closest centroid by inner product, of equally close ones the smallest.
 
-    ``centroids`` holds ``list_no, embedding``; their number is the size of the coarse index and
-    must stay below ``max_lists``.
+    ``centroids`` holds ``list_no, embedding``. They are scored in blocks of at most about ``block``, one after the
+    other, so their number has no limit; between blocks the best so far is written. Vectors of another size
+    than the centroids' have no list (NULL).
     """
-    rows = centroids.select("list_no", "embedding").limit(max_lists + 1).collect()
-    if len(rows) > max_lists:
-        raise ValueError(f"more than {max_lists} centroids; build a coarser index")
-    rows.sort(key=lambda r: r["list_no"])
-    numbers = np.array([r["list_no"] for r in rows], dtype=np.int32)
-    matrix = _normalised(np.array([r["embedding"] for r in rows], dtype=np.float64), 0.0)
-    payload = vectors.sparkSession.sparkContext.broadcast((numbers, matrix))
-    schema = T.StructType([*vectors.schema.fields, T.StructField("list_no", T.IntegerType())])
+    own, closest = vectors.columns, "list_no"
+    rows = centroids.select("list_no", "embedding")
+    parts = max(1, math.ceil(rows.count() / block))
+    sizes = {r["n"]: r["count"] for r in rows.select(F.size("embedding").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()}
+    dim, last = _common_size(sizes), None
+    found = vectors.withColumns({closest: F.lit(None).cast("int"), "_score": F.lit(None).cast("double")})
+    for part in range(parts):
+        some = rows.where(F.pmod(F.xxhash64("list_no"), F.lit(parts)) == part).collect()
+        some = sorted((r for r in some if r["embedding"] is not None and len(r["embedding"]) == dim), key=lambda r: r["list_no"])
+        if not some:
+            continue
+        numbers = np.array([r["list_no"] for r in some], dtype=np.int32)
+        matrix = _normalised(np.array([r["embedding"] for r in some], dtype=np.float64), 0.0)
+        payload = vectors.sparkSession.sparkContext.broadcast((numbers, matrix))
+        found = found.mapInArrow(_closer(payload, vector_col, dim), found.schema)
+        if parts > 1:
+            found = write_through(found, "assigned")
+            payload.destroy()
+            if last is not None:
+                discard(last)
+            last = found
+    return found.select(*own, closest)
+
+
+def _closer(payload, vector_col: str, dim: int):
+    """Batches with ``list_no`` and ``_score`` of the best centroid so far."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, matrix = payload.value
         for batch in batches:
-            scores = _normalised(_matrix(batch.column(vector_col)), 0.0) @ matrix.T
-            nearest = numbers[np.argmax(np.round(scores, SCORE_DIGITS), axis=1)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest, pa.int32())], names=[*batch.schema.names, "list_no"]
-            )
-
-    return vectors.mapInArrow(assign, schema)
+            place = np.arange(batch.num_rows)
+            rows = _usable(batch.append_column("_at", pa.array(place)), vector_col, dim)
+            score, number = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("_score", "list_no"))
+            if rows.num_rows:
+                at = rows.column("_at").to_numpy()
+                scores = np.round(_normalised(_matrix(rows.column(vector_col)), 0.0) @ matrix.T, SCORE_DIGITS)
+                best = scores.argmax(axis=1)
+                new, own = scores[np.arange(len(at)), best], numbers[best].astype(np.float64)
+                better = np.isnan(score[at]) | (new > score[at]) | ((new == score[at]) & (own < number[at]))
+                score[at[better]], number[at[better]] = new[better], own[better]
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            columns["_score"] = pa.array(score, pa.float64(), from_pandas=True)
+            columns["list_no"] = pa.array(number, from_pandas=True).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return assign
 
 
 def search_by_kind(kind: str, vectors: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:

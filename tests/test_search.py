@@ -205,3 +205,36 @@ def test_stored_lists_and_buckets_are_pruned(spark, tmp_path, vectors):
     found = probed_topk(stored, asked, centroids, 5, 1)
     assert rows(found) == rows(probed_topk(lists, asked, centroids, 5, 1))
     assert re.search(r"PartitionFilters: \[[^\]]*list_no#\d+ (IN|=)", found._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_queries": 2, "block_rows": 50}])
+def test_questions_of_other_sizes_are_left_out(spark, vectors, limits):
+    asked = [(1, [1.0, 2.0]), (2, [1.0] * 8), (3, None), (4, [0.5] * 8), (5, []), (6, [2.0, None] * 4)]
+    questions = spark.createDataFrame(asked, "query_id bigint, embedding array<double>")
+    wanted = rows(dense_topk(vectors, questions.where("query_id IN (2, 4)"), 3))
+    assert rows(dense_topk(vectors, questions, 3, **limits)) == wanted
+    assert rows(dense_topk(vectors, questions, 3, dim=8, **limits)) == wanted
+    assert dense_topk(vectors, questions, 3, dim=5, **limits).count() == 0
+    assert {r["id"] for r in unusable_vectors(questions, 8, "query_id").collect()} == {1, 3, 5}
+
+
+def test_each_text_is_encoded_once(spark):
+    texts = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(20)], "chunk_id bigint, text string")
+    encoder = HashEncoder(16)
+    stored = texts.repartition(3).select("chunk_id", encoder.encode("text").alias("embedding"))
+    found = dense_topk(stored, texts.limit(3).select(F.col("chunk_id").alias("query_id"), encoder.encode("text").alias("embedding")), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 1  # questions are encoded before
+
+
+def test_centroids_in_blocks(spark, vectors):
+    rng = np.random.default_rng(8)
+    centroids = spark.createDataFrame([(i, [float(x) for x in rng.integers(-2, 3, 8)]) for i in range(60)], "list_no int, embedding array<double>")
+    odd = vectors.unionByName(spark.createDataFrame([(900, [1.0]), (901, None)], "chunk_id bigint, embedding array<double>"))
+    one, many = (rows(assign_lists(odd, centroids, block=block).select("chunk_id", "list_no")) for block in (65536, 7))
+    assert one == many and dict(one)[900] is None and dict(one)[901] is None and len(one) == 302
+    matrix = np.array([r["embedding"] for r in centroids.orderBy("list_no").collect()])
+    matrix = matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, 1, n)
+    for r in vectors.collect():
+        v = np.array(r["embedding"])
+        assert dict(one)[r["chunk_id"]] == int(np.argmax(np.round(matrix @ (v / (np.linalg.norm(v) or 1)), 6)))
