@@ -226,3 +226,33 @@ def test_command_line(spark, parsed, tmp_path, capsys):
     cli.main(["ingest", "--input", parsed, "--output", out, "--skip-parsing"])
     cli.main(["query", "--collection", out, "--question", "格力电器的营收是多少"])
     assert "confidence:" in capsys.readouterr().out
+
+
+def test_json_is_told_apart_by_content(spark, tmp_path):
+    """Lines, arrays and indented documents under any name; several values and rests are all seen."""
+    folder = tmp_path / "any"
+    folder.mkdir()
+    page = lambda n: {"source": f"s{n}", "page_num": n, "text_blocks": [{"text": f'a "}} {{" b {n}'}], "tables": []}
+    lines = lambda *numbers: "\n".join(json.dumps(page(n)) for n in numbers)
+    (folder / "corpus.json").write_text("\n\n" + lines(1, 2, 3, 4, 5) + "\n")
+    (folder / "more.jsonl").write_text(lines(6, 7))
+    (folder / "part-1.json").write_text(json.dumps({"source": "doc", "pages": [page(8), page(9)]}, indent=2))
+    (folder / "array.json").write_text(json.dumps([page(10), page(11)], indent=1))
+    (folder / "flat.json").write_text(json.dumps([page(12), page(13)]))
+    (folder / "two.json").write_text(json.dumps(page(14), indent=2) + "\n" + json.dumps(page(15), indent=2) + " tail")
+    (folder / "close.json").write_text(json.dumps(page(16)) + json.dumps(page(17)) + "\n" + json.dumps(page(18)))
+    (folder / "hurt.json").write_text('{"source": "s0", \n' + lines(19, 20))
+    (folder / "part-2.json").write_text(lines(21) + '\n{"half": \n' + lines(22))
+    (folder / "blank.json").write_text(" \n\n")
+    (folder / "mark.json").write_text("﻿" + lines(23), encoding="utf-8")
+    for broadcast in (True, False):
+        with pytest.MonkeyPatch.context() as patch:
+            if not broadcast:
+                patch.setattr("paperloom.sources.json_values.fits_broadcast", lambda df: False)
+            found = readers.read_parsed(spark, str(folder)).select("source", "page_num", F.col("text_blocks")[0]["text"].alias("t")).collect()
+        assert sorted(r["page_num"] for r in found) == list(range(1, 24))
+        assert all(r["t"] == f'a "}} {{" b {r["page_num"]}' for r in found)
+        assert {r["source"] for r in found if r["page_num"] in (8, 9)} == {"doc"}
+    assert rows(readers.unreadable_parsed(spark, str(folder))) == [("hurt.json",), ("part-2.json",), ("two.json",)]
+    rests = rows(readers.rejected_values(spark, str(folder)).select("text"))
+    assert rests == [("tail",), ('{"half":',), ('{"source": "s0",',)]
