@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom import constants as C
 from paperloom.functions.tokens import tokenize
@@ -62,11 +63,27 @@ class LexicalIndex:
         )
         self.lengths.write.mode("overwrite").parquet(place("lengths"))
 
+    def without(self, other: LexicalIndex) -> LexicalIndex:
+        """This index with the document frequencies of another one taken off; they may become negative."""
+        less = other.terms.select("term", (-F.col("df")).alias("df"))
+        return LexicalIndex(self.lengths, self.postings, self.terms.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")))
+
+    @classmethod
+    def of(cls, lengths: DataFrame, postings: DataFrame, terms: DataFrame) -> LexicalIndex:
+        """An index from the tables of several batches."""
+        return cls(lengths.drop("batch"), postings.drop("batch"), terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
         """Stored tables; document frequencies add up over batches, whose documents differ."""
         lengths, postings, terms = [spark.read.parquet(os.path.join(path, n)) for n in ("lengths", "postings", "terms")]
-        return cls(lengths.drop("batch"), postings.drop("batch"), terms.groupBy("term").agg(F.sum("df").alias("df")))
+        return cls.of(lengths, postings, terms)
+
+
+def postings_schema(id_type: T.DataType) -> T.StructType:
+    """Columns of stored postings, which may have no file to tell them."""
+    kinds = {"term": T.StringType(), "id": id_type, "tf": T.LongType(), "dl": T.LongType(), "bucket": T.IntegerType()}
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
 
 
 def term_bucket(term: Column | str) -> Column:

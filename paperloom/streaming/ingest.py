@@ -12,6 +12,7 @@ from paperloom.models import Encoder, HashEncoder, encode_table
 from paperloom.functions.strings import strip
 from paperloom.operators.chunking import chunk_pages, sentence_windows
 from paperloom.operators.rows import each_struct
+from paperloom.plans.ingest import append_pages
 
 
 def stream_parsed(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +51,33 @@ def ingest_available(
     )
 
 
+def ingest_stream(
+    pages: DataFrame,
+    out: str,
+    checkpoint: str,
+    encoder: Encoder | None = None,
+    size: int = C.CHUNK_SIZE,
+    overlap: int = C.CHUNK_OVERLAP,
+    minimum: int = C.CHUNK_MIN,
+) -> StreamingQuery:
+    """Add the pages that have arrived to the collection under ``out``: chunks, vectors, postings and statistics.
+
+    Each batch is one committed version of the collection, named after the checkpoint and its number, so a
+    replayed batch is not added twice and readers never see a part of one.
+    """
+    model = encoder or HashEncoder()
+
+    def save(batch: DataFrame, number: int) -> None:
+        append_pages(batch, out, model, size, overlap, minimum, mark=f"{checkpoint}#{number}")
+
+    return (
+        pages.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def chunk_texts(
     texts: DataFrame, id_col: str, text_col: str = "text", size: int = C.CHUNK_SIZE,
     overlap: int = C.CHUNK_OVERLAP, minimum: int = C.CHUNK_MIN,

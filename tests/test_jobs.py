@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom import cli
 from paperloom.models import CitingGenerator, FunctionEncoder, HashEncoder, MockGenerator
-from paperloom.plans import experiments, ingest, qa
+from paperloom.plans import experiments, ingest, qa, snapshots
 from paperloom.session import shared_dir
 from paperloom.sources import readers, writers
 from paperloom.streaming.ingest import ingest_available, stream_parsed
@@ -256,3 +256,72 @@ def test_json_is_told_apart_by_content(spark, tmp_path):
     assert rows(readers.unreadable_parsed(spark, str(folder))) == [("hurt.json",), ("part-2.json",), ("two.json",)]
     rests = rows(readers.rejected_values(spark, str(folder)).select("text"))
     assert rests == [("tail",), ('{"half":',), ('{"source": "s0",',)]
+
+
+def _texts(collection):
+    return dict(rows(collection.chunks.select("chunk_id", "text")))
+
+
+def _same_state(spark, found, wanted):
+    """Two collections hold the same chunks, vectors, lengths, postings and frequencies."""
+    for pick in (lambda c: c.chunks.select("chunk_id", "text"), lambda c: c.vectors, lambda c: c.index.lengths, lambda c: c.index.terms, lambda c: c.index.postings.select("term", "id", "tf", "dl")):
+        assert rows(pick(found)) == rows(pick(wanted))
+
+
+def _chunks(spark, data):
+    return spark.createDataFrame([(i, t, "s", 1) for i, t in data], "chunk_id string, text string, source string, page_num int")
+
+
+def test_additions_are_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    out, plain = str(tmp_path / "c"), str(tmp_path / "plain")
+    first = [(f"c{i}", f"apple pear {i} plum") for i in range(5)]
+    ingest.append_chunks(_chunks(spark, first), out)
+    monkeypatch.setattr(snapshots, "commit", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.append_chunks(_chunks(spark, [(f"d{i}", f"apple fig {i}") for i in range(3)]), out)
+    assert set(_texts(ingest.load_collection(spark, out))) == {i for i, _ in first}  # the half-written batch is not there
+    monkeypatch.undo()
+    more = [(f"d{i}", f"apple fig {i}") for i in range(5)]
+    found = ingest.append_chunks(_chunks(spark, more), out)
+    assert dict(rows(found.index.terms))["apple"] == 10 and found.index.lengths.count() == found.vectors.count() == 10
+    _same_state(spark, found, ingest.append_chunks(_chunks(spark, first + more), plain))
+    before = snapshots.latest(spark, out)
+    ingest.append_chunks(_chunks(spark, more), out)  # nothing new, no version
+    assert snapshots.latest(spark, out) == before
+    # a changed text takes the place of the old one in all tables
+    changed = first[:4] + [("c4", "cherry pear")] + more
+    found = ingest.append_chunks(_chunks(spark, [("c4", "cherry pear"), more[0]]), out)
+    assert _texts(found)["c4"] == "cherry pear"
+    _same_state(spark, found, ingest.append_chunks(_chunks(spark, changed), str(tmp_path / "again")))
+    # an older snapshot is still whole, and a late writer fails
+    assert _texts(ingest.load_collection(spark, out, before))["c4"] == first[4][1]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, before, "late", 0)
+    # an addition of a name is made once
+    ingest.append_chunks(_chunks(spark, [("e", "fig")]), out, mark="m")
+    ingest.append_chunks(_chunks(spark, [("f", "fig")]), out, mark="m")
+    assert "f" not in _texts(ingest.load_collection(spark, out))
+
+
+def test_ingestion_touches_new_and_changed_pages_only(spark, tmp_path, monkeypatch):
+    page = lambda n, words: {"source": f"s{n}", "page_num": 1, "text_blocks": [{"text": f"{words} {n}. " * 12}], "tables": []}
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join(json.dumps(page(n, "first words")) for n in range(4)))
+    ingest.run_ingestion(spark, str(folder), out, skip_parsing=True)
+    (folder / "b.json").write_text(json.dumps(page(9, "late words")))
+    (folder / "a.json").write_text("\n".join(json.dumps(page(n, "other words" if n == 2 else "first words")) for n in range(4)))
+    touched = []
+    real = ingest.chunk_pages
+    monkeypatch.setattr(ingest, "chunk_pages", lambda pages, *a: touched.extend(r["source"] for r in pages.select("source").collect()) or real(pages, *a))
+    found = ingest.run_ingestion(spark, str(folder), out, skip_parsing=True)
+    assert sorted(touched) == ["s2", "s9"]
+    monkeypatch.undo()
+    _same_state(spark, found, ingest.run_ingestion(spark, str(folder), str(tmp_path / "fresh"), skip_parsing=True))
+    # chunks of other origin can be added to what run_ingestion has built
+    found = ingest.append_chunks(_chunks(spark, [("own", "own words")]), out)
+    assert found.chunks.where("chunk_id = 'own'").count() == 1 and found.index.lengths.count() == found.chunks.count()
+    # other settings build everything anew
+    anew = ingest.run_ingestion(spark, str(folder), out, skip_parsing=True, config={"chunker": {"chunk_size": 100, "chunk_overlap": 20, "min_chunk_size": 30}})
+    assert anew.chunks.where("chunk_id = 'own'").count() == 0 and snapshots.latest(spark, out).settings["size"] == 100
+    _same_state(spark, ingest.run_ingestion(spark, str(folder), out, skip_parsing=True, skip_chunking=True), anew)

@@ -81,6 +81,26 @@ def incremental_search(t):
     return lexical.search(collection.index, asked(t), 20).select(*RUN)
 
 
+@register(
+    "stream_search",
+    f"WITH {bm25_sql(20, DOCS_SQL, ASKED_SQL)} SELECT query_id, id, score, rank FROM brun",
+)
+def stream_search(t):
+    """Two arrivals by a stream that is started three times, searched as if indexed at once."""
+    root = os.path.join(shared_dir(t.spark), f"stream-{os.urandom(6).hex()}")
+    block = F.struct(F.col("text"), F.lit(None).cast("array<double>").alias("bbox"), F.lit("text").alias("block_type"), F.lit("text").alias("type"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("source"))
+    pages = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("source"), F.lit(1).alias("page_num"), F.array(block).alias("text_blocks"))
+    pages = pages.withColumns({f.name: F.lit(None).cast(f.dataType) for f in PAGES if f.name not in ("source", "page_num", "text_blocks")})
+    for number in range(3):
+        if number < 2:
+            pages.where(F.col("doc_id") % 2 == number).select(*PAGES.fieldNames()).write.mode("append").parquet(f"{root}/pages")
+        # one chunk per page, whatever its length
+        ingest_stream(stream_parsed(t.spark, f"{root}/pages"), f"{root}/collection", f"{root}/checkpoint", size=1 << 30, overlap=0, minimum=0).awaitTermination()
+    collection = ingest.load_collection(t.spark, f"{root}/collection")
+    found = lexical.search(collection.index, asked(t), 20)
+    return found.select("query_id", F.substring_index("id", "#", 1).cast("bigint").alias("id"), "score", "rank")
+
+
 @register(
     "bm25_index_stats",
     f"""WITH tok AS (SELECT {tokens_sql('text')} AS tokens FROM documents),
