@@ -318,6 +318,24 @@ def decoder(path: str):
     return arrow(run, "string")
 
 
+def coder(path: str):
+    """Column function: struct of ``ids``, ``n``, ``crc32`` and ``text``, what the ids decode to, in one worker per task."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        pieces = load(path)
+        ids, counts, sums, decoded = [], [], [], []
+        for raw in pieces.encode_all(t.as_py() for t in texts):
+            own = np.frombuffer(raw, "<i4")
+            ids.append(own)
+            counts.append(len(own))
+            sums.append(zlib.crc32(raw))
+            decoded.append(pieces.decode(own.tolist()))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        return pa.StructArray.from_arrays([lists, pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(decoded, pa.string())], ["ids", "n", "crc32", "text"])
+
+    return arrow(run, "struct<ids array<int>, n long, crc32 long, text string>")
+
+
 def with_ids(documents: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``documents`` with a column of piece ids in place of any of that name."""
     return documents.withColumn(ids, encoder(path)(F.col(text))["ids"])

@@ -259,6 +259,7 @@ def _cell_links(limit: int):
                     links.append(np.stack((groups[own[parents]], groups[found]), axis=1))
                     more = np.isin(own[left], found)
                     reached, left = left[more], left[~more]
+        trim()
         return pd.DataFrame(np.concatenate(links), columns=["a", "b"])
 
     return run
@@ -299,6 +300,8 @@ def _cell_confirmed(width: int, similarity: float, limit: int):
                 if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 and jaccard(x, y) >= similarity - 1e-9:
                     above[max(a, b)] = min(a, b)
                     links.append((ids[i], ids[j]))
+        sets.clear()
+        trim()
         return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
