@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.decontam import drop_contaminated
 from paperloom.llm.language import keep_known
-from paperloom.llm.pieces import MODEL, decoder, encoder, vocabulary_path
+from paperloom.llm.pieces import MODEL, coder, vocabulary_path
 from paperloom.llm.pii import redact
 from paperloom.llm.simhash import near_dedup
 from paperloom.session import sweep, write_through
@@ -46,8 +46,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Piece ids of every text, and the text as decoded from them."""
     sweep(spark)
-    path = vocabulary_path(MODEL)
-    coded = docs.select("doc_id", "lang", "source", "n_chars", encoder(path)(F.col("text")).alias("coded"))
+    coded = docs.select("doc_id", "lang", "source", "n_chars", coder(vocabulary_path(MODEL))(F.col("text")).alias("coded"))
     return coded.select(
         "doc_id",
         "lang",
@@ -56,7 +55,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
         F.col("coded.n").alias("n_pieces"),
         F.col("coded.crc32").alias("ids_crc32"),
         F.col("coded.ids").alias("ids"),
-        decoder(path)(F.col("coded.ids")).alias("text"),
+        F.col("coded.text").alias("text"),
     )
 
 
