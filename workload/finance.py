@@ -8,8 +8,10 @@ from paperloom.functions import extraction as X
 from paperloom.functions import questions as R
 from paperloom.operators import matching as M
 from paperloom.operators.fusion import filter_by_company
+from paperloom.operators.locate import locate_truth
 from paperloom.operators.ranking import first_n
 from paperloom.operators.rows import each, each_struct
+from paperloom.session import write_through
 from workload.base import FILINGS_SQL, filings, quoted, register
 
 # --- questions --------------------------------------------------------------------------------
@@ -316,6 +318,40 @@ def gt_remap(t):
     return M.remap_truth(samples(data), data)
 
 
+_TYPED_SQL = """typed AS (
+    SELECT a.chunk_id AS query_id, CASE a.chunk_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'summary' ELSE 'comparison' END AS query_type,
+      a.doc || '第' || a.page_num || '页和' || b.doc || '第' || CASE WHEN a.chunk_id % 7 = 0 THEN 98 ELSE b.page_num END || '页相比' AS query,
+      CASE WHEN a.chunk_id % 4 = 1 THEN 'moved_' || a.source WHEN a.chunk_id % 5 = 0 THEN a.doc ELSE a.source END AS source_file,
+      CAST(CASE WHEN a.chunk_id % 11 = 0 THEN 99 ELSE a.page_num END AS {text}) AS page_num, split_part(a.doc, '_', 2) AS company,
+      CASE WHEN a.chunk_id % 3 = 2 THEN a.answer || '高于' || b.answer WHEN a.chunk_id % 3 = 1 AND a.chunk_id % 2 = 0 THEN '向好，行业发展趋势向好，政策支持' ELSE a.answer END AS answer
+    FROM filings a JOIN filings b ON b.chunk_id = a.chunk_id + 1)"""
+
+
+@register(
+    "gt_locate",
+    f"""WITH {FILINGS_SQL}, {_TYPED_SQL.format(text='VARCHAR')},
+    places AS (
+      SELECT query_id, 0 AS half, source_file AS name, company, page_num AS page, CASE WHEN regexp_matches(answer, '[0-9,.]') THEN regexp_extract_all(answer, '[0-9,.]+')
+        WHEN query_type = 'summary' THEN [coalesce(list_filter(string_split(answer, '，'), lambda c: length(c) > 4)[1], left(answer, 8))] ELSE [] END AS vals FROM typed WHERE query_type <> 'comparison'
+      UNION ALL
+      SELECT query_id, h AS half, regexp_extract(string_split(query, '和')[h + 1], '([^ ]+?)第([0-9]+)页', 1) || '.pdf', split_part(regexp_extract(string_split(query, '和')[h + 1], '([^ ]+?)第([0-9]+)页', 1), '_', 2),
+        regexp_extract(string_split(query, '和')[h + 1], '([^ ]+?)第([0-9]+)页', 2), regexp_extract_all(string_split(answer, '高于')[h + 1], '[0-9,.]+') FROM typed, (VALUES (0), (1)) t(h) WHERE query_type = 'comparison'),
+    clauses AS (SELECT * EXCLUDE vals, replace(unnest(vals), ',', '') AS v FROM places),
+    chunks AS (SELECT chunk_id, source, CAST(page_num AS VARCHAR) AS page, replace(text, ',', '') AS text FROM filings),
+    e AS (SELECT query_id, half, min(chunk_id) AS chunk_id, 'file' AS way FROM clauses c JOIN chunks k ON c.page = k.page AND contains(k.source, c.name) AND contains(k.text, c.v) GROUP BY 1, 2),
+    f AS (SELECT query_id, half, min(chunk_id) AS chunk_id, 'company' AS way FROM (SELECT * FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = c.query_id AND e.half = c.half)) c
+      JOIN chunks k ON c.page = k.page AND contains(k.source, c.company) AND contains(k.text, c.v) GROUP BY 1, 2),
+    found AS (SELECT query_id, count(*) AS n, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY half) AS ids, string_agg(way, ',' ORDER BY half) AS ways FROM (SELECT * FROM e UNION ALL SELECT * FROM f) GROUP BY 1)
+    SELECT t.query_id, query_type, CASE WHEN n >= CASE WHEN query_type = 'comparison' THEN 2 ELSE 1 END THEN ids END AS chunk_ids,
+      CASE WHEN n >= CASE WHEN query_type = 'comparison' THEN 2 ELSE 1 END THEN ways END AS matched_by FROM typed t LEFT JOIN found USING (query_id)""",
+)
+def gt_locate(t):
+    """Facts, summaries and comparisons located by parts of file names, by company and in company-less files."""
+    data = write_through(filings(t).select("chunk_id", "source", "doc", "page_num", "text", "answer"), "filings")
+    typed = t.spark.sql(f"WITH {_TYPED_SQL.format(text='STRING')} SELECT * FROM typed".replace("filings", "{data}"), data=data)
+    return locate_truth(typed, data)
+
+
 @register(
     "verify_samples",
     f"""WITH {FILINGS_SQL}, {_SAMPLES_SQL}

@@ -13,9 +13,11 @@ from paperloom.operators.rerank import cut, overlap_rerank, overlap_score, reran
 from paperloom.operators.rows import each
 from paperloom.plans import ingest, qa
 from paperloom.plans.experiments import ann_recall
+from paperloom.schemas import PAGES
 from paperloom.session import shared_dir
 from paperloom.sources.readers import read_vectors
 from paperloom.sources.writers import write_vectors
+from paperloom.streaming.ingest import ingest_stream, stream_parsed
 from workload.base import (
     ASKED_SQL,
     ASKED_VECTOR_SQL,
@@ -81,15 +83,18 @@ def incremental_search(t):
     return lexical.search(collection.index, asked(t), 20).select(*RUN)
 
 
+_PAGED_SQL = "SELECT doc_id AS id, '[' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || ' 第1页] ' || text AS text FROM documents"
+
+
 @register(
     "stream_search",
-    f"WITH {bm25_sql(20, DOCS_SQL, ASKED_SQL)} SELECT query_id, id, score, rank FROM brun",
+    f"WITH {bm25_sql(20, _PAGED_SQL, ASKED_SQL)} SELECT query_id, id, score, rank FROM brun",
 )
 def stream_search(t):
     """Two arrivals by a stream that is started three times, searched as if indexed at once."""
     root = os.path.join(shared_dir(t.spark), f"stream-{os.urandom(6).hex()}")
     block = F.struct(F.col("text"), F.lit(None).cast("array<double>").alias("bbox"), F.lit("text").alias("block_type"), F.lit("text").alias("type"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("source"))
-    pages = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("source"), F.lit(1).alias("page_num"), F.array(block).alias("text_blocks"))
+    pages = t.documents.select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source"), F.lit(1).alias("page_num"), F.array(block).alias("text_blocks"))
     pages = pages.withColumns({f.name: F.lit(None).cast(f.dataType) for f in PAGES if f.name not in ("source", "page_num", "text_blocks")})
     for number in range(3):
         if number < 2:
