@@ -9,6 +9,7 @@ from paperloom import constants as C
 from paperloom.functions.answers import answer_in_text, comma_free_contains, numbers
 from paperloom.functions.extraction import source_company
 from paperloom.functions.strings import as_col, format_text
+from paperloom.operators.numbering import numbered
 from paperloom.operators.ranking import keep_first
 from paperloom.operators.rows import each
 from paperloom.session import fits_broadcast, write_through
@@ -140,6 +141,26 @@ def comparison_pairs(facts: DataFrame, seed: int = 42, digits: int = 2) -> DataF
     return pairs.where("n = 2").select("indicator", "first", "second", question.alias("query"))
 
 
+def indicator_pairs(facts: DataFrame, seed: int = 42) -> DataFrame:
+    """Pairs of all companies that report an indicator; of an odd number one company stays alone.
+
+    ``facts``: ``company, indicator, answer, source``. Companies are numbered in seeded order over ranges of
+    bounded size, so neighbours pair across ranges too and no indicator's companies meet in one task. Each side
+    brings the answer and source of its smallest fact, by source and then answer.
+    """
+    one = facts.where("company IS NOT NULL AND indicator IS NOT NULL").groupBy("company", "indicator").agg(F.min(F.struct("source", "answer")).alias("fact"))
+    rows = one.select(F.concat(F.lit("="), "indicator").alias("grp"), "indicator", "company", seeded_key(seed, F.col("company")).alias("key"), "fact")
+    placed = numbered(rows, "grp", ["key", "company"]).withColumn("second", F.col("pos") % 2 == 1)
+    sides = placed.groupBy("grp", F.expr("pos div 2").alias("pair")).agg(
+        F.first("indicator").alias("indicator"), F.count("*").alias("n"),
+        *[F.max(F.when(F.col("second") == late, F.col(c))).alias(f"{name}_{c}") for name, late in (("first", False), ("second", True)) for c in ("company", "fact")],
+    )
+    question = format_text(C.COMPARISON_TEMPLATE, first="first_company", second="second_company", indicator="indicator")
+    answer = F.concat("first_company", F.lit(": "), "first_fact.answer", F.lit("\n"), "second_company", F.lit(": "), "second_fact.answer")
+    source = F.concat_ws("; ", "first_fact.source", "second_fact.source")
+    return sides.where("n = 2").select("indicator", F.col("first_company").alias("first"), F.col("second_company").alias("second"), question.alias("query"), answer.alias("answer"), source.alias("source_file"))
+
+
 def longest_context(contexts: DataFrame, order: list[Column]) -> DataFrame:
     """Longest context per company and indicator, first in the given order among equals."""
     return keep_first(contexts, ["company", "indicator"], [F.desc(F.length("context")), *order])

@@ -389,6 +389,19 @@ def comparison_pairs(t):
     return M.comparison_pairs(filings(t))
 
 
+@register(
+    "indicator_pairs",
+    f"""WITH {FILINGS_SQL}, d AS (SELECT company, indicator, md5('42|' || company) AS key, first(source ORDER BY source, answer) AS source, first(answer ORDER BY source, answer) AS answer FROM filings GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY key, company) - 1 AS pos FROM d)
+    SELECT a.indicator, a.company AS first, b.company AS second, a.company || '和' || b.company || '的' || a.indicator || '对比如何？' AS query,
+      a.company || ': ' || a.answer || chr(10) || b.company || ': ' || b.answer AS answer, a.source || '; ' || b.source AS source_file
+    FROM n a JOIN n b ON a.indicator = b.indicator AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0""",
+)
+def indicator_pairs(t):
+    """Every company paired, over all ranges."""
+    return M.indicator_pairs(filings(t))
+
+
 @register(
     "company_summary",
     f"""WITH {FILINGS_SQL}, u AS (SELECT company, source, page_num, length(text) AS n, [{_FLAGS}] AS flags FROM filings),
