@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.base import arrow, fresh, register, table
-from paperloom.llm.ordering import small
+from paperloom.operators.numbering import small
 from paperloom.session import write_through
 
 SHARE, BLOCK = 0.2, 5000

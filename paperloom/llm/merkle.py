@@ -6,7 +6,7 @@ are lag and lead columns of the fixed offsets 3^L and 2 * 3^L, masked by the nod
 length of its run. First-child rows hash the parent. The way back down hands each path to the children
 through lags of the same offsets.
 
-A window never holds a group: positions come from ranges (``ordering.numbered``), and windows run over
+A window never holds a group: positions come from ranges (``operators.numbering``), and windows run over
 chunks of ``SPAN`` = 3^7 positions, which no run crosses. The roots of the chunks are the
 leaves of the next tier, so a group of any size takes few tiers and each has a 2,187th of the rows before.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.base import register, table
-from paperloom.llm.ordering import group_key, numbered, small
+from paperloom.operators.numbering import group_key, numbered, small
 from paperloom.session import write_through
 
 FAN, LEVELS = 3, 7

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.base import register, table
-from paperloom.llm.ordering import group_key, numbered
+from paperloom.operators.numbering import group_key, numbered
 from paperloom.session import fits_broadcast, write_through
 
 DIGITS, STEP = 15, 3  # a hash of 60 bits, 12 at a time

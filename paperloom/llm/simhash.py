@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.base import arrow, fresh, register, table, trim
 from paperloom.llm.graph import connected_components
-from paperloom.llm.ordering import numbered, small
+from paperloom.operators.numbering import numbered, small
 from paperloom.session import discard, sweep_later, write_through
 
 BLOCK = 16

@@ -10,7 +10,8 @@ from fractions import Fraction
 import pytest
 from rows_llm import documents, empty, nasty  # noqa: F401
 
-from paperloom.llm import collocations, merkle, mixture, ordering
+from paperloom.llm import collocations, merkle, mixture
+from paperloom.operators import numbering
 
 COLUMNS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -88,7 +89,7 @@ def test_manifest_of_difficult_rows(spark, nasty, empty):
 
 def test_manifest_without_broadcasts(spark, monkeypatch, documents):
     wanted = manifest_of(documents)
-    monkeypatch.setattr(ordering, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(numbering, "fits_broadcast", lambda df: False)
     assert manifest_of(documents) == wanted
     assert wanted == brute_manifest([tuple(r) for r in documents.select("doc_id", "source", "lang", "n_chars", "text").collect()])
 
@@ -212,7 +213,7 @@ def test_mix_meets_the_targets(spark, monkeypatch):
     check_mix(rows, found)
     assert sorted(found) == sorted(mixture.mix(df.repartition(7)).collect())  # reruns agree
     monkeypatch.setattr(mixture, "fits_broadcast", lambda df: False)
-    monkeypatch.setattr(ordering, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(numbering, "fits_broadcast", lambda df: False)
     assert sorted(found) == sorted(mixture.mix(df).collect())
 
 
