@@ -344,8 +344,8 @@ def _apart(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 def close_texts(classes: DataFrame, texts, width: int, similarity: float, words: int, limit: int, hot: int, cell: int, slice_rows: int = 1 << 22) -> DataFrame:
     """``a, b`` links between texts (``id``, ``fp``) that share a block, differ in at most ``limit`` bits and are alike.
 
-    First every text is held against one other: of the first texts of its keys, the nearest. These
-    links, at most one per text, join most copies. From then on only pairs of different groups matter.
+    First every text is held against one other: of the first texts of its keys, the one with which it shares
+    most keys. These links, at most one per text, join most copies. From then on only pairs of different groups matter.
     Keys whose texts are all in one group are done. In the others, pairs of different groups within
     ``limit`` bits make families of groups (small keys by a join, keys of more than ``hot`` texts in a grid of
     cells, which give a forest of their groups). A family's texts are sent once to each cell of at most two times
@@ -358,9 +358,10 @@ def close_texts(classes: DataFrame, texts, width: int, similarity: float, words:
     packed = classes.select("id", "fp").mapInArrow(block_values(words, bits, count, slices), PACKED).repartition("block", "slice")
     shared = write_through(entries(packed, slices).sortWithinPartitions("key", "id").mapInArrow(_sharing, "key long, id long, lead long, place long"), "blocks")
 
-    star = shared.where("place > 0").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    nearest = _apart(star, classes, words).where(F.col("far") <= limit).groupBy("b").agg(F.min(F.struct("far", "a")).alias("best"))
-    links = confirmed(nearest.select("best.a", "b"), texts, width, similarity)
+    star = shared.where("place > 0").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
+    best = star.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("back"))).alias("best")).select((-F.col("best.back")).alias("a"), "b")
+    nearest = _apart(best, classes, words).where(F.col("far") <= limit)
+    links = confirmed(nearest.select("a", "b"), texts, width, similarity)
     found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
     named = write_through(classes.join(found, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component")), "groups")
 
