@@ -106,6 +106,21 @@ def test_lexical_paths_agree_under_a_hot_term(spark, corpus, asked, tmp_path):
     assert len([r for r in direct if r[0] == 0]) == 12
 
 
+def test_scores_are_summed_by_document_in_bounded_tasks(spark, corpus, asked, monkeypatch):
+    """Pairs of queries and documents are not shuffled, and their tasks become more with their number."""
+    direct = rows(lexical.search_chunks(corpus, asked, 12))
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 12, raising=False)
+    monkeypatch.setattr(lexical, "TASK_TOKENS", 90, raising=False)
+    monkeypatch.setattr(lexical, "TASK_BYTES", 200, raising=False)
+    index = lexical.build_index(corpus)
+    for found in (lexical.search_chunks(corpus, asked, 12), lexical.search(index, asked, 12)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+        assert any(int(n) >= 30 for n in re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\)", plan))
+        assert rows(found) == direct
+    assert index.postings.rdd.getNumPartitions() >= 10
+
+
 def test_fits_broadcast_measures(spark):
     df = spark.createDataFrame([("x" * 100,)] * 50, "s string")
     assert fits_broadcast(df, 10_000)
