@@ -325,3 +325,17 @@ def test_ingestion_touches_new_and_changed_pages_only(spark, tmp_path, monkeypat
     anew = ingest.run_ingestion(spark, str(folder), out, skip_parsing=True, config={"chunker": {"chunk_size": 100, "chunk_overlap": 20, "min_chunk_size": 30}})
     assert anew.chunks.where("chunk_id = 'own'").count() == 0 and snapshots.latest(spark, out).settings["size"] == 100
     _same_state(spark, ingest.run_ingestion(spark, str(folder), out, skip_parsing=True, skip_chunking=True), anew)
+
+
+def test_filings_are_written_in_bounded_tasks(spark, monkeypatch):
+    """More orders make more tasks, with or without a shuffled join."""
+    from conftest import DATA
+
+    from workload import base
+
+    tables = base.Tables(spark, DATA)
+    few = rows(base.filings(tables))
+    monkeypatch.setattr(base, "TASK_FILINGS", 50, raising=False)
+    many = base.filings(tables)
+    assert many.rdd.getNumPartitions() >= len(few) / 50
+    assert rows(many) == few

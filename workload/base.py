@@ -16,7 +16,7 @@ from paperloom import constants as C
 from paperloom.models import HashEncoder
 from paperloom.operators import lexical
 from paperloom.operators.dense import dense_topk, mean_vectors
-from paperloom.operators.rows import each, spread
+from paperloom.operators.rows import each, parts_for, spread
 from paperloom.session import fits_broadcast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,12 +112,19 @@ FROM (
 FILINGS_SQL = f"filings AS ({filings_select('duckdb')})"
 
 
+TASK_FILINGS = 1 << 16  # filings written by one task
+
+
 def filings(t: Tables) -> DataFrame:
-    return t.spark.sql(
-        filings_select("spark").replace("FROM orders JOIN customer", "FROM {orders} AS o JOIN {customer} AS c"),
-        orders=t.orders,
-        customer=t.customer,
-    )
+    """Orders and customers are joined first; texts are written in tasks of a bounded number of rows."""
+    named = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+    customer = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    parts = parts_for(t.raw("orders"), t.raw("orders").count(), TASK_FILINGS)
+    large = parts > t.spark.sparkContext.defaultParallelism
+    orders = t.raw("orders") if large else t.orders
+    joined = orders.select(*named).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = joined.repartition(parts) if large else joined
+    return t.spark.sql(filings_select("spark").replace("FROM orders JOIN customer ON o_custkey = c_custkey", "FROM {joined}"), joined=joined)
 
 
 # --- tokens, lexical and dense runs of benchmark questions against documents -----------------
