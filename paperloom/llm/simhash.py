@@ -265,6 +265,46 @@ def _cell_links(limit: int):
     return run
 
 
+def _small_links(limit: int, hot: int):
+    """From (key, component, fp) rows in order of their key: near groups inside keys of at most ``hot`` texts, a forest per batch.
+
+    Each text is compared with those up to ``hot`` - 1 places behind it, so pairs stay inside the batch, which takes
+    time in proportion to its rows and gives fewer links than it has groups.
+    """
+
+    def run(batches):
+        held = None  # the last rows of the batch before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column("key").to_numpy(), batch.column("component").to_numpy()]
+            rows.append(batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
+            keys, groups, prints = rows if held is None else (np.concatenate(c) for c in zip(held, rows))
+            held = [c[len(keys) - min(len(keys), hot - 1) :] for c in (keys, groups, prints)]
+            found = [np.zeros((0, 2), np.int64)]
+            for step in range(1, hot):
+                at = np.flatnonzero((keys[step:] == keys[:-step]) & (groups[step:] != groups[:-step]))
+                at = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1, dtype=np.int64) <= limit]
+                found.append(np.sort(np.stack((groups[at], groups[at + step]), axis=1), axis=1))
+            above, links = {}, []
+
+            def root(node, above=above):
+                while (up := above.get(node, node)) != node:
+                    above[node] = node = above.get(up, up)
+                return node
+
+            for a, b in np.unique(np.concatenate(found), axis=0).tolist():
+                x, y = root(a), root(b)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    links.append((a, b))
+            links = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+        trim()
+
+    return run
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Likeness of two sorted sets; two empty ones are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -347,8 +387,8 @@ def close_texts(classes: DataFrame, texts, width: int, similarity: float, words:
     First every text is held against one other: of the first texts of its keys, the one with which it shares
     most keys. These links, at most one per text, join most copies. From then on only pairs of different groups matter.
     Keys whose texts are all in one group are done. In the others, pairs of different groups within
-    ``limit`` bits make families of groups (small keys by a join, keys of more than ``hot`` texts in a grid of
-    cells, which give a forest of their groups). A family's texts are sent once to each cell of at most two times
+    ``limit`` bits make families of groups (small keys in the order of keys, each text against the few behind it, keys of
+    more than ``hot`` texts in a grid of cells; both give a forest of their groups). A family's texts are sent once to each cell of at most two times
     ``cell`` texts, and the cell confirms exact links until its groups are joined. Cells of one group
     are left out. So texts move per cell and not per pair, and pairs inside a group never appear.
     """
@@ -370,9 +410,8 @@ def close_texts(classes: DataFrame, texts, width: int, similarity: float, words:
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
     members = write_through(members.join(mixed, "key"), "mixed")
     few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("d"))
-    pairs = few.select("key", F.col("id").alias("a"), F.col("component").alias("c")).join(other, "key").where("a < b AND c <> d").select("a", "b", "c", "d").distinct()
-    near = _apart(pairs, classes, words).where(F.col("far") <= limit).select(F.col("c").alias("a"), F.col("d").alias("b"))
+    few = few.select("key", "id", "component").join(named.select("id", "fp"), "id").select("key", "component", "fp")
+    near = few.repartition("key").sortWithinPartitions("key").mapInArrow(_small_links(limit, hot), "a long, b long")
 
     places = write_through(numbered(many.select(F.col("key").cast("string").alias("grp"), "key", "id", "component"), "grp", ["component", "id"]), "places")
     grid = _grid(places, cell, "key").join(named.select("id", "fp"), "id")

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from rows_llm import documents, empty, nasty, texts  # noqa: F401
 
 from paperloom.llm import fingerprint, graph, simhash, suffix
@@ -277,3 +279,43 @@ def test_sharing_over_batches():
         batches = [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(keys[a : a + cuts]), simhash.pa.array(list(range(a, min(len(keys), a + cuts))))], ["key", "id"]) for a in range(0, len(keys), cuts)]
         found = sorted((r["key"], r["id"], r["lead"], r["place"]) for b in simhash._sharing(batches) for r in b.to_pylist())
         assert found == [(k, i, keys.index(k), i - keys.index(k)) for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
+def test_small_keys_over_batches():
+    """All near groups of keys of at most ``hot`` texts are joined, wherever batches are cut."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(-(2**63), 2**63, (6, 24))
+    rows = []
+    for key in range(60):
+        for i in range(draw.integers(2, 9)):
+            at = draw.integers(0, 6)
+            rows.append((key, int(10 * at + draw.integers(0, 10)), (base[at] ^ (1 << int(draw.integers(0, 60)))).tolist()))
+    far = lambda x, y: sum(((a ^ b) & simhash.MASK).bit_count() for a, b in zip(x, y))
+    pairs = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and far(a[2], b[2]) <= 60]
+    groups = {r[1] for r in rows}
+    for cut in (1, 3, 7, 50, 1000):
+        batches = [
+            simhash.pa.RecordBatch.from_arrays([simhash.pa.array([r[i] for r in rows[a : a + cut]], kind) for i, kind in enumerate((simhash.pa.int64(), simhash.pa.int64(), simhash.pa.list_(simhash.pa.int64())))], ["key", "component", "fp"])
+            for a in range(0, len(rows), cut)
+        ]
+        links = [(r["a"], r["b"]) for b in simhash._small_links(60, 8)(batches) for r in b.to_pylist()]
+        assert _groups(links, groups) == _groups(pairs, groups)
+
+
+def test_small_keys_make_no_pairs(spark, monkeypatch):
+    """Texts of small keys are compared in their order and not joined with each other."""
+    plans = []
+
+    def components(edges, *_):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        if len(plans) > 1:
+            raise StopIteration
+        return spark.createDataFrame([], "node long, component long")
+
+    monkeypatch.setattr(simhash, "connected_components", components)
+    monkeypatch.setattr(simhash, "confirmed", lambda *_: spark.createDataFrame([], "a long, b long"))
+    draw = np.random.default_rng(5)
+    texts = spark.createDataFrame([(i, draw.integers(-(2**63), 2**63, 24).tolist()) for i in range(6)] * 2, "id long, fp array<bigint>")
+    with pytest.raises(StopIteration):
+        simhash.close_texts(texts.withColumn("id", F.monotonically_increasing_id()), None, 5, 0.8, 24, 330, 8, 1024)
+    assert "Join" in plans[1] and not re.search(r"\w+#\d+L? < \w+#\d+L?", plans[1])
