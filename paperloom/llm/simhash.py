@@ -388,8 +388,9 @@ def close_texts(classes: DataFrame, texts, width: int, similarity: float, words:
     most keys. These links, at most one per text, join most copies. From then on only pairs of different groups matter.
     Keys whose texts are all in one group are done. In the others, pairs of different groups within
     ``limit`` bits make families of groups (small keys in the order of keys, each text against the few behind it, keys of
-    more than ``hot`` texts in a grid of cells; both give a forest of their groups). A family's texts are sent once to each cell of at most two times
-    ``cell`` texts, and the cell confirms exact links until its groups are joined. Cells of one group
+    more than ``hot`` texts in a grid of cells; both give a forest of their groups). A family is dealt out over parts of an eighth of
+    ``cell`` texts, and each part confirms exact links until its groups are joined. Families of one part are done then. Of the others, those
+    still of several groups are sent once to each cell of two parts; cells of one group
     are left out. So texts move per cell and not per pair, and pairs inside a group never appear.
     """
     size = classes.count()
@@ -419,24 +420,42 @@ def close_texts(classes: DataFrame, texts, width: int, similarity: float, words:
     families = connected_components(near.unionAll(forests), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("family"))
 
     relatives = named.join(families, "component").select(F.col("family").cast("string").alias("grp"), F.col("family").alias("key"), "id", "component")
-    relatives = write_through(numbered(relatives, "grp", ["component", "id"]), "relatives")
-    known = texts(relatives.select("id")).join(named.select("id", "fp"), "id")
-    second = _grid(relatives, cell // 8, "key").join(known, "id").groupBy("key", "i", "j").applyInPandas(_cell_confirmed(width, similarity, limit), "a long, b long")
-    second = write_through(second, "links")
-    for spent in (shared, named, members, places, relatives):
+    relatives = write_through(numbered(relatives, "grp", ["id"]), "relatives")
+    known = write_through(texts(relatives.select("id")).join(named.select("id", "fp"), "id"), "known")
+    confirm = _cell_confirmed(width, similarity, limit)
+    dealt = relatives.withColumn("part", _part(cell // 8)).join(known, "id")
+    second = write_through(dealt.groupBy("key", "part").applyInPandas(confirm, "a long, b long"), "links")
+
+    found = connected_components(links.unionAll(second), "a", "b").withColumnRenamed("node", "id")
+    left = relatives.where(F.col("total") > cell // 8).select("grp", "key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = write_through(numbered(left.join(mixed, "key"), "grp", ["component", "id"]), "rest")
+    third = _grid(rest, cell // 8, "key").join(known, "id").groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long")
+    third = write_through(third, "links")
+    for spent in (shared, named, members, places, relatives, known, rest):
         discard(spent)
-    return links.unionAll(second)
+    return links.unionAll(second).unionAll(third)
+
+
+def _part(cell: int):
+    """The part of ``cell`` numbered rows that a row is in."""
+    return F.expr(f"pos div {max(1, cell)}")
 
 
 def _grid(placed: DataFrame, cell: int, key: str) -> DataFrame:
-    """``key, i, j, id, component``: members in parts of ``cell``, sent to every pair of parts of more than one group."""
-    members = placed.withColumn("part", F.expr(f"pos div {max(1, cell)}"))
+    """``key, i, j, id, component``: members in parts of ``cell``, sent to every pair of parts of more than one group.
+
+    A key of one part is one cell as it is.
+    """
+    one = F.col("total") <= max(1, cell)
+    alone = placed.where(one).select(key, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "id", "component")
+    members = placed.where(~one).withColumn("part", _part(cell))
     parts = members.groupBy(key, "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = parts.select(key, F.col("part").alias("i"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     right = parts.select(key, F.col("part").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     cells = left.join(right, key).where("i <= j AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select(key, "i", "j")
     sent = cells.select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
-    return members.join(sent, [key, "part"]).select(key, "i", "j", "id", "component")
+    return alone.unionAll(members.join(sent, [key, "part"]).select(key, "i", "j", "id", "component"))
 
 
 def near_dedup(

@@ -319,3 +319,33 @@ def test_small_keys_make_no_pairs(spark, monkeypatch):
     with pytest.raises(StopIteration):
         simhash.close_texts(texts.withColumn("id", F.monotonically_increasing_id()), None, 5, 0.8, 24, 330, 8, 1024)
     assert "Join" in plans[1] and not re.search(r"\w+#\d+L? < \w+#\d+L?", plans[1])
+
+
+def test_grid_joins_only_keys_of_several_parts(spark):
+    """A key of one part is one cell without a join; the parts of a larger one meet in pairs, but not inside a group."""
+    rows = [("a", i, i, i, 2) for i in range(2)] + [("b", 10 + i, i, 10 if i < 4 else 10 + i, 5) for i in range(5)]
+    grid = simhash._grid(spark.createDataFrame(rows, "key string, id long, pos long, component long, total long"), 2, "key")
+    cells = sorted((r["key"], r["i"], r["j"], r["id"]) for r in grid.collect())
+    assert cells == [("a", 0, 0, 0), ("a", 0, 0, 1)] + [("b", i, 2, 10 + k) for i in range(2) for k in (2 * i, 2 * i + 1, 4)]
+    plan = grid._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().apply(0).toString()
+
+
+def test_families_of_one_part_meet_no_grid(spark, monkeypatch):
+    """Families are confirmed by parts first, and those of one part are done then."""
+    draw = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(120)]
+        for at in draw.sample(range(120), draw.choice([2, 3, 4])):
+            words[at] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sent, grid = [], simhash._grid
+
+    def recorded(placed, *args):
+        sent.append(placed.count())
+        return grid(placed, *args)
+
+    monkeypatch.setattr(simhash, "_grid", recorded)
+    assert simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() > 1
+    assert sent[-1] == 0
