@@ -7,6 +7,8 @@ import os
 import re
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +46,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def write_through(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table folder in the shared folder and read it back; ``discard`` takes it away."""
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go with the end of each run, and not when the driver collects garbage some time."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+
+
+def write_through(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to a fresh table folder in the shared folder and read it back; ``discard`` takes it away.
+
+    Nobody needs the shuffle files behind a written table, so they are freed.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.options(**options).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._written = path
     return found
