@@ -339,3 +339,30 @@ def test_filings_are_written_in_bounded_tasks(spark, monkeypatch):
     many = base.filings(tables)
     assert many.rdd.getNumPartitions() >= len(few) / 50
     assert rows(many) == few
+
+
+def test_ingestion_leaves_only_the_collection(spark, tmp_path, monkeypatch):
+    """Two ingestions, the second with new and changed pages: what was written on the way is gone, postings are stored in shares."""
+    from paperloom.operators import lexical
+
+    def pages(kept):
+        rows = [(f"s{i}", 1, [(f"page {i} {'old ' if i % 3 == 1 and kept < 60 else ''}word{i % 7} more", "text")]) for i in range(kept) if kept == 60 or i % 3 < 2]
+        return spark.createDataFrame(rows, "source string, page_num int, text_blocks array<struct<text: string, block_type: string>>")
+
+    def ingest_all(out):
+        for n, kept in enumerate((50, 60)):
+            folder = str(tmp_path / f"{out}-{n}")
+            writers.write_pages(pages(kept), folder, compression="gzip")
+            found = ingest.run_ingestion(spark, folder, str(tmp_path / out), config={"chunker": {"chunk_size": 1 << 30, "chunk_overlap": 0, "min_chunk_size": 0}}, skip_parsing=True)
+        ask = spark.createDataFrame([(1, "page word3 old"), (2, "more 17")], "query_id int, query string")
+        index = found.index
+        return sorted(map(tuple, found.chunks.select("chunk_id", "text").collect())), sorted(map(tuple, index.postings.select("bucket", "term", "id", "tf", "dl").collect())), sorted(map(tuple, index.terms.collect())), sorted(map(tuple, lexical.search(index, ask, 5).collect()))
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    whole = ingest_all("whole")
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before}
+    assert not left & {"tokens", "new-pages", "new-chunks", "terms"}
+    assert len(whole[0]) == 60 and len(whole[3]) == 10 and not any("old" in text for _, text in whole[0])
+    monkeypatch.setattr(lexical, "SLICE_TOKENS", 20)
+    assert ingest_all("shares") == whole
