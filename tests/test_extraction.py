@@ -31,6 +31,7 @@ def test_recall_as_by_all_pairs(spark):
 
     rows = [(i, [table() for _ in range(draw.randrange(9))], [table() for _ in range(draw.randrange(9))]) for i in range(400)]
     rows += [(1000, None, [["a"]]), (1001, [["a"]], None), (1002, None, None), (1003, [["b", "a"]], [["a", "b"], ["a", "b", "a"]])]
+    rows += [(2000 + i, t, t) for i, t in enumerate(([], [[]], [None], [["a"], None, []], [[None]], [["a", "b"], ["a"]]))]
     data = spark.createDataFrame(rows, f"id int, seen {TABLES}, wanted {TABLES}").repartition(3)
     found = {r["id"]: r["recall"] for r in data.select("id", E.table_recall(F.col("seen"), F.col("wanted")).alias("recall")).collect()}
     assert found == {i: share(seen, wanted) for i, seen, wanted in rows}
